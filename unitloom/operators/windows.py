@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import coin, id_hash, n_bytes
+from ..functions import coin, id_hash, start_offsets
 from ..session import durable
 from .ordered import prefix_scan, ranked, smallest
 from .segment import PATTERNS, explode_units, unit_array
@@ -225,14 +225,14 @@ def tensorize(windows: DataFrame, l_max: int, pad: int = 256) -> DataFrame:
 
     rows = windows.withColumn("_b", F.transform("units", unit_bytes))
     widths = rows.withColumn("_n", F.transform("_b", lambda b: F.size(b)))
-    ends = F.transform(F.sequence(F.lit(1), F.size("_n")), lambda k: F.aggregate(F.slice("_n", F.lit(1), k), F.lit(0), lambda a, x: a + x))
+    widths = widths.withColumn("_end", F.zip_with(start_offsets(F.col("_n")), "_n", lambda at, n: at + n))
     return widths.select(
         *[c for c in windows.columns if c not in ("units",)],
         F.transform("_b", lambda b: F.concat(b, F.array_repeat(F.lit(pad).cast("smallint"), F.lit(l_max) - F.size(b)))).alias("byte_ids"),
         F.transform("_n", lambda n: F.transform(F.sequence(F.lit(0), F.lit(l_max - 1)), lambda i: i >= n)).alias("pad_mask"),
         F.flatten("_b").alias("flat"),
-        F.aggregate("_n", F.lit(0), lambda a, x: a + x).alias("flat_len"),
-        ends.alias("ends"),
+        F.coalesce(F.element_at("_end", -1), F.lit(0)).alias("flat_len"),
+        F.col("_end").alias("ends"),
         F.flatten(F.transform("_n", lambda n, j: F.array_repeat(j, n))).alias("patch_pos"),
     )
 

@@ -106,9 +106,9 @@ def chop(spark, sf):
       SELECT *, regexp_extract_all(text, '[\x09-\x0D ]+|[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+|[\x00-\x08\x0E-\x1F!-/:-@\[-`{{-\x7F]+') AS r FROM documents)),
     b AS (SELECT shard, doc_id, sum(strlen(u)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(u) AS g FROM rr),
     m AS (SELECT coalesce(a.shard, b.shard) AS shard, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.g, b.g)::BIGINT AS g,
-      a.g IS NOT NULL AND b.g IS NOT NULL AS both
+      a.g IS NOT NULL AND b.g IS NOT NULL AS shared
       FROM (SELECT * FROM a WHERE g > 0) a FULL OUTER JOIN (SELECT * FROM b WHERE g > 0) b ON a.doc_id = b.doc_id AND a.g = b.g),
-    k AS (SELECT doc_id, g FROM m WHERE both OR {hash60("'7'", "shard", "doc_id", "g")} < 576460752303423488),
+    k AS (SELECT doc_id, g FROM m WHERE shared OR {hash60("'7'", "shard", "doc_id", "g")} < 576460752303423488),
     ends AS (SELECT doc_id, g FROM k UNION ALL SELECT doc_id, 0 FROM documents),
     seg AS (SELECT e.doc_id, g, coalesce(lead(g) OVER (PARTITION BY e.doc_id ORDER BY g), strlen(d.text)) - g AS size
       FROM ends e JOIN documents d USING (doc_id))
