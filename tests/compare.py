@@ -68,7 +68,7 @@ def main():
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     only = sys.argv[2:]
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     failed = 0
     for name, fn in QUERIES.items():

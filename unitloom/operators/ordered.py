@@ -43,7 +43,7 @@ def prefix_scan(
     """Add inclusive running results per group.
 
     ``scans`` maps an output name to (kind, expression), kind being sum, count, min,
-    max or last (last non-null value).  ``order`` must be unique within a group; it
+    max or last (last non-null value); ``<kind>_before`` leaves out the current row.  ``order`` must be unique within a group; it
     may hold descending columns.  Pass narrow rows: they are written once to the
     checkpoint folder, which also pins the slice borders.
     """
@@ -55,10 +55,20 @@ def prefix_scan(
 
     ordered = Window.partitionBy(*keys, "_slice").orderBy(*orders)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {name: kind.removesuffix("_before") for name, (kind, _) in scans.items()}
     local = durable(
         rows.select(
             "*",
-            *[_KINDS[kind](expr).over(running).alias(name) for name, (kind, expr) in scans.items()],
+            *[
+                _KINDS[kinds[name]](expr).over(earlier if kind.endswith("_before") else running).alias(name)
+                for name, (kind, expr) in scans.items()
+            ],
+            *[
+                _KINDS[kinds[name]](expr).over(running).alias(f"_through_{name}")
+                for name, (kind, expr) in scans.items()
+                if kind.endswith("_before")
+            ],
             F.lead(F.lit(1)).over(ordered).isNull().alias("_tail"),
         )
     )
@@ -71,7 +81,11 @@ def prefix_scan(
             "_slice",
             F.count(F.lit(1)).over(before).alias("_earlier"),
             *[
-                _KINDS["sum" if kind == "count" else kind](F.col(name)).over(before).alias(f"_base_{name}")
+                _KINDS["sum" if kinds[name] == "count" else kinds[name]](
+                    F.col(f"_through_{name}" if kind.endswith("_before") else name)
+                )
+                .over(before)
+                .alias(f"_base_{name}")
                 for name, (kind, _) in scans.items()
             ],
         )
@@ -81,7 +95,7 @@ def prefix_scan(
     joined = local.join(F.broadcast(carry), [*keys, "_slice"], "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
-        *[_carry(kind, F.col(f"_base_{name}"), F.col(name)).alias(name) for name, (kind, _) in scans.items()],
+        *[_carry(kind, F.col(f"_base_{name}"), F.col(name)).alias(name) for name, kind in kinds.items()],
     )
 
 

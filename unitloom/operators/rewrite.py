@@ -227,18 +227,33 @@ OPS = ("sub", "del", "dup", "trans", "case")
 OP_WEIGHTS = (0.40, 0.20, 0.15, 0.15, 0.10)
 
 
+def _code_in(ch: Column, *ranges: tuple[int, int]) -> Column:
+    code, hit = F.ascii(ch), None
+    for low, high in ranges:
+        one = code.between(low, high)
+        hit = one if hit is None else hit | one
+    return hit
+
+
+_LOWER, _UPPER, _DIGIT = (97, 122), (65, 90), (48, 57)
+
+
 def _places(chars: Column, op: str) -> Column:
-    """1-based character positions an operation may touch."""
-    all_places = F.sequence(F.lit(1), F.size(chars))
+    """0-based character positions an operation may touch."""
+    spots = F.sequence(F.lit(0), F.size(chars) - 1)
     if op == "sub":
-        return F.filter(all_places, lambda i: F.element_at(chars, i).rlike("^[0-9A-Za-z]$"))
+        return F.filter(spots, lambda i: _code_in(F.get(chars, i), _LOWER, _UPPER, _DIGIT))
     if op == "case":
-        return F.filter(all_places, lambda i: F.element_at(chars, i).rlike("^[A-Za-z]$"))
+        return F.filter(spots, lambda i: _code_in(F.get(chars, i), _LOWER, _UPPER))
     if op == "trans":
-        pair = lambda i: F.element_at(chars, i).rlike("^[ -~]$") & F.get(chars, i).rlike("^[ -~]$")
-        swap = F.filter(all_places, lambda i: (i < F.size(chars)) & F.coalesce(pair(i), F.lit(False)))
-        return F.filter(swap, lambda i: F.element_at(chars, i) != F.get(chars, i))
-    return F.when(F.size(chars) >= 2, all_places).otherwise(F.array().cast("array<int>"))
+        here, there = (lambda i: F.get(chars, i)), (lambda i: F.get(chars, i + 1))
+        return F.filter(
+            spots,
+            lambda i: F.coalesce(
+                _code_in(here(i), (32, 126)) & _code_in(there(i), (32, 126)) & (here(i) != there(i)), F.lit(False)
+            ),
+        )
+    return F.filter(spots, lambda i: F.size(chars) >= 2)
 
 
 def _replacement(ch: Column, h: Column) -> Column:
@@ -248,13 +263,14 @@ def _replacement(ch: Column, h: Column) -> Column:
     def turn(base: int, n: int) -> Column:
         return F.char(F.lit(base) + F.pmod(code - base + 1 + F.pmod(h, F.lit(n - 1)), F.lit(n)))
 
-    return F.when(ch.rlike("[a-z]"), turn(97, 26)).when(ch.rlike("[A-Z]"), turn(65, 26)).otherwise(turn(48, 10))
+    return F.when(_code_in(ch, _LOWER), turn(97, 26)).when(_code_in(ch, _UPPER), turn(65, 26)).otherwise(turn(48, 10))
 
 
 def _edited(text: Column, chars: Column, at: Column, op: str, h: Column) -> Column:
-    before = F.substring(text, F.lit(1), at - 1)
-    after = F.substring(text, at + 1, F.length(text))
-    ch = F.element_at(chars, at)
+    """``text`` with one edit at the 0-based character ``at``; NULL when ``at`` is NULL."""
+    before = F.substring(text, F.lit(1), at)
+    after = F.substring(text, at + 2, F.length(text))
+    ch = F.get(chars, at)
     if op == "sub":
         return F.concat(before, _replacement(ch, h), after)
     if op == "del":
@@ -262,8 +278,8 @@ def _edited(text: Column, chars: Column, at: Column, op: str, h: Column) -> Colu
     if op == "dup":
         return F.concat(before, ch, ch, after)
     if op == "trans":
-        return F.concat(before, F.element_at(chars, at + 1), ch, F.substring(text, at + 2, F.length(text)))
-    return F.concat(before, F.when(ch.rlike("[a-z]"), F.upper(ch)).otherwise(F.lower(ch)), after)
+        return F.concat(before, F.get(chars, at + 1), ch, F.substring(text, at + 3, F.length(text)))
+    return F.concat(before, F.when(_code_in(ch, _LOWER), F.upper(ch)).otherwise(F.lower(ch)), after)
 
 
 def _allowed(text: Column, op: str) -> Column:
@@ -271,38 +287,55 @@ def _allowed(text: Column, op: str) -> Column:
     return F.octet_length(text) >= (3 if op in ("sub", "case") else 5)
 
 
-def forced_typos(units: DataFrame, op: str, seed: int, l_max: int = 32, unit: str = "unit", out: str = "typo") -> DataFrame:
-    """One edit of the given kind per unit; NULL where it does not apply or grows too long."""
-    rows = units.withColumn("_chars", char_units(unit)).withColumn("_at", _places(F.col("_chars"), op))
-    rows = rows.withColumn("_h", id_hash(F.lit(str(seed)), F.lit(op), unit))
-    at = F.element_at("_at", F.pmod("_h", F.size("_at")).cast("int") + 1)
-    edited = _edited(F.col(unit), F.col("_chars"), at, op, id_hash(F.lit(str(seed)), F.lit(op), F.lit("to"), unit))
-    ok = _allowed(F.col(unit), op) & (F.size("_at") > 0)
-    rows = rows.withColumn(out, F.when(ok, edited))
-    return rows.withColumn(out, F.when(F.octet_length(out) <= l_max, F.col(out))).drop("_chars", "_at", "_h")
+def _pick(places: Column, h: Column) -> Column:
+    return F.get(places, F.pmod(h, F.greatest(F.size(places), F.lit(1))).cast("int"))
+
+
+def _only(values: Column, name: str) -> Column:
+    """Row generator that drops NULL.
+
+    A filter on the edited string would be pushed down through the projections and
+    repeat the whole edit; a generator is evaluated once.
+    """
+    return F.explode(F.filter(F.array(values), lambda v: v.isNotNull())).alias(name)
+
+
+def forced_typos(units: DataFrame, op: str, seed: int, l_max: int = 32) -> DataFrame:
+    """One edit of the given kind for every unit it applies to and that stays within ``l_max`` bytes."""
+    rows = units.withColumn("_chars", char_units("unit"))
+    rows = rows.withColumn("_at", _pick(_places(F.col("_chars"), op), id_hash(F.lit(str(seed)), F.lit(op), "unit")))
+    to = id_hash(F.lit(str(seed)), F.lit(op), F.lit("to"), "unit")
+    edited = F.when(_allowed(F.col("unit"), op), _edited(F.col("unit"), F.col("_chars"), F.col("_at"), op, to))
+    fits = F.filter(F.array(edited), lambda v: v.isNotNull() & (F.octet_length(v) <= l_max))
+    return rows.select(*units.columns, F.explode(fits).alias("typo"))
 
 
 def _one_edit(df: DataFrame, source: str, out: str, seed: str, gate: Column, weights) -> DataFrame:
-    rows = df.withColumn("_chars", char_units(source))
-    for op in OPS:
-        rows = rows.withColumn(f"_p_{op}", F.when(_allowed(F.col(source), op), _places(F.col("_chars"), op)).otherwise(F.array().cast("array<int>")))
-    bounds, total = {}, F.lit(0.0)
+    """Add ``out``: ``source`` after one weighted edit, or ``source`` itself where gated or impossible.
+
+    Each operation draws an exponential waiting time with its weight as rate and the
+    first one that can change the string wins, which is a weighted choice.
+    """
+    rows = df.withColumn("_chars", char_units(source)).withColumn("_h", id_hash(F.lit(f"{seed}at"), source))
+    options = []
     for op, weight in zip(OPS, weights):
-        total = total + F.when(F.size(f"_p_{op}") > 0, F.lit(float(weight))).otherwise(0.0)
-        bounds[op] = total
-    rows = rows.withColumn("_draw", hash01(f"{seed}op", source) * total).withColumn("_h", id_hash(F.lit(f"{seed}at"), source))
-    chosen = None
-    for op in OPS:
-        hit = (F.col("_draw") < bounds[op]) & (F.size(f"_p_{op}") > 0)
-        chosen = F.when(hit, op) if chosen is None else chosen.when(hit, op)
-    rows = rows.withColumn("_op", chosen)
-    edited = None
+        wait = -F.log(hash01(f"{seed}{op}", source) + F.lit(1e-18)) / F.lit(float(weight))
+        options.append(
+            F.struct(
+                wait.alias("wait"),
+                F.lit(op).alias("op"),
+                F.when(_allowed(F.col(source), op), _pick(_places(F.col("_chars"), op), F.col("_h"))).alias("at"),
+            )
+        )
+    first = F.array_min(F.filter(F.array(*options), lambda o: o["at"].isNotNull()))
+    rows = rows.select("*", F.explode(F.array(first)).alias("_pick"))
+    to = id_hash(F.lit(f"{seed}to"), source)
+    edited = F.lit(None).cast("string")
     for op in OPS:
-        at = F.element_at(f"_p_{op}", F.pmod("_h", F.size(f"_p_{op}")).cast("int") + 1)
-        value = _edited(F.col(source), F.col("_chars"), at, op, id_hash(F.lit(f"{seed}to"), source))
-        edited = F.when(F.col("_op") == op, value) if edited is None else edited.when(F.col("_op") == op, value)
-    rows = rows.withColumn(out, F.when(gate & F.col("_op").isNotNull(), edited))
-    return rows.drop("_chars", "_draw", "_h", "_op", *[f"_p_{op}" for op in OPS])
+        value = _edited(F.col(source), F.col("_chars"), F.col("_pick.at"), op, to)
+        edited = F.when(F.col("_pick.op") == op, value).otherwise(edited)
+    done = F.coalesce(F.when(gate, edited), F.col(source))
+    return rows.select(*df.columns, F.explode(F.array(done)).alias(out))
 
 
 def typo_variants(
@@ -310,15 +343,15 @@ def typo_variants(
 ) -> DataFrame:
     """A typo of every distinct unit: one edit, or two with probability ``two_edit_p``.
 
-    Operations are drawn by weight among those that can change the unit.  NULL when no
-    operation applies, the result equals the source, or it exceeds ``l_max`` bytes.
+    Operations are drawn by weight among those that can change the unit.  Units that no
+    operation changes, or whose variant exceeds ``l_max`` bytes, give no row.
     """
     rows = _one_edit(units, "unit", "_first", f"{seed}-1-", F.lit(True), weights)
     again = hash01(f"{seed}-two", "unit") < two_edit_p
-    rows = _one_edit(rows, "_first", "_second", f"{seed}-2-", again & F.col("_first").isNotNull(), weights)
-    result = F.coalesce("_second", "_first")
-    fine = (result != F.col("unit")) & (result != "") & (F.octet_length(result) <= l_max)
-    return rows.withColumn("typo", F.when(fine, result)).drop("_first", "_second")
+    rows = _one_edit(rows, "_first", "_second", f"{seed}-2-", again, weights)
+    new = F.col("_second")
+    fine = (new != F.col("unit")) & (new != "") & (F.octet_length(new) <= l_max)
+    return rows.select(*units.columns, _only(F.when(fine, new), "typo"))
 
 
 def typo_probability(units: DataFrame, top: DataFrame, p: float, freq_scale: float) -> DataFrame:

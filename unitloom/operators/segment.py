@@ -38,6 +38,11 @@ def unit_array(text, pattern: str, l_max: int | None = None) -> Column:
 
 
 def explode_units(df: DataFrame, units: Column, keep: Sequence[str]) -> DataFrame:
+    """One row per unit.
+
+    ``units`` should be the expression itself: for a plain column the optimizer adds a
+    size filter and pushes it down, which would evaluate the splitter twice.
+    """
     out = df.select(*keep, F.posexplode(units).alias("pos", "unit"))
     return out.select(
         *keep,
@@ -83,13 +88,10 @@ def byte_offsets(
 ) -> DataFrame:
     """Units with their start byte, numbered inside the row so nothing is shuffled."""
     rows = docs.select(*keep, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("_units"))
-    rows = rows.withColumn("_at", start_offsets(F.transform("_units", lambda u: F.octet_length(u))))
-    out = rows.select(*keep, F.posexplode(F.arrays_zip("_units", "_at")).alias("pos", "_u"))
+    at = start_offsets(F.transform("_units", lambda u: F.octet_length(u)))
+    out = rows.select(*keep, F.posexplode(F.arrays_zip(F.col("_units").alias("unit"), at.alias("at"))).alias("pos", "_u"))
     return out.select(
-        *keep,
-        F.col("pos").cast("bigint").alias("pos"),
-        F.col("_u._units").alias("unit"),
-        F.col("_u._at").alias("byte_off"),
+        *keep, F.col("pos").cast("bigint").alias("pos"), F.col("_u.unit").alias("unit"), F.col("_u.at").alias("byte_off")
     )
 
 
@@ -128,8 +130,7 @@ def combine_boundaries(
             lambda at: coin(p, seed, *[F.col(k) for k in keep], at),
         )
         rows = rows.withColumn("_cuts", F.array_sort(F.concat("_shared", single)))
-    units = rows.select(*keep, slice_at(F.encode(text, "UTF-8"), F.col("_cuts"), l_max).alias("_units"))
-    return explode_units(units, F.col("_units"), keep)
+    return explode_units(rows, slice_at(F.encode(text, "UTF-8"), F.col("_cuts"), l_max), keep)
 
 
 def chop_units(units: DataFrame, l_max: int, unit: str = "unit") -> DataFrame:

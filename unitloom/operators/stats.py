@@ -211,7 +211,7 @@ def matched_prefix(pred: Column, true: Column) -> Column:
     upto = F.sequence(F.lit(1), F.least(F.length(a), F.length(b)))
     miss = F.filter(upto, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     shortest = F.least(F.length(a), F.length(b))
-    return F.when(shortest == 0, 0).otherwise(F.coalesce(F.element_at(miss, 1) - 1, shortest)).cast("bigint")
+    return F.when(shortest == 0, 0).otherwise(F.coalesce(F.get(miss, F.lit(0)) - 1, shortest)).cast("bigint")
 
 
 def string_match_report(pairs: DataFrame, by: Sequence[str], pred="pred", true="true", weight="cnt") -> DataFrame:

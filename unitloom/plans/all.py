@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import corpus, mixtures, rewriting, statistics, windowing  # noqa: F401
+from . import chats, corpus, mixtures, rewriting, statistics, windowing  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

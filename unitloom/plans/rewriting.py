@@ -219,7 +219,7 @@ def typos(spark, sf):
     for op in rewrite.OPS:
         part = rewrite.forced_typos(freq, op, 5).withColumn("op", F.lit(op))
         out = part if out is None else out.unionByName(part)
-    return out.filter("typo IS NOT NULL")
+    return out
 
 
 @query("C12_forced_typos", f"WITH {FREQ}, {_TYPOS} SELECT unit, op, typo FROM typos WHERE typo IS NOT NULL")
@@ -230,7 +230,7 @@ def forced_typos(spark, sf):
 @query("C12_typo_variants")
 def typo_variants(spark, sf):
     freq = durable(word_freq(spark, sf))
-    return rewrite.typo_variants(freq.select("unit"), seed=5).filter("typo IS NOT NULL")
+    return rewrite.typo_variants(freq.select("unit"), seed=5)
 
 
 _PREFIX = """CASE WHEN least(strlen(typo), strlen(unit)) = 0 THEN 0 ELSE coalesce(list_min(list_filter(range(0, least(strlen(typo), strlen(unit))),
