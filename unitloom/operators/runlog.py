@@ -173,10 +173,12 @@ def hourly_means(log: DataFrame, value: str = "value", ts: str = "ts") -> DataFr
 def throughput(log: DataFrame, target: float, value: str = "value", run: str = "run", step: str = "step", ts: str = "ts") -> DataFrame:
     """Cumulative amount, rate since the first record, and seconds left to the target."""
     scanned = prefix_scan(log.select(run, step, ts, value), [run], [step], {"cum": ("sum", F.col(value)), "_t0": ("min", F.col(ts))})
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 - F.unix_micros(F.col("_t0").cast("timestamp")) / 1e6
-    rate = F.when(seconds > 0, F.col("cum") / seconds)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    seconds = (micros(ts) - micros("_t0")) / 1e6
+    done = F.col("cum").cast("double")
+    rate = F.when(seconds > 0, done / seconds)
     return scanned.withColumn("seconds", seconds).withColumn("rate", rate).withColumn(
-        "eta", F.when(rate > 0, F.greatest(F.lit(float(target)) - F.col("cum"), F.lit(0.0)) / rate)
+        "eta", F.when(rate > 0, F.greatest(F.lit(float(target)) - done, F.lit(0.0)) / rate)
     ).drop("_t0")
 
 

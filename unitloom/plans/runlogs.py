@@ -88,13 +88,14 @@ def hourly_means(spark, sf):
 
 @query(
     "I8_throughput",
-    f"""WITH {RUNLOG}, c AS (SELECT run, step, sum(value) OVER w AS cum, (epoch_us(ts) - min(epoch_us(ts)) OVER w) / 1e6 AS seconds FROM runlog WINDOW w AS (PARTITION BY run ORDER BY step))
-    SELECT run, step, round(cum, 6) AS cum, round(seconds, 3) AS seconds, round(CASE WHEN seconds > 0 THEN cum / seconds END, 9) AS rate,
+    f"""WITH {RUNLOG}, c AS (SELECT run, step, (sum(value::DECIMAL(18, 2)) OVER w)::DOUBLE AS cum, (epoch_us(ts) - min(epoch_us(ts)) OVER w) / 1e6 AS seconds FROM runlog WINDOW w AS (PARTITION BY run ORDER BY step))
+    SELECT run, step, cum, round(seconds, 3) AS seconds, round(CASE WHEN seconds > 0 THEN cum / seconds END, 9) AS rate,
       round(CASE WHEN seconds > 0 AND cum > 0 THEN greatest(5000 - cum, 0) / (cum / seconds) END, 2) AS eta FROM c""",
 )
 def throughput(spark, sf):
-    out = rl.throughput(run_log(spark, sf), 5000.0)
-    return out.select("run", "step", F.round("cum", 6).alias("cum"), F.round("seconds", 3).alias("seconds"), F.round("rate", 9).alias("rate"), F.round("eta", 2).alias("eta"))
+    log = run_log(spark, sf).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    out = rl.throughput(log, 5000.0)
+    return out.select("run", "step", F.col("cum").cast("double").alias("cum"), F.round("seconds", 3).alias("seconds"), F.round("rate", 9).alias("rate"), F.round("eta", 2).alias("eta"))
 
 
 @query(
