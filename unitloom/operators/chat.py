@@ -67,9 +67,15 @@ def render_turns(turns: DataFrame, sep: Column | None = None, system: bool = Tru
     )
     rows = rows.withColumn("text", F.concat("_marker", "_body", "_sep"))
     size = F.octet_length("text").cast("bigint")
-    placed = prefix_scan(rows.select(*keys, "turn", size.alias("size")), list(keys), ["turn"], {"end": ("sum", F.col("size"))})
-    last = placed.groupBy(*keys).agg(F.max("turn").alias("_last"), F.min("turn").alias("_first"))
-    out = rows.join(placed, [*keys, "turn"]).join(last, list(keys))
+    marked_turn = F.col("_marker") != ""
+    placed = prefix_scan(
+        rows.select(*keys, "turn", size.alias("size"), marked_turn.alias("marked")),
+        list(keys),
+        ["turn"],
+        {"end": ("sum", F.col("size")), "piece": ("sum", F.col("marked").cast("bigint")), "_nth": ("count", F.lit(1))},
+    )
+    last = placed.groupBy(*keys).agg(F.max("_nth").alias("_turns"))
+    out = rows.join(placed.join(last, list(keys)), [*keys, "turn"])
     start = F.col("end") - F.col("size")
     target_from = start + F.octet_length("_marker")
     is_target = F.col("role") == "assistant"
@@ -82,9 +88,9 @@ def render_turns(turns: DataFrame, sep: Column | None = None, system: bool = Tru
         "end",
         F.when(is_target, target_from).alias("target_from"),
         F.when(is_target, target_from + F.octet_length("_body")).alias("target_to"),
-        (F.col("_marker") != "").alias("marked"),
-        (F.col("turn") == F.col("_first")).alias("first_turn"),
-        (F.col("turn") == F.col("_last")).alias("last_turn"),
+        "piece",
+        (F.col("_nth") == 1).alias("first_turn"),
+        (F.col("_nth") == F.col("_turns")).alias("last_turn"),
     )
 
 
@@ -98,22 +104,14 @@ def chat_units(rendered: DataFrame, keys: Sequence[str] = ("conv_id",), l_max: i
     Turns without a marker are glued to the marked turn before them, because there the
     splitter may join across the border.
     """
-    numbered = prefix_scan(
-        rendered.select(*keys, "turn", "marked"), list(keys), ["turn"], {"_piece": ("sum", F.col("marked").cast("bigint"))}
-    ).drop("marked")
-    pieces = (
-        rendered.join(numbered, [*keys, "turn"])
-        .groupBy(*keys, "_piece")
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), ""
-            ).alias("text"),
-            F.min("start").alias("start"),
-            F.min("target_from").alias("target_from"),
-            F.min("target_to").alias("target_to"),
-            F.max("first_turn").alias("first_turn"),
-            F.max("last_turn").alias("last_turn"),
-        )
+    glued = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    pieces = rendered.groupBy(*keys, "piece").agg(
+        F.array_join(F.transform(glued, lambda t: t["text"]), "").alias("text"),
+        F.min("start").alias("start"),
+        F.min("target_from").alias("target_from"),
+        F.min("target_to").alias("target_to"),
+        F.max("first_turn").alias("first_turn"),
+        F.max("last_turn").alias("last_turn"),
     )
     opened = F.when(F.col("first_turn"), F.col("text")).otherwise(F.substring("text", len(OPEN) + 1, 2147483647))
     cut = pieces.withColumn("_text", F.concat(opened, F.when(F.col("last_turn"), "").otherwise(OPEN))).withColumn(

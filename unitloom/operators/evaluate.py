@@ -47,7 +47,7 @@ def item_picks(choices: DataFrame, by: Sequence[str] = (), item: str = "item_id"
 
 def group_choices(choices: DataFrame, item: str = "item_id") -> DataFrame:
     """Requests regrouped to items, choices in order; an item is one question with its few candidates."""
-    ordered = F.array_sort(F.collect_list(F.struct("choice_idx", "raw", "n_units", "n_chars")))
+    ordered = F.sort_array(F.collect_list(F.struct("choice_idx", "raw", "n_units", "n_chars")))
     return choices.groupBy(item).agg(ordered.alias("choices"), F.min("gold").alias("gold"))
 
 

@@ -75,16 +75,15 @@ def pandas_scorer(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 def vocabulary_pieces(units: DataFrame, vocab: DataFrame, l_max: int) -> DataFrame:
     """Cut distinct units by greedy longest match against a vocabulary table.
 
-    All substrings of the units are joined with the vocabulary (both hash-spread by
-    the string), the longest match per start is kept, and a fold over the starts walks
-    the unit.  Characters no entry covers run together and are cut at ``l_max`` bytes.
+    All substrings of the units are joined with the vocabulary, the longest match per
+    start is kept, and a fold over the starts walks the unit.  Characters no entry covers run together and are cut at ``l_max`` bytes.
     """
     at = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
     sub = at.select(
         "unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(l_max), F.length("unit") - F.col("at") + 1))).alias("n")
     ).withColumn("piece", F.substring(F.col("unit"), F.col("at"), F.col("n")))
-    entries = vocab.filter((F.octet_length("unit") <= l_max) & (F.octet_length("unit") > 0)).select(F.col("unit").alias("piece")).distinct()
-    longest = sub.join(entries, "piece", "left_semi").groupBy("unit", "at").agg(F.max("n").alias("n"))
+    entries = vocab.filter((F.octet_length("unit") <= l_max) & (F.octet_length("unit") > 0)).select(F.col("unit").alias("piece"))
+    longest = join_checked(sub, entries, "piece", "left_semi").groupBy("unit", "at").agg(F.max("n").alias("n"))
     steps = longest.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("_steps"))
     rows = units.select("unit").join(steps, "unit", "left")
 
@@ -153,7 +152,7 @@ def resplit_cascade(
         "unit", "at", F.when(F.col("bad"), chunk_chars("piece", floor_bytes)).otherwise(F.array("piece")).alias("c")
     )
     mapping = final.groupBy("unit").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"])).alias("pieces")
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "c"))), lambda x: x["c"])).alias("pieces")
     )
     floor = again.select(F.explode(chunk_chars("piece", floor_bytes)).alias("unit")).distinct()
     return mapping, scorer(floor)

@@ -93,7 +93,7 @@ def spike_flags(
     guess = (
         narrow.filter(tail)
         .groupBy(run, (F.col("_block") + 1).alias("_block"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"]).alias("_h"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"]).alias("_h"))
     )
 
     schema = f"{run} {kind}, _block bigint, _rn bigint, spike boolean, limit double, _end array<double>"

@@ -129,7 +129,7 @@ def combine_boundaries(
             F.array_except(F.array_union("_first", "_second"), "_shared"),
             lambda at: coin(p, seed, *[F.col(k) for k in keep], at),
         )
-        rows = rows.withColumn("_cuts", F.array_sort(F.concat("_shared", single)))
+        rows = rows.withColumn("_cuts", F.sort_array(F.concat("_shared", single)))
     return explode_units(rows, slice_at(F.encode(text, "UTF-8"), F.col("_cuts"), l_max), keep)
 
 

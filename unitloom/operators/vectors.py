@@ -167,7 +167,7 @@ def group_mixture(vectors: DataFrame, label: str, floor: float = 0.05) -> DataFr
     dims = vectors.select(label, F.posexplode("vec").alias("d", "x"))
     per = dims.groupBy(label, "d").agg(F.avg("x").alias("m"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("s"), F.count(F.lit(1)).alias("n"))
     comp = per.groupBy(label).agg(
-        F.max("n").cast("double").alias("n"), F.array_sort(F.collect_list(F.struct("d", "m", "s"))).alias("p")
+        F.max("n").cast("double").alias("n"), F.sort_array(F.collect_list(F.struct("d", "m", "s"))).alias("p")
     )
     entry = F.struct(
         F.col(label).cast("bigint").alias("label"),
@@ -175,7 +175,7 @@ def group_mixture(vectors: DataFrame, label: str, floor: float = 0.05) -> DataFr
         F.transform("p", lambda x: x["m"]).alias("mu"),
         F.transform("p", lambda x: x["s"]).alias("sigma"),
     )
-    return comp.agg(F.array_sort(F.collect_list(entry)).alias("mixture"))
+    return comp.agg(F.sort_array(F.collect_list(entry)).alias("mixture"))
 
 
 def component_scores(vectors: DataFrame, mixture: DataFrame) -> DataFrame:
@@ -511,7 +511,7 @@ def displacement_axis(pairs: DataFrame, kind: str = "kind") -> DataFrame:
     and the variance that direction explains.  The mean direction has d rows per kind."""
     diff = pairs.select(kind, F.zip_with(F.col("b").cast("array<double>"), F.col("a").cast("array<double>"), lambda y, x: y - x).alias("v"))
     mean = diff.select(kind, F.posexplode("v").alias("d", "x")).groupBy(kind, "d").agg(F.avg("x").alias("m"))
-    axis = mean.groupBy(kind).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda t: t["m"]).alias("axis"))
+    axis = mean.groupBy(kind).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda t: t["m"]).alias("axis"))
     rows = diff.join(axis.select(kind, unit_vector("axis").alias("axis")), kind).select(kind, norm("v").alias("len"), dot("v", "axis").alias("along"))
     return rows.groupBy(kind).agg(
         F.count(F.lit(1)).alias("n"),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import coin, id_hash, start_offsets
+from ..functions import byte_text, coin, id_hash, start_offsets
 from ..session import durable
 from .ordered import prefix_scan, ranked, smallest
 from .segment import PATTERNS, explode_units, unit_array
@@ -23,7 +23,8 @@ def document_layout(counts: DataFrame, size: int) -> DataFrame:
     ``start`` is the document's first position in its shard; ``first_window`` numbers
     windows through all shards in name order.
     """
-    scanned = prefix_scan(durable(counts), ["shard"], ["doc_id"], {"_end": ("sum", F.col("n_units"))})
+    counts = durable(counts)
+    scanned = prefix_scan(counts, ["shard"], ["doc_id"], {"_end": ("sum", F.col("n_units"))})
     totals = counts_by_shard(counts).withColumn("_windows", F.floor(F.col("shard_units") / size).cast("bigint"))
     shards = prefix_scan(totals, [], ["shard"], {"_last": ("sum", F.col("_windows"))}).select(
         "shard", "shard_units", (F.col("_last") - F.col("_windows")).alias("first_window")
@@ -59,7 +60,7 @@ def make_windows(seq_units: DataFrame, size: int, tail: bool = False) -> DataFra
 
 def gather_windows(windowed: DataFrame, keys: Sequence[str] = ("window_id",)) -> DataFrame:
     """One row per window: units and document-start flags in order (at most ``size`` each)."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "unit", "doc_start")))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "unit", "doc_start")))
     rows = windowed.groupBy(*keys).agg(ordered.alias("_u"), F.min("shard").alias("shard"), F.min("seq").alias("seq0"))
     return rows.select(
         *keys,
@@ -243,27 +244,29 @@ def future_targets(windowed: DataFrame, n: int, lam: float, k_max: int, key: str
     Columns: ``idx`` the unit asked, ``delta`` 1-based byte distance, ``k`` which
     following unit, ``r`` place inside that unit, ``byte`` and ``weight`` lam^(k-1).
     """
-    order = Window.partitionBy(key).orderBy("idx").rowsBetween(1, n)
-    ahead = F.collect_list(F.struct(F.col("idx").alias("i"), F.hex("unit").alias("h"))).over(order)
-    rows = windowed.select(key, "idx", ahead.alias("_next")).filter(F.size("_next") > 0)
-    per_byte = F.flatten(
-        F.transform(
-            "_next",
-            lambda u: F.transform(
-                F.regexp_extract_all(u["h"], F.lit(".."), F.lit(0)),
-                lambda b, r: F.struct(u["i"].alias("i"), r.alias("r"), b.alias("b")),
-            ),
-        )
-    )
-    out = rows.select(key, "idx", F.posexplode(F.slice(per_byte, 1, k_max)).alias("_d", "_t"))
-    k = F.col("_t.i") - F.col("idx")
+    order = Window.partitionBy(key).orderBy("idx")
+    latin = windowed.select(key, "idx", byte_text("unit").alias("_b"))
+    ahead = latin.select(key, "idx", *[F.lead("_b", j).over(order).alias(f"_b{j}") for j in range(1, n + 1)])
+    # first byte after unit k of the n that follow
+    ends, sofar = [], F.lit(0)
+    for j in range(1, n + 1):
+        sofar = sofar + F.coalesce(F.length(f"_b{j}"), F.lit(0))
+        ends.append(sofar.alias(f"_e{j}"))
+    rows = ahead.select(key, "idx", F.concat_ws("", *[f"_b{j}" for j in range(1, n + 1)]).alias("_text"), *ends)
+    offsets = F.sequence(F.lit(0), F.least(F.length("_text"), F.lit(k_max)) - 1)
+    out = rows.select("*", F.explode(F.when(F.length("_text") > 0, offsets)).alias("_d"))
+    k, begin = F.lit(1), F.lit(0)
+    for j in range(1, n):
+        passed = F.col("_d") >= F.col(f"_e{j}")
+        k = k + passed.cast("int")
+        begin = F.when(passed, F.col(f"_e{j}")).otherwise(begin)
     return out.select(
         key,
         "idx",
         (F.col("_d") + 1).cast("bigint").alias("delta"),
         k.cast("bigint").alias("k"),
-        F.col("_t.r").cast("bigint").alias("r"),
-        F.conv("_t.b", 16, 10).cast("bigint").alias("byte"),
+        (F.col("_d") - begin).cast("bigint").alias("r"),
+        F.ascii(F.substring("_text", F.col("_d") + 1, F.lit(1))).cast("bigint").alias("byte"),
         F.pow(F.lit(float(lam)), k - 1).alias("weight"),
     )
 

@@ -208,7 +208,7 @@ def _stored_units(spark, sf):
 )
 def write_read_units(spark, sf):
     units = unit_store.read_units(spark, _stored_units(spark, sf))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "unit")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "unit")))
     return units.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_units"),
         F.md5(F.array_join(F.transform(ordered, lambda x: x["unit"]), SEP)).alias("stream"),

@@ -95,7 +95,7 @@ def resplit_cascade(spark, sf):
 def apply_mapping(spark, sf):
     _, mapping, _ = cascade(spark, sf)
     units = rewrite.apply_mapping(word_units(spark, sf), mapping)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "piece", "unit")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "piece", "unit")))
     return units.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_units"),
         F.md5(F.array_join(F.transform(ordered, lambda x: x["unit"]), SEP)).alias("stream"),

@@ -32,7 +32,7 @@ def stream_segment(spark, sf):
     jobs.stream_segment(spark, src, dst, mark, max_files=2)
     jobs.stream_segment(spark, src, dst, mark, max_files=2)  # nothing new: must add nothing
     units = spark.read.parquet(dst)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "unit")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "unit")))
     return units.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_units"), F.md5(F.array_join(F.transform(ordered, lambda x: x["unit"]), SEP)).alias("stream")
     )

@@ -284,7 +284,7 @@ def next_unit_pairs(spark, sf):
 )
 def context_snippets(spark, sf):
     rows = win.context_snippets(word_units(spark, sf), 6)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "context")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "context")))
     return rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.octet_length("context").cast("bigint")).alias("n_bytes"),

@@ -77,7 +77,7 @@ def parse_sections(lines: DataFrame, file: str = "file", line_no: Sequence[str]
     body = label_sections(lines, file, line_no).filter(
         (F.btrim("line") != "") & ~F.col("line").rlike(MARKER_LINES)
     )
-    ordered = F.array_sort(F.collect_list(F.struct(*line_no, "line")))
+    ordered = F.sort_array(F.collect_list(F.struct(*line_no, "line")))
     return body.groupBy(file, "prompt_id", "title", "readout").agg(
         F.btrim(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("text")
     )
