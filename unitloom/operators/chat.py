@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import WORD_PREV, ratio, start_offsets
-from .ordered import prefix_scan
+from .ordered import one_row, prefix_scan
 from .segment import unit_array
 
 # Role markers, the end marker and the spellings of the roles.
@@ -195,10 +195,9 @@ def compare_separators(turns: DataFrame, scorer=None, thresh: float = 0.2) -> Da
 
     The recommended separator has the smallest (merge share, flag share).
     """
-    spark = turns.sparkSession
-    seps = spark.createDataFrame(list(SEPARATORS.items()), "sep_name string, sep string")
     keys = ["sep_name", "conv_id"]
-    triple = turns.crossJoin(F.broadcast(seps))
+    variants = F.array(*[F.struct(F.lit(n).alias("sep_name"), F.lit(s).alias("sep")) for n, s in SEPARATORS.items()])
+    triple = turns.select("*", F.inline(variants))
     units = chat_units(render_turns(triple, F.col("sep"), keys=keys), keys)
     counts = units.groupBy("sep_name", "unit").agg(
         F.count(F.lit(1)).alias("cnt"), F.sum(F.col("is_target").cast("bigint")).alias("n_target")
@@ -223,7 +222,7 @@ def compare_separators(turns: DataFrame, scorer=None, thresh: float = 0.2) -> Da
         "*", ratio("n_target", "n_units").alias("target_share"), ratio("n_cross", "n_units").alias("cross_share"), ratio("n_flag", "n_units").alias("flag_share")
     )
     best = table.agg(F.min_by("sep_name", F.struct("cross_share", "flag_share", "sep_name")).alias("_best"))
-    return table.crossJoin(F.broadcast(best)).withColumn("recommended", F.col("sep_name") == F.col("_best")).drop("_best")
+    return table.transform(one_row, best).withColumn("recommended", F.col("sep_name") == F.col("_best")).drop("_best")
 
 
 def truncate_context(pairs: DataFrame, max_len: int, ctx: str = "ctx_units", cont: str = "cont_units") -> DataFrame:

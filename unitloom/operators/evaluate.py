@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ratio, stderr
-from .ordered import prefix_scan, ranked, top_per_group
+from .ordered import one_row, prefix_scan, ranked, top_per_group
 
 
 def with_scores(choices: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def length_bias(choices: DataFrame, item: str = "item_id") -> DataFrame:
     )
     close = scored.select(item, "s_unit").join(best.select(item, "_best"), item).filter(F.abs(F.col("s_unit") - F.col("_best")) < 1e-9)
     ties = close.groupBy(item).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum((F.col("c") > 1).cast("bigint")), F.lit(0)).alias("n_ties"))
-    return per_item.crossJoin(pooled).crossJoin(ties).withColumn("tie_rate", ratio("n_ties", "n_items"))
+    return per_item.transform(one_row, pooled).transform(one_row, ties).withColumn("tie_rate", ratio("n_ties", "n_items"))
 
 
 def shortest_gate(choices: DataFrame, item: str = "item_id", margin: float = 0.04) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import id_hash, ratio
-from .ordered import prefix_scan, ranked
+from .ordered import one_row, prefix_scan, ranked
 
 
 def build_seen_ids(df: DataFrame, key: str) -> DataFrame:
@@ -58,7 +58,7 @@ def split_train_val(distinct: DataFrame, val_frac: float, seed: int) -> DataFram
     """Hash-shuffled split; at least one validation row."""
     size = distinct.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(val_frac))).cast("bigint").alias("n_val"))
     placed = ranked(distinct.withColumn("_h", id_hash(F.lit(str(seed)), "unit")), [], ["_h", "unit"], "place")
-    return placed.crossJoin(F.broadcast(size)).select(
+    return placed.transform(one_row, size).select(
         *distinct.columns, F.when(F.col("place") <= F.col("n_val"), "val").otherwise("train").alias("split")
     )
 
@@ -80,7 +80,7 @@ def pick_shards(shards: DataFrame, targets: Mapping[str, float], anchor: str, so
         {"cum": ("sum", F.col("n_units"))},
     )
     keep = (F.col("klass") == anchor) | (F.col("cum") - F.col("n_units") < share[F.col("klass")] * F.col("_total"))
-    return run.crossJoin(F.broadcast(total)).filter(keep).drop("_rank", "_total")
+    return run.transform(one_row, total).filter(keep).drop("_rank", "_total")
 
 
 def mix_report(chosen: DataFrame, by: str = "klass") -> DataFrame:
@@ -89,7 +89,7 @@ def mix_report(chosen: DataFrame, by: str = "klass") -> DataFrame:
         F.count(F.lit(1)).alias("shards"), F.sum("n_units").alias("n_units"), F.grouping_id().alias("_level")
     )
     total = chosen.agg(F.sum("n_units").alias("_all"))
-    return rows.crossJoin(F.broadcast(total)).select(
+    return rows.transform(one_row, total).select(
         F.when(F.col("_level") == 1, "TOTAL").otherwise(F.col(by)).alias(by), "shards", "n_units", ratio("n_units", "_all").alias("share")
     )
 

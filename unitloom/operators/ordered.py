@@ -99,6 +99,14 @@ def prefix_scan(
     )
 
 
+def one_row(df: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Attach the columns of a table that is one row by construction (an ungrouped aggregate).
+
+    Use as ``df.transform(one_row, totals)``.
+    """
+    return df.crossJoin(F.broadcast(scalars))
+
+
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence, name: str = "rn") -> DataFrame:
     """1-based position of every row inside its group."""
     return prefix_scan(df, group, order, {name: ("count", F.lit(1))})

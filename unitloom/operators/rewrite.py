@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import char_units, chunk_chars, hash01, id_hash
 from ..session import durable
+from .ordered import one_row
 
 BEGIN = "^"
 BROADCAST_ROWS = 500_000
@@ -198,7 +199,7 @@ def verify_stats(freq: DataFrame, mapping: DataFrame, floor: DataFrame, thresh:
     )
     bad = ~F.col("ok") | (F.col("entropy") > thresh) | (F.octet_length("unit") > l_max)
     rest = floor.agg(F.count(F.lit(1)).alias("n_floor"), F.coalesce(F.sum(bad.cast("bigint")), F.lit(0)).alias("n_floor_fail"))
-    return main.crossJoin(rest).withColumn("factor", F.col("n_out") / F.greatest(F.col("n_in"), F.lit(1)))
+    return main.transform(one_row, rest).withColumn("factor", F.col("n_out") / F.greatest(F.col("n_in"), F.lit(1)))
 
 
 def encode_with_vocab(docs: DataFrame, units: Column, vocab: DataFrame, topn: int, keep=("shard", "doc_id")) -> DataFrame:

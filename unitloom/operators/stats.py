@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import byte_levenshtein, byte_text, canonical_form, id_hash, ratio, unit_type
-from .ordered import prefix_scan, ranked, top_per_group
+from .ordered import one_row, prefix_scan, ranked, top_per_group
 
 
 def count_units(units: DataFrame, by: Sequence[str] = ("unit",)) -> DataFrame:
@@ -41,7 +41,7 @@ def unit_freq(freq: DataFrame, topn: int | None = None) -> DataFrame:
     else:
         out = prefix_scan(freq, [], order, {"rnk": ("count", F.lit(1)), "_cum": ("sum", F.col("cnt"))})
         out = out if topn is None else out.filter(F.col("rnk") <= topn)
-    return out.crossJoin(F.broadcast(total)).select("unit", "cnt", "rnk", (F.col("_cum") / F.col("total")).alias("cum_share"))
+    return out.transform(one_row, total).select("unit", "cnt", "rnk", (F.col("_cum") / F.col("total")).alias("cum_share"))
 
 
 def coverage_curve(freq: DataFrame, marks: Sequence[int]) -> DataFrame:
@@ -109,7 +109,7 @@ def heaps_fit(curve: DataFrame, n_units: str, n_distinct: str, target: DataFrame
     """Log-log least squares; extrapolates to the unit total in the one-row ``target``."""
     x, y = F.log(F.col(n_units)), F.log(F.col(n_distinct))
     fit = curve.agg(F.regr_slope(y, x).alias("beta"), F.regr_intercept(y, x).alias("log_k"))
-    return fit.crossJoin(F.broadcast(target)).select(
+    return fit.transform(one_row, target).select(
         "beta", "log_k", (F.exp("log_k") * F.pow(F.col("total"), F.col("beta"))).alias("estimate")
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import byte_levenshtein, hash01, id_hash, log_sum_exp
 from ..session import durable
-from .ordered import prefix_scan, ranked, smallest, top_per_group
+from .ordered import one_row, prefix_scan, ranked, smallest, top_per_group
 
 EPS = 1e-9
 
@@ -180,7 +180,7 @@ def group_mixture(vectors: DataFrame, label: str, floor: float = 0.05) -> DataFr
 
 def component_scores(vectors: DataFrame, mixture: DataFrame) -> DataFrame:
     """Per vector the joint log density of every component: log softmax(logit) + log N."""
-    rows = vectors.crossJoin(F.broadcast(mixture))
+    rows = vectors.transform(one_row, mixture)
     total = log_sum_exp(F.transform("mixture", lambda c: c["logit"]))
 
     def density(c: Column) -> Column:
@@ -252,7 +252,7 @@ def calibrate_temperature(positions: DataFrame, taus: Sequence[float], n_table:
         (F.col("_tst") * log2e / F.greatest(F.col("_b_in"), F.lit(1))).alias("bpb_covered"),
     )
     best = out.agg(F.min_by("tau", F.struct("nll_calib", "tau")).alias("_best"))
-    return out.crossJoin(F.broadcast(best)).withColumn("best", F.col("tau") == F.col("_best")).drop("_best")
+    return out.transform(one_row, best).withColumn("best", F.col("tau") == F.col("_best")).drop("_best")
 
 
 # --- geometry ------------------------------------------------------------------
@@ -273,7 +273,7 @@ def sampled_anisotropy(vectors: DataFrame, n_pairs: int, seed: int) -> DataFrame
     unit = vectors.select("id", unit_vector(F.col("vec").cast("array<double>")).alias("u")).join(placed, "id").drop("id")
     draws = (
         vectors.sparkSession.range(n_pairs)
-        .crossJoin(F.broadcast(total))
+        .transform(one_row, total)
         .select(
             F.pmod(id_hash(F.lit(f"{seed}i"), "id"), F.col("_n")).alias("i"), F.pmod(id_hash(F.lit(f"{seed}j"), "id"), F.col("_n")).alias("j")
         )
@@ -302,7 +302,7 @@ def covariance(vectors: DataFrame) -> DataFrame:
     cells = durable(sums.withColumn("d", d))  # (d + 1)^2 rows
     mean = cells.filter("j = d AND i < d").select("i", F.col("s").alias("m"))
     count = cells.filter("i = d AND j = d").select(F.col("s").alias("n"))
-    body = cells.filter("i < d AND j < d").crossJoin(F.broadcast(count))
+    body = cells.filter("i < d AND j < d").transform(one_row, count)
     body = body.join(F.broadcast(mean), "i").join(F.broadcast(mean.select(F.col("i").alias("j"), F.col("m").alias("m2"))), "j")
     return body.select("i", "j", (F.col("s") / F.col("n") - F.col("m") * F.col("m2") / (F.col("n") * F.col("n"))).alias("c"), "n")
 
@@ -341,13 +341,13 @@ def dim_health(vectors: DataFrame) -> DataFrame:
     """Dead dimensions, median/max variance and vector norm spread."""
     per = vectors.select(F.posexplode(F.col("vec").cast("array<double>")).alias("d", "x")).groupBy("d").agg(F.var_pop("x").alias("v"))
     top = per.agg(F.max("v").alias("_m"))
-    dims = per.crossJoin(F.broadcast(top)).agg(
+    dims = per.transform(one_row, top).agg(
         F.count(F.lit(1)).alias("d"), F.sum((F.col("v") < 1e-4 * F.col("_m")).cast("bigint")).alias("dead"), (F.percentile("v", F.lit(0.5)) / F.max("_m")).alias("median_ratio")
     )
     size = vectors.select(norm(F.col("vec").cast("array<double>")).alias("l")).agg(
         F.avg("l").alias("norm_mean"), F.stddev_pop("l").alias("norm_std"), F.min("l").alias("norm_min"), F.max("l").alias("norm_max")
     )
-    return dims.crossJoin(size)
+    return dims.transform(one_row, size)
 
 
 def clustering_coefficient(neighbours: DataFrame) -> DataFrame:
@@ -397,7 +397,7 @@ def nmi(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return per.agg((F.log(F.sum("m")) - F.sum(F.col("m") * F.log("m")) / F.sum("m")).alias(name))
 
     joint = cells.agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("h_ab"), F.sum("n").alias("n"))
-    out = joint.crossJoin(entropy(a, "h_a")).crossJoin(entropy(b, "h_b"))
+    out = joint.transform(one_row, entropy(a, "h_a")).transform(one_row, entropy(b, "h_b"))
     mutual = F.col("h_a") + F.col("h_b") - F.col("h_ab")
     mean = (F.col("h_a") + F.col("h_b")) / 2
     return out.select("n", mutual.alias("mutual"), F.when(mean > 0, mutual / mean).otherwise(1.0).alias("nmi"))
@@ -475,7 +475,7 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, ps: Sequence[float]) -> Da
     levels = df.groupBy(x).agg(F.sum(w).alias("_w"))
     run = durable(prefix_scan(levels, [], [x], {"_cum": ("sum", F.col("_w"))}))
     total = run.agg(F.max("_cum").alias("_all"))
-    marks = run.crossJoin(F.broadcast(total)).withColumn("p", F.explode(F.lit(list(ps)).cast("array<double>")))
+    marks = run.transform(one_row, total).withColumn("p", F.explode(F.lit(list(ps)).cast("array<double>")))
     return marks.filter(F.col("_cum") >= F.col("p") * F.col("_all") * (1 - 1e-12)).groupBy("p").agg(F.min(x).alias("quantile"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import byte_text, coin, id_hash, start_offsets
 from ..session import durable
-from .ordered import prefix_scan, ranked, smallest
+from .ordered import one_row, prefix_scan, ranked, smallest
 from .segment import PATTERNS, explode_units, unit_array
 
 
@@ -83,7 +83,7 @@ def read_unit_range(seq_units: DataFrame, shard: str, first: int, n: int) -> Dat
 def holdout_tail(windowed: DataFrame, n: int) -> DataFrame:
     """The last ``n`` windows."""
     last = windowed.agg(F.max("window_id").alias("_last"))
-    return windowed.crossJoin(F.broadcast(last)).filter(F.col("window_id") > F.col("_last") - n).drop("_last")
+    return windowed.transform(one_row, last).filter(F.col("window_id") > F.col("_last") - n).drop("_last")
 
 
 def window_count(layout: DataFrame, size: int) -> DataFrame:
@@ -112,7 +112,7 @@ def sample_windows(ids: DataFrame, n: int, seed: int) -> DataFrame:
 def draw_windows(total: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` draws with replacement: draw i takes window hash(seed, i) mod N."""
     draws = total.sparkSession.range(n).select(F.col("id").alias("draw"))
-    return draws.crossJoin(F.broadcast(total)).select(
+    return draws.transform(one_row, total).select(
         "draw", F.pmod(id_hash(F.lit(str(seed)), "draw"), F.col("n_windows")).alias("window_id")
     )
 
@@ -136,7 +136,7 @@ def rotation_plan(shards: DataFrame, resident: int, every: int, steps: int, seed
     wanted = (
         total.sparkSession.range(blocks)
         .select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(resident - 1))).alias("slot"))
-        .crossJoin(F.broadcast(total))
+        .transform(one_row, total)
         .withColumn("place", F.pmod(F.col("block") + F.col("slot"), F.col("n")) + 1)
     )
     return wanted.join(place.drop("_h"), "place").select("block", F.col("slot").cast("bigint").alias("slot"), "shard")
@@ -302,7 +302,7 @@ def packing_waste(windowed: DataFrame, size: int, l_max: int, key: str = "window
         (1 - F.sum("row_bytes") / (F.count(F.lit(1)) * size * l_max)).alias("pad_ratio"),
         (F.lit(float(size * l_max)) / F.avg("row_bytes")).alias("waste"),
     )
-    return lengths.crossJoin(spread)
+    return lengths.transform(one_row, spread)
 
 
 def rolling_eval_plan(units: DataFrame, size: int, keys: Sequence[str] = ("shard", "doc_id")) -> DataFrame:
@@ -320,21 +320,16 @@ def rolling_eval_plan(units: DataFrame, size: int, keys: Sequence[str] = ("shard
     return out.withColumn("context_start", start)
 
 
-def next_unit_pairs(units: DataFrame, keys: Sequence[str] = ("shard", "doc_id"), text_key: str = "pos") -> DataFrame:
-    """(previous, next) pairs inside every document; the first unit follows a begin marker and is masked."""
-    order = Window.partitionBy(*keys).orderBy(text_key)
-    return units.select(
-        *keys, text_key, F.lag("unit").over(order).alias("prev"), F.col("unit").alias("next"), F.col("doc_start").alias("masked")
-    )
-
-
 def pair_arrays(units: Column) -> Column:
-    """(previous, next) pairs of one unit array, built in the row."""
+    """(previous, next) pairs of one document's units, built in the row without a shuffle.
+
+    The first unit follows a begin marker (NULL) and is the pair a loss would mask.
+    """
     shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice(units, F.lit(1), F.greatest(F.size(units) - 1, F.lit(0))))
     return F.arrays_zip(shifted.alias("prev"), units.alias("next"))
 
 
-def context_snippets(units: DataFrame, k: int = 6, keys: Sequence[str] = ("shard", "doc_id")) -> DataFrame:
-    """Each unit with the ``k`` units before it in its document."""
-    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-k, -1)
-    return units.withColumn("context", F.array_join(F.collect_list("unit").over(order), ""))
+def context_arrays(units: Column, k: int = 6) -> Column:
+    """For every unit of an array, the text of the ``k`` units before it; built in the row."""
+    before = lambda i: F.slice(units, F.greatest(i - k + 1, F.lit(1)), F.least(i, F.lit(k)))
+    return F.transform(units, lambda u, i: F.array_join(before(i), ""))

@@ -13,6 +13,7 @@ from .registry import query, table
 from .statistics import rounded
 from .windowing import _TARGETS, windowed
 from ..operators import windows as win
+from ..operators.ordered import one_row
 
 
 def choices(spark, sf):
@@ -220,7 +221,7 @@ def regression_alarm(spark, sf):
     events = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "value")
     daily = events.groupBy("day").agg(F.avg("value").alias("metric"))
     base = daily.agg(F.min_by("metric", "day").alias("base"))
-    out = ev.regression_alarm(daily.crossJoin(F.broadcast(base)), "metric", F.col("base"), 2.0)
+    out = ev.regression_alarm(daily.transform(one_row, base), "metric", F.col("base"), 2.0)
     return rounded(out.drop("base"), "metric", "excess")
 
 

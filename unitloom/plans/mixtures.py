@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import id_hash
 from ..operators import mixing, segment as seg
+from ..operators.ordered import one_row, top_per_group
 from .common_sql import FREQ, UNITS, hash60
 from .corpus import word_freq, word_units
 from .registry import documents, query, table
@@ -131,9 +132,9 @@ def require_min(spark, sf):
     f"""WITH {UNITS} SELECT lang AS pool, row_number() OVER (PARTITION BY lang ORDER BY shard, doc_id, pos) AS place, unit FROM units QUALIFY place <= 3""",
 )
 def pool_peek(spark, sf):
-    from ..operators.ordered import top_per_group
-
-    units = seg.segment_word(documents(spark, sf), keep=("lang", "shard", "doc_id"))
+    # a pool's first units lie among the first ones of its documents, so only those are expanded
+    first = F.slice(seg.unit_array("text", seg.WORD_PREV, 32), 1, 3)
+    units = seg.explode_units(documents(spark, sf), first, ["lang", "shard", "doc_id"])
     out = top_per_group(units, ["lang"], ["shard", "doc_id", "pos"], 3, "place")
     return out.select(F.col("lang").alias("pool"), "place", "unit")
 
@@ -157,7 +158,7 @@ def exclude_tasks(spark, sf):
     scores = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("task")).agg(F.avg("l_quantity").alias("score"))
     flagged = mixing.exclude_tasks(scores, ["R"])
     mean = flagged.filter("valid").agg(F.avg("score").alias("mean_valid"))
-    return rounded(flagged.crossJoin(mean), "score", "mean_valid")
+    return rounded(flagged.transform(one_row, mean), "score", "mean_valid")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats, vectors as vx
-from ..operators.ordered import smallest
+from ..operators.ordered import one_row, smallest
 from ..functions import id_hash
 from ..session import durable
 from .common_sql import CHOICES, FREQ, hash60
@@ -107,7 +107,7 @@ def calibrate_temperature(spark, sf):
     s = s.withColumn("z", F.filter("z", lambda c: c["labels"] != 9))
     own = F.get(F.filter("z", lambda c: c["labels"] == F.col("label")), F.lit(0))["scores"]
     last = s.agg(F.max("id").alias("_last"))
-    rows = s.crossJoin(F.broadcast(last)).select(
+    rows = s.transform(one_row, last).select(
         F.transform("z", lambda c: c["scores"]).alias("scores"),
         own.alias("true_score"),
         F.octet_length(F.col("id").cast("string")).alias("n_bytes"),

@@ -283,12 +283,11 @@ def next_unit_pairs(spark, sf):
     SELECT doc_id, count(*) AS n, sum(strlen(context))::BIGINT AS n_bytes, md5(string_agg(context, chr(31) ORDER BY pos)) AS stream FROM s GROUP BY doc_id""",
 )
 def context_snippets(spark, sf):
-    rows = win.context_snippets(word_units(spark, sf), 6)
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "context")))
-    return rows.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.octet_length("context").cast("bigint")).alias("n_bytes"),
-        F.md5(F.array_join(F.transform(ordered, lambda x: x["context"]), SEP)).alias("stream"),
+    docs = documents(spark, sf).select("doc_id", seg.unit_array("text", WORD_PREV, 32).alias("units"))
+    rows = docs.select("doc_id", win.context_arrays(F.col("units"), 6).alias("context"))
+    size = F.aggregate("context", F.lit(0).cast("bigint"), lambda a, c: a + F.octet_length(c))
+    return rows.select(
+        "doc_id", F.size("context").cast("bigint").alias("n"), size.alias("n_bytes"), F.md5(F.array_join("context", SEP)).alias("stream")
     )
 
 
