@@ -72,10 +72,10 @@ def mc_accuracy(picks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("stderr", stderr("acc", "n"))
 
 
-def _pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Correlation from centred sums; NULL below three points or without variance."""
-    vx, vy, c = sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
-    return F.when((n >= 3) & (vx > 1e-9) & (vy > 1e-9), c / F.sqrt(vx * vy))
+def pearson(x: str, y: str) -> Column:
+    """Correlation as an aggregate; NULL below three points or without variance."""
+    vx, vy = F.var_pop(x), F.var_pop(y)
+    return F.when((F.count(F.lit(1)) >= 3) & (vx > 0) & (vy > 0), F.covar_pop(x, y) / F.sqrt(vx * vy))
 
 
 def length_bias(choices: DataFrame, item: str = "item_id") -> DataFrame:
@@ -94,7 +94,7 @@ def length_bias(choices: DataFrame, item: str = "item_id") -> DataFrame:
         ],
     )
     pooled = scored.agg(
-        F.corr("n_chars", "raw").alias("r_raw_chars"), F.corr("n_units", "s_unit").alias("r_unit_units"), F.count(F.lit(1)).alias("n_choices")
+        pearson("n_chars", "raw").alias("r_raw_chars"), pearson("n_units", "s_unit").alias("r_unit_units"), F.count(F.lit(1)).alias("n_choices")
     )
     within_x = F.sum(F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_k"))
     within_y = F.sum(F.col("_yy") - F.col("_y") * F.col("_y") / F.col("_k"))
