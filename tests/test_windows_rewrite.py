@@ -96,10 +96,11 @@ def test_pandas_scorer_hook(spark):
 
 
 def test_vocabulary_pieces_greedy(spark):
-    units = spark.createDataFrame([("abcdxyz",), ("zzz",), ("éab",)], "unit string")
+    units = spark.createDataFrame([("abcdxyz",), ("zzz",), ("éab",), ("qqqqqéqqq",)], "unit string")
     vocab = spark.createDataFrame([("ab",), ("abc",), ("dx",), ("d",)], "unit string")
-    got = {r.unit: list(r.pieces) for r in rewrite.vocabulary_pieces(units, vocab, 4).collect()}
-    assert got == {"abcdxyz": ["abc", "dx", "yz"], "zzz": ["zzz"], "éab": ["é", "ab"]}
+    for limit in (100, 0):  # set in every task, and joined
+        got = {r.unit: list(r.pieces) for r in rewrite.vocabulary_pieces(units, vocab, 4, limit).collect()}
+        assert got == {"abcdxyz": ["abc", "dx", "yz"], "zzz": ["zzz"], "éab": ["é", "ab"], "qqqqqéqqq": ["qqqq", "qéq", "qq"]}
 
 
 def test_typos(spark):

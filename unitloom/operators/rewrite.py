@@ -73,18 +73,71 @@ def pandas_scorer(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
     return score
 
 
-def vocabulary_pieces(units: DataFrame, vocab: DataFrame, l_max: int) -> DataFrame:
+def _cut_rest(text: str, cap: int) -> list[str]:
+    """Pieces of at most ``cap`` bytes between characters; a wider character stays whole."""
+    out, start, size = [], 0, 0
+    for i, ch in enumerate(text):
+        wide = len(ch.encode())
+        if size and size + wide > cap:
+            out.append(text[start:i])
+            start, size = i, 0
+        size += wide
+    return [*out, text[start:]]
+
+
+def _greedy(unit: str, words: frozenset, longest: int, l_max: int) -> list[str]:
+    """Longest match from the left; characters without a match run together."""
+    out: list[str] = []
+    at = rest = 0
+    while at < len(unit):
+        top = min(longest, len(unit) - at)
+        n = next((n for n in range(top, 0, -1) if unit[at : at + n] in words), 0)
+        if n:
+            if rest < at:
+                out.extend(_cut_rest(unit[rest:at], l_max))
+            out.append(unit[at : at + n])
+            rest = at + n
+        at += n or 1
+    if rest < len(unit):
+        out.extend(_cut_rest(unit[rest:], l_max))
+    return out
+
+
+def vocabulary_pieces(units: DataFrame, vocab: DataFrame, l_max: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Cut distinct units by greedy longest match against a vocabulary table.
 
+    Characters no entry covers run together and are cut at ``l_max`` bytes.  The
+    vocabulary is counted first: up to ``max_rows`` entries of at most ``l_max`` bytes
+    go to every task as a set and each unit is cut in one pass, without a shuffle; a
+    larger one is joined.
+    """
+    fitting = vocab.filter((F.octet_length("unit") <= l_max) & (F.octet_length("unit") > 0)).select("unit").distinct()
+    entries = [r.unit for r in fitting.limit(max_rows + 1).collect()] if max_rows else [""]
+    if len(entries) > max_rows:
+        return _pieces_by_join(units, fitting, l_max)
+    words = units.sparkSession.sparkContext.broadcast(frozenset(entries))
+    longest = max(map(len, entries), default=0)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = words.value
+        for pdf in batches:
+            yield pd.DataFrame({"unit": pdf["unit"], "pieces": [_greedy(u, known, longest, l_max) for u in pdf["unit"]]})
+
+    return units.select("unit").mapInPandas(cut, "unit string, pieces array<string>")
+
+
+def _pieces_by_join(units: DataFrame, vocab: DataFrame, l_max: int) -> DataFrame:
+    """The same cut with a vocabulary of any size.
+
     All substrings of the units are joined with the vocabulary, the longest match per
-    start is kept, and a fold over the starts walks the unit.  Characters no entry covers run together and are cut at ``l_max`` bytes.
+    start is kept, and a fold over the starts walks the unit.
     """
     at = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
     sub = at.select(
         "unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(l_max), F.length("unit") - F.col("at") + 1))).alias("n")
     ).withColumn("piece", F.substring(F.col("unit"), F.col("at"), F.col("n")))
-    entries = vocab.filter((F.octet_length("unit") <= l_max) & (F.octet_length("unit") > 0)).select(F.col("unit").alias("piece"))
-    longest = join_checked(sub, entries, "piece", "left_semi").groupBy("unit", "at").agg(F.max("n").alias("n"))
+    entries = vocab.select(F.col("unit").alias("piece"))
+    longest = sub.join(entries, "piece", "left_semi").groupBy("unit", "at").agg(F.max("n").alias("n"))
     steps = longest.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("_steps"))
     rows = units.select("unit").join(steps, "unit", "left")
 

@@ -198,7 +198,7 @@ def source_inventory(spark, sf):
 
 def _stored_units(spark, sf):
     path = scratch(spark)
-    unit_store.write_units(word_units(spark, sf), path)
+    unit_store.store_documents(documents(spark, sf), path)
     return path
 
 

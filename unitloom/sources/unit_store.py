@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.segment import segment_word
+
 
 def checked_units(units: DataFrame, l_max: int) -> DataFrame:
     """Fail the job on a unit outside 1..l_max bytes."""
@@ -30,6 +32,23 @@ def write_units(units: DataFrame, path: str, l_max: int = 32, mode: str = "overw
     )
 
 
+def store_documents(docs: DataFrame, path: str, merge: str = "prev", l_max: int = 32, mode: str = "overwrite") -> None:
+    """Segment (shard, doc_id, text) straight into a unit store.
+
+    The documents are range-arranged before they are split: the text is moved once
+    instead of its many unit rows, and sampling the key range does not run the splitter.
+    """
+    arranged = docs.select("shard", "doc_id", "text").repartitionByRange("shard", "doc_id")
+    units = checked_units(segment_word(arranged, merge, l_max), l_max)
+    (
+        units.sortWithinPartitions("shard", "doc_id", "pos")
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("shard")
+        .parquet(path)
+    )
+
+
 def read_units(spark: SparkSession, path: str, only=None) -> DataFrame:
     """Open all shards or the named ones; an empty selection is an error."""
     units = spark.read.option("basePath", path).parquet(path).withColumn("shard", F.col("shard").cast("string"))
