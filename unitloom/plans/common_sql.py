@@ -41,7 +41,7 @@ win AS (
 
 CHOICES = r"""
 choices AS (
-  SELECT l_orderkey AS item_id, l_linenumber - 1 AS choice_idx,
+  SELECT l_orderkey AS item_id, (l_linenumber - 1)::BIGINT AS choice_idx,
          -min(l_extendedprice) AS raw, -min(l_extendedprice * (1 - l_discount)) AS uncond,
          max(l_quantity) AS n_units, max(l_partkey) % 40 + 1 AS n_chars,
          min(l_returnflag) AS task, min(l_linestatus) AS tag, l_orderkey % 8 - 1 AS gold

@@ -185,7 +185,7 @@ _TARGETS = f"""tb AS (SELECT window_id, idx, n_bytes, hex(encode(unit)) AS h FRO
     tj AS (SELECT a.window_id, a.idx, b.idx - a.idx AS k, b.h, b.n_bytes,
       sum(b.n_bytes) OVER (PARTITION BY a.window_id, a.idx ORDER BY b.idx) - b.n_bytes AS before
       FROM tb a JOIN tb b ON a.window_id = b.window_id AND b.idx BETWEEN a.idx + 1 AND a.idx + 4),
-    tgt AS (SELECT window_id, idx, before + r + 1 AS delta, k, r, ('0x' || substr(h, 2 * r + 1, 2))::BIGINT AS byte, 0.8 ** (k - 1) AS weight
+    tgt AS (SELECT window_id, idx, (before + r + 1)::BIGINT AS delta, k, r, ('0x' || substr(h, 2 * r + 1, 2))::BIGINT AS byte, 0.8 ** (k - 1) AS weight
       FROM (SELECT *, unnest(range(0, n_bytes)) AS r FROM tj) WHERE before + r < 16)"""
 
 
