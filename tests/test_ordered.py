@@ -57,6 +57,11 @@ def test_prefix_scan_without_group_and_descending(sliced):
     assert got == [(499 - i, i + 1) for i in range(500)]
 
 
+def test_prefix_scan_null_group(sliced):
+    df = sliced.range(300).select(F.when(F.col("id") < 0, "x").alias("g"), F.col("id").alias("k"))
+    assert [r.rn for r in ranked(df, ["g"], ["k"]).orderBy("k").collect()] == list(range(1, 301))
+
+
 def test_sliding_equals_plain_window(sliced):
     data = rows(2)
     df = sliced.createDataFrame(data, "g string, k bigint, v bigint, keep boolean")

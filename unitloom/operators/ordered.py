@@ -77,8 +77,8 @@ def prefix_scan(
     carry = (
         local.filter("_tail")
         .select(
-            *keys,
-            "_slice",
+            *[F.col(k).alias(f"_key_{k}") for k in keys],
+            F.col("_slice").alias("_key_slice"),
             F.count(F.lit(1)).over(before).alias("_earlier"),
             *[
                 _KINDS["sum" if kinds[name] == "count" else kinds[name]](
@@ -92,7 +92,10 @@ def prefix_scan(
         .filter("_earlier > 0")
         .drop("_earlier")
     )
-    joined = local.join(F.broadcast(carry), [*keys, "_slice"], "left")
+    same = F.col("_slice") == F.col("_key_slice")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))  # a NULL group is a group like any other
+    joined = local.join(F.broadcast(carry), same, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_carry(kind, F.col(f"_base_{name}"), F.col(name)).alias(name) for name, kind in kinds.items()],
