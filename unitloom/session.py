@@ -8,6 +8,8 @@ always into reliable storage so that losing an executor never loses the data.
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +51,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once per application, so Python jobs find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_package_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="unitloom-package-")) / "unitloom-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._package_shipped = True
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the checkpoint folder and cut its lineage."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
