@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, secret_scan, toxicity
+from . import decontaminate, hnsw, licenses, link_graph, minhash, packing, secret_scan, tool_calls, toxicity, wrapper
 from .common import table
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.turn_schemas(spark))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -16,6 +21,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_hnsw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.report(table(spark, sf_dir, "embeddings"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_texts(spark))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
@@ -24,15 +41,54 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op7_order_minhash, op8_decontamination, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_tool_calls,
+        op2_secret_scan,
+        op3_best_fit_packing,
+        op4_wrapper_induction,
+        op5_hnsw_links,
+        op6_license_scan,
+        op7_order_minhash,
+        op8_decontamination,
+        op9_link_graph,
+        op10_toxicity,
+    )
+}
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+
+
+def _canonical(column: str) -> str:
+    low = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    form = f"trim(regexp_replace(regexp_replace({low}, '{licenses.COPYRIGHT_LINE}', chr(10), 'g'), '{licenses.SIGNS}', ' ', 'g'))"
+    for spelling, chosen in licenses.EQUIVALENT:
+        form = f"replace({form}, '{spelling}', '{chosen}')"
+    return form
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+
 ORACLES = {
+    "op5_hnsw_links": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+     reach AS (SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+     degree AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+     low AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN low ON vec_id = low.u LEFT JOIN degree ON vec_id = degree.u
+""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
      b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -47,5 +103,40 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM document
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""",
+    "op1_tool_calls": """
+WITH t AS (SELECT conv_id, turn, role, text, coalesce(length(text), 0) AS size,
+                  'call_' || conv_id || '_' || turn AS own, 'call_' || conv_id || '_' || (turn - 1) AS before FROM conversations),
+     c AS (SELECT *, ['search', 'translate', 'summarise'][CAST(size % 3 + 1 AS INT)] AS tool FROM t WHERE role = 'user'),
+     r AS (SELECT * FROM t WHERE role = 'assistant'),
+     needs AS (SELECT DISTINCT conv_id, turn, need FROM (SELECT conv_id, turn, unnest([turn // 2, turn // 3]) AS need FROM c) WHERE need < turn),
+     edges AS (SELECT n.* FROM needs n JOIN c ON n.conv_id = c.conv_id AND n.need = c.turn),
+     lacking AS (SELECT DISTINCT n.conv_id, n.turn FROM needs n ANTI JOIN c ON n.conv_id = c.conv_id AND n.need = c.turn),
+     paths AS (WITH RECURSIVE p AS (SELECT conv_id, turn, 0 AS level FROM c
+                                    UNION SELECT e.conv_id, e.turn, p.level + 1 FROM p JOIN edges e ON e.conv_id = p.conv_id AND e.need = p.turn) SELECT * FROM p),
+     levels AS (SELECT conv_id, turn, CAST(max(level) AS INT) AS level FROM paths GROUP BY ALL),
+     made AS (SELECT c.conv_id, c.turn, own AS call_id, tool, level,
+                     concat_ws('; ', CASE WHEN c.size % 7 = 0 THEN 'limit is not integer' END, CASE WHEN c.size % 11 = 0 THEN 'text is missing' END) AS errors,
+                     lacking.turn IS NOT NULL AS lacks, r.turn IS NOT NULL AS answered,
+                     '{"arguments":{"limit":' || CASE WHEN c.size % 7 = 0 THEN '"' || c.size || '"' ELSE CAST(c.size AS VARCHAR) END
+                     || CASE WHEN c.size % 11 = 0 THEN '' ELSE ',"text":' || CAST(to_json(c.text) AS VARCHAR) END
+                     || ',"turn":' || c.turn || '},"id":"' || own || '","name":"' || tool || '"}' AS call_json,
+                     '{"content":' || CAST(to_json(r.text) AS VARCHAR) || ',"id":"' || own || '"}' AS result_json
+              FROM c JOIN levels USING (conv_id, turn) LEFT JOIN lacking USING (conv_id, turn) LEFT JOIN (SELECT conv_id, turn - 1 AS turn, text FROM r) r USING (conv_id, turn))
+SELECT conv_id, turn, call_id, tool, level,
+       CASE WHEN errors <> '' THEN 'invalid' WHEN lacks THEN 'missing_need' WHEN NOT answered THEN 'unanswered' ELSE 'ok' END AS status, errors, call_json, result_json
+FROM made
+UNION ALL
+SELECT r.conv_id, r.turn, before, NULL, NULL, 'orphan', '', NULL, '{"content":' || CAST(to_json(r.text) AS VARCHAR) || ',"id":"' || before || '"}'
+FROM r ANTI JOIN c ON r.conv_id = c.conv_id AND r.turn - 1 = c.turn
+""",
+    "op6_license_scan": f"""
+WITH known AS (SELECT {_canonical("text")} AS form, min(license) AS license FROM (VALUES {_KNOWN}) k(license, text) GROUP BY 1),
+     d AS (SELECT row_number() OVER () AS r, doc_id, text, nullif({_canonical("text")}, '') AS form FROM documents),
+     parts AS (SELECT DISTINCT r, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n'))) AS text FROM d),
+     notices AS (SELECT r, string_agg(license, ',' ORDER BY license) AS notices, count(*) AS n FROM
+                 (SELECT DISTINCT r, license FROM (SELECT r, {_canonical("text")} AS form FROM parts) JOIN known USING (form)) GROUP BY r)
+SELECT doc_id, sha256(form) AS digest, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notices
+FROM d LEFT JOIN known USING (form) LEFT JOIN notices USING (r)
 """,
 }
