@@ -8,6 +8,7 @@ bins is exchanged (dealt anew) between the partitions with gaps and packed again
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,10 +26,12 @@ VOCABULARY = "word_bpe_49k.json"
 PARTITION_PIECES = 20_000
 #: Exchanges after which remaining gaps are accepted; each continues only if it saved bins.
 ROUNDS = 6
-#: Entries of a worker's table of known words; it is emptied when full.
-KNOWN_WORDS = 400_000
+#: Entries of a worker's table of known words (about 150 MB); it is emptied when full.
+KNOWN_WORDS = 1_000_000
 #: Words of more characters are encoded each time, so that the table's size is bounded.
 LONG_WORD = 64
+#: Documents whose new words are encoded in one call.
+TOGETHER = 128
 
 PLACED = "row long, length long, sequence_id long, offset long, settled boolean"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,23 +52,40 @@ def _tokenizer(path: str):
     return found, {}
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit integers.
+#: A run of signs that ends with one of the signs set apart below.
+_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
 
-    The tokenizer drops white space and never joins across it, so each blank-separated word can be
-    encoded alone and remembered.
+
+def _words(text: str) -> list[str]:
+    """Parts of the text that can be encoded one by one: the tokenizer drops blanks and never joins across them.
+
+    It lower-cases letter by letter (final sigma excepted, so such texts stay as they are) and parts letters from signs, so a
+    single comma or stop after a word may be set apart as well; that keeps the number of different words low.
     """
+    if "\u03a3" not in text:
+        text = text.lower()
+    if not _SIGNS.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+    return text.replace("\n", " ").split(" ")
+
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers, by way of the words that the worker knows."""
     tokenizer, known = _tokenizer(path)
-    words = text.replace("\n", " ").split(" ")
-    new = {w for w in words if w not in known}
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    split = [_words(text) for text in texts]
+    new = list(set().union(*split).difference(known))
     if new:
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-            new = set(words)
-        new = list(new)
-        coded = tokenizer.encode_batch(new, add_special_tokens=False)
-        known.update((w, np.asarray(c.ids, dtype="<u4").tobytes()) for w, c in zip(new, coded))
-    out = b"".join(map(known.__getitem__, words))
+        coded = tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in new])
+        first = np.fromiter((start for start, _ in coded.offsets), dtype=np.int64, count=len(coded.ids))
+        upto = np.searchsorted(np.searchsorted(ends, first, side="right"), np.arange(len(new)), side="right") * 4
+        ids, at = np.asarray(coded.ids, dtype="<u4").tobytes(), 0
+        for word, end in zip(new, upto.tolist()):
+            known[word] = ids[at:end]
+            at = end
+    out = [b"".join(map(known.__getitem__, words)) for words in split]
     for word in new:
         if len(word) > LONG_WORD:
             del known[word]
@@ -85,12 +105,15 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         names = [c.split()[0] for c in PIECES.split(", ")]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = token_bytes(text if isinstance(text, str) else "", path) + end
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                for number, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, number, at // 4, len(part) // 4, zlib.crc32(part)))
+            for at in range(0, len(batch), TOGETHER):
+                some = batch.iloc[at : at + TOGETHER]
+                coded = token_bytes([t if isinstance(t, str) else "" for t in some["text"]], path)
+                for doc_id, ids in zip(some["doc_id"], coded):
+                    ids += end
+                    doc_id = None if pd.isna(doc_id) else int(doc_id)
+                    for number, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start : start + 4 * capacity]
+                        rows.append((doc_id, number, start // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
