@@ -85,9 +85,20 @@ def test_core_survives_long_delimiter_runs(spark):
 
 
 def test_chunk_chars(spark):
-    df = spark.createDataFrame([("aé中🙂b", 3), ("abcdefg", 3)], "t string, c int")
-    got = [list(r.u) for r in df.select(chunk_chars("t", 3).alias("u")).collect()]
-    assert got == [["aé", "中", "🙂", "b"], ["abc", "def", "g"]]
+    # Greedy by whole characters: a character goes to a new piece when the old one would pass the cap.
+    def greedy(text, cap):
+        out = [""]
+        for c in text:
+            if out[-1] and len((out[-1] + c).encode()) > cap:
+                out.append("")
+            out[-1] += c
+        return out
+
+    texts = ["übergrößer", "x→y⇒z", "ok", "тест 123", "𝔘𝔫𝔦 code"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for cap in (3, 5):
+        got = [list(r.u) for r in df.select(chunk_chars("t", cap).alias("u")).collect()]
+        assert got == [greedy(t, cap) for t in texts]
 
 
 def test_combined_boundaries_conserve_bytes(spark):

@@ -49,13 +49,36 @@ def test_incremental_build_resumes(spark, tmp_path):
     assert incremental.build_incremental(spark, str(tmp_path / "gone"), dst) == 0
 
 
+def test_incremental_build_knows_files_by_path(spark, tmp_path):
+    import shutil
+
+    src, dst = tmp_path / "src", str(tmp_path / "dst")
+    made = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("doc_id"), F.concat(F.lit("doc "), F.col("id").cast("string")).alias("text")).coalesce(1)
+
+    def put(lo, hi, place):
+        made(lo, hi).write.mode("overwrite").parquet(str(tmp_path / "tmp"))
+        (src / place).parent.mkdir(parents=True, exist_ok=True)
+        shutil.copy(next((tmp_path / "tmp").glob("part-*.parquet")), src / place)
+
+    stored = lambda: sorted(r.doc_id for r in spark.read.parquet(f"{dst}/units").select("doc_id").distinct().collect())
+    put(0, 3, "p=a/x.parquet")
+    put(3, 5, "p=b/x.parquet")  # clashes in the same run
+    put(5, 6, "top.parquet")
+    assert incremental.build_incremental(spark, str(src), dst) == 3 and stored() == list(range(6))
+    put(6, 9, "p=c/deep er/x.parquet")  # clashes in a later run
+    assert incremental.build_incremental(spark, str(src), dst) == 1 and stored() == list(range(9))
+    put(20, 24, "p=b/x.parquet")  # changed
+    assert incremental.build_incremental(spark, str(src), dst) == 1 and stored() == [0, 1, 2, 5, 6, 7, 8, 20, 21, 22, 23]
+    assert incremental.build_incremental(spark, str(src), dst) == 0
+
+
 def test_run_log_and_metrics(spark, tmp_path):
     body = ['{"step": 1, "loss": 2.5}', "", "garbage", 'rank0 {"step": 2, "loss": 2.0, "lr": 0.1}', '{"step": 3, "event": "spike_skip"}', "{broken"]
     (tmp_path / "a.log").write_text("\n".join(body))
     got = sorted((r.step, r.loss) for r in logs.read_run_log(logs.read_lines(spark, str(tmp_path / "a.log"))).collect())
     assert got == [(1, 2.5), (2, 2.0)]
-    (tmp_path / "m.log").write_text("x held-out NLL  -3.25\nheld-out NLL 9\nnothing\n")
-    found = logs.extract_metrics(logs.read_lines(spark, str(tmp_path / "m.log")), {"nll": r"held-out NLL\s+(-?\d+(?:\.\d+)?)"})
+    (tmp_path / "m.log").write_text("12:00 | eval nll=-3.25\neval nll=9\nnothing\n")
+    found = logs.extract_metrics(logs.read_lines(spark, str(tmp_path / "m.log")), {"nll": r"eval nll=(-?\d+(?:\.\d+)?)"})
     assert [(r.metric, r.value) for r in found.collect()] == [("nll", -3.25)]
 
 

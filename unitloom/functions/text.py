@@ -82,7 +82,7 @@ def chunk_chars(col, cap: int) -> Column:
 
 
 def unit_type(col) -> Column:
-    """Coarse class of a unit: space, digitful, symbol, Capitalized, lower or mixed."""
+    """Coarse class of a unit: space, digitful, symbol, Capitalized, lower or mixed (a fixed rule, the letter ranges included)."""
     text = _c(col)
     return (
         F.when(F.btrim(text, F.lit(BLANKS)) == "", "space")

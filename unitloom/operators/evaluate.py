@@ -88,27 +88,33 @@ def length_bias(choices: DataFrame, item: str = "item_id") -> DataFrame:
         (F.max(F.struct(F.col("n_chars"), (-F.col("choice_idx")).alias("c")))["c"] * -1).alias("_long"),
         F.count(F.lit(1)).alias("_k"),
         F.avg("n_units").alias("_mean_units"),
-        *[
-            F.sum(e).alias(f"_{n}")
-            for n, e in (("x", F.col("n_units")), ("y", F.col("s_unit")), ("xx", F.col("n_units") * F.col("n_units")), ("yy", F.col("s_unit") * F.col("s_unit")), ("xy", F.col("n_units") * F.col("s_unit")))
-        ],
+        F.avg("s_unit").alias("_mean_score"),
     )
     pooled = scored.agg(
         pearson("n_chars", "raw").alias("r_raw_chars"), pearson("n_units", "s_unit").alias("r_unit_units"), F.count(F.lit(1)).alias("n_choices")
     )
-    within_x = F.sum(F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_k"))
-    within_y = F.sum(F.col("_yy") - F.col("_y") * F.col("_y") / F.col("_k"))
-    within_xy = F.sum(F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_k"))
-    per_item = best.agg(
+    # Centred by the item's means before squaring, so that large scores that are alike don't cancel.
+    centred = scored.select(item, "n_units", "s_unit").join(best.select(item, "_best", "_mean_units", "_mean_score"), item)
+    centred = centred.select(
+        item,
+        (F.col("n_units") - F.col("_mean_units")).alias("_dx"),
+        (F.col("s_unit") - F.col("_mean_score")).alias("_dy"),
+        (F.abs(F.col("s_unit") - F.col("_best")) < 1e-9).cast("bigint").alias("_close"),
+    )
+    square = lambda a, b: F.sum(F.col(a) * F.col(b))
+    per_choice = centred.groupBy(item).agg(
+        F.sum("_close").alias("_c"), square("_dx", "_dx").alias("_xx"), square("_dy", "_dy").alias("_yy"), square("_dx", "_dy").alias("_xy")
+    )
+    enough = (F.sum("_k") >= 3) & (F.sum("_xx") > 1e-9) & (F.sum("_yy") > 1e-9)
+    per_item = best.join(per_choice, item).agg(
         F.count(F.lit(1)).alias("n_items"),
+        F.coalesce(F.sum((F.col("_c") > 1).cast("bigint")), F.lit(0)).alias("n_ties"),
         F.avg("_mean_units").alias("n_units_mean"),
         F.avg((F.col("_pick") == F.col("_short")).cast("double")).alias("eq_shortest"),
         F.avg((F.col("_pick") == F.col("_long")).cast("double")).alias("eq_longest"),
-        F.when((F.sum("_k") >= 3) & (within_x > 1e-9) & (within_y > 1e-9), within_xy / F.sqrt(within_x * within_y)).alias("r_within"),
+        F.when(enough, F.sum("_xy") / F.sqrt(F.sum("_xx") * F.sum("_yy"))).alias("r_within"),
     )
-    close = scored.select(item, "s_unit").join(best.select(item, "_best"), item).filter(F.abs(F.col("s_unit") - F.col("_best")) < 1e-9)
-    ties = close.groupBy(item).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum((F.col("c") > 1).cast("bigint")), F.lit(0)).alias("n_ties"))
-    return per_item.transform(one_row, pooled).transform(one_row, ties).withColumn("tie_rate", ratio("n_ties", "n_items"))
+    return per_item.transform(one_row, pooled).withColumn("tie_rate", ratio("n_ties", "n_items"))
 
 
 def shortest_gate(choices: DataFrame, item: str = "item_id", margin: float = 0.04) -> DataFrame:
@@ -213,16 +219,23 @@ def stratified_loss(cells: DataFrame, by: Sequence[str], value: str, count: str
     return out
 
 
-def trend_violations(curve: DataFrame, series: str, x: str, y: str, tol: float) -> DataFrame:
-    """How often a curve rises or falls by more than ``tol``, its range and a verdict."""
+def trend_violations(
+    curve: DataFrame, series: str, x: str, y: str, step_tol: float = 0.005, range_tol: float = 0.05, growing: Sequence[str] = ()
+) -> DataFrame:
+    """How often a curve rises or falls by more than ``step_tol``, its range and a verdict.
+
+    FAIL: the curve's range is under ``range_tol``, so it says nothing.  WARN: it rises somewhere, or, for a series in
+    ``growing``, which should rise, it falls somewhere.
+    """
     order = Window.partitionBy(series).orderBy(x)
     step = curve.withColumn("_d", F.col(y) - F.lag(y).over(order))
     out = step.groupBy(series).agg(
-        F.sum((F.col("_d") > tol).cast("bigint")).alias("rises"),
-        F.sum((F.col("_d") < -tol).cast("bigint")).alias("falls"),
+        F.sum((F.col("_d") > step_tol).cast("bigint")).alias("rises"),
+        F.sum((F.col("_d") < -step_tol).cast("bigint")).alias("falls"),
         (F.max(y) - F.min(y)).alias("range"),
     )
-    verdict = F.when(F.col("range") < tol, "FAIL").when(F.col("rises") > 0, "WARN").otherwise("OK")
+    against = F.when(F.col(series).isin(*growing), F.col("falls")).otherwise(F.col("rises")) if growing else F.col("rises")
+    verdict = F.when(F.col("range") < range_tol, "FAIL").when(against > 0, "WARN").otherwise("OK")
     return out.withColumn("verdict", verdict)
 
 

@@ -16,7 +16,6 @@ from ..functions import (
     RUNS,
     WORD_NEXT,
     WORD_PREV,
-    chop_bytes,
     chunk_chars,
     coin,
     n_bytes,
@@ -133,17 +132,6 @@ def combine_boundaries(
     return explode_units(rows, slice_at(F.encode(text, "UTF-8"), F.col("_cuts"), l_max), keep)
 
 
-def chop_units(units: DataFrame, l_max: int, unit: str = "unit") -> DataFrame:
-    """Hard byte cap for BINARY units; pieces are numbered by ``piece``."""
-    raw = F.encode(unit, "UTF-8") if dict(units.dtypes)[unit] == "string" else F.col(unit)
-    return units.select("*", F.posexplode(chop_bytes(raw, l_max)).alias("piece", "bytes"))
-
-
-def chunk_units(units: DataFrame, cap: int, unit: str = "unit") -> DataFrame:
-    """Greedy character-safe pieces of at most ``cap`` bytes."""
-    return units.select("*", F.posexplode(chunk_chars(unit, cap)).alias("piece", "chunk"))
-
-
 def roundtrip(docs: DataFrame, pattern: str = WORD_PREV, l_max: int | None = 32, text: str = "text") -> DataFrame:
     """Documents checked, byte totals on both sides, and how many do not rebuild exactly."""
     joined = F.array_join(unit_array(text, pattern, l_max), "")

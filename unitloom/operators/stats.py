@@ -15,10 +15,6 @@ from ..functions import byte_levenshtein, byte_text, canonical_form, id_hash, ra
 from .ordered import one_row, prefix_scan, ranked, top_per_group
 
 
-def count_units(units: DataFrame, by: Sequence[str] = ("unit",)) -> DataFrame:
-    return units.groupBy(*by).agg(F.count(F.lit(1)).alias("cnt"))
-
-
 def count_doc_units(docs: DataFrame, unit_array: Column, by: Sequence[str] = ()) -> DataFrame:
     """Count units straight from the split array, without building unit rows first."""
     return docs.select(*by, F.explode(unit_array).alias("unit")).groupBy(*by, "unit").agg(F.count(F.lit(1)).alias("cnt"))
@@ -152,6 +148,7 @@ def type_profile(freq: DataFrame) -> DataFrame:
 
 
 def _byte_class(code: Column) -> Column:
+    # The codes of each class, in the order in which classes are tried.
     return (
         F.when(code.isin(32, 9, 10, 13), "space")
         .when(code.between(48, 57), "digit")

@@ -413,22 +413,22 @@ def purity(pairs: DataFrame, cluster: str, label: str) -> DataFrame:
 
 
 def intra_cluster_edit(units: DataFrame, cluster: str, n_pairs: int, seed: int) -> DataFrame:
-    """Mean normalised edit distance of ``n_pairs`` hash-drawn pairs in clusters with enough members."""
+    """Mean normalised edit distance of up to ``n_pairs`` hash-drawn pairs, in every cluster of four members or more."""
     hashed = units.select(cluster, "unit").withColumn("_h", id_hash(F.lit(str(seed)), "unit"))
     drawn = durable(top_per_group(hashed, [cluster], ["_h", "unit"], 2 * n_pairs, "_p"))
-    right = drawn.select(cluster, (F.col("_p") - n_pairs).alias("_p"), F.col("unit").alias("other"))
-    pairs = drawn.filter(F.col("_p") <= n_pairs).join(right, [cluster, "_p"])
+    half = drawn.groupBy(cluster).agg(F.floor(F.count(F.lit(1)) / 2).alias("_half")).filter("_half >= 2")
+    halved = drawn.join(half, cluster)
+    right = halved.select(cluster, (F.col("_p") - F.col("_half")).alias("_p"), F.col("unit").alias("other"))
+    pairs = halved.filter("_p <= _half").join(right, [cluster, "_p"])
     size = F.greatest(F.octet_length("unit"), F.octet_length("other"), F.lit(1))
-    return pairs.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(byte_levenshtein("unit", "other") / size).alias("mean_ned")).filter(
-        F.col("n_pairs") == n_pairs
-    )
+    return pairs.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(byte_levenshtein("unit", "other") / size).alias("mean_ned"))
 
 
 def ngram_vector(unit, dims: int = 32) -> Column:
     """Hashed character-bigram counts: a stand-in where no learned encoder is at hand."""
     unit = F.col(unit) if isinstance(unit, str) else unit
     padded = F.concat(F.lit("^"), unit, F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(2))), F.lit(dims)))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.pmod(id_hash(F.substring(padded, i, F.lit(2))), F.lit(dims)))
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
 
 

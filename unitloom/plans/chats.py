@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chat, rewrite, segment as seg
+from ..operators.ordered import ranked
 from ..session import durable
 from ..sources import unit_store
 from .corpus import SEP, scratch, word_freq
@@ -150,13 +151,16 @@ def compare_separators(spark, sf):
 @query(
     "F9_write_target_store",
     f"""WITH {RENDER} SELECT (conv_id % 4)::VARCHAR AS shard, count(*) AS n_units, sum(is_target::INT)::BIGINT AS n_target, count(DISTINCT conv_id) AS n_docs,
-      sum(strlen(unit))::BIGINT AS n_bytes FROM cu GROUP BY 1""",
+      sum(strlen(unit))::BIGINT AS n_bytes, sum(place)::BIGINT AS places, sum(off)::BIGINT AS offsets
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY off) - 1 AS place FROM cu) GROUP BY 1""",
 )
 def write_target_store(spark, sf):
-    units = chat_units(spark, sf).select(
+    placed = ranked(chat_units(spark, sf), ["conv_id"], ["byte_off"], "place")
+    units = placed.select(
         F.pmod("conv_id", F.lit(4)).cast("string").alias("shard"),
         F.col("conv_id").alias("doc_id"),
-        F.col("byte_off").alias("pos"),
+        (F.col("place") - 1).alias("pos"),
+        "byte_off",
         "unit",
         "n_bytes",
         (F.col("byte_off") == 0).alias("doc_start"),
@@ -169,6 +173,8 @@ def write_target_store(spark, sf):
         F.sum(F.col("is_target").cast("bigint")).alias("n_target"),
         F.sum(F.col("doc_start").cast("bigint")).alias("n_docs"),
         F.sum("n_bytes").alias("n_bytes"),
+        F.sum("pos").alias("places"),
+        F.sum("byte_off").alias("offsets"),
     )
 
 

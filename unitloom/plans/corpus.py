@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -234,12 +235,17 @@ def shard_meta(spark, sf):
     f"""WITH {UNITS} SELECT doc_id % 2 AS part, count(*) AS n_units, count(DISTINCT doc_id) AS n_docs, sum(strlen(unit))::BIGINT AS n_bytes FROM units GROUP BY 1""",
 )
 def build_incremental(spark, sf):
-    """Two deliveries, each built once; a third run finds nothing to do."""
+    """Two deliveries, each built once; a third run finds nothing to do.
+
+    The first has two folders with equal file names, the second lies deeper.
+    """
     src, dst = scratch(spark), scratch(spark)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    for part in (0, 1):
-        docs.filter(F.pmod("doc_id", F.lit(2)) == part).write.mode("append").parquet(src)
-        incremental.build_incremental(spark, src, dst)
+    side = F.when(F.pmod("doc_id", F.lit(4)) == 0, "a").otherwise("b")
+    docs.filter("doc_id % 2 = 0").withColumn("side", side).write.partitionBy("side").parquet(f"{src}/early")
+    incremental.build_incremental(spark, src, dst)
+    docs.filter("doc_id % 2 = 1").write.parquet(f"{src}/late/deeper")
+    incremental.build_incremental(spark, src, dst)
     if incremental.build_incremental(spark, src, dst):
         raise RuntimeError("a finished build was repeated")
     units = spark.read.parquet(f"{dst}/units")
@@ -272,30 +278,28 @@ def read_run_log(spark, sf):
     )
 
 
-_METRICS = {
-    "nll": r"held-out NLL\s+(-?\d+(?:\.\d+)?)",
-    "top5": r"true string among decoded top-5 candidates:\s+([\d.]+)",
-    "nmi": r"NMI\(h-clusters, types\)\s*=\s*([\d.]+)",
-}
+#: Metric name, event type that stands for it, its text in our log.
+_METRICS = (
+    ("nll", "click", "eval nll="),
+    ("top5", "view", "eval recall@5="),
+    ("nmi", "error", "eval cluster/type agreement="),
+    ("em", "purchase", "eval exact="),
+    ("bpb", "signup", "eval bits/byte="),
+)
 
 
 @query(
     "A12_extract_metrics",
-    """WITH m AS (SELECT user_id AS file, CASE event_type WHEN 'click' THEN 'nll' WHEN 'view' THEN 'top5' WHEN 'error' THEN 'nmi' END AS metric,
+    """WITH m AS (SELECT user_id AS file, CASE event_type WHEN 'click' THEN 'nll' WHEN 'view' THEN 'top5' WHEN 'error' THEN 'nmi' WHEN 'purchase' THEN 'em' WHEN 'signup' THEN 'bpb' END AS metric,
       event_id AS line_no, value FROM events)
     SELECT file, metric, arg_min(value, line_no) AS value FROM m WHERE metric IS NOT NULL GROUP BY file, metric""",
 )
 def extract_metrics(spark, sf):
     events = table(spark, sf, "events")
-    line = F.concat(
-        F.when(F.col("event_type") == "click", F.lit("  held-out NLL "))
-        .when(F.col("event_type") == "view", F.lit("  true string among decoded top-5 candidates: "))
-        .when(F.col("event_type") == "error", F.lit("[cluster] NMI(h-clusters, types) = "))
-        .otherwise(F.lit("step ")),
-        F.col("value").cast("string"),
-    )
+    head = F.coalesce(*(F.when(F.col("event_type") == kind, F.lit(text)) for _, kind, text in _METRICS), F.lit("step "))
+    line = F.concat(F.lit("12:00 | "), head, F.col("value").cast("string"))
     lines = events.select(F.col("user_id").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
-    return logs.extract_metrics(lines, _METRICS)
+    return logs.extract_metrics(lines, {name: re.escape(text) + r"(-?[0-9.]+(?:E-?[0-9]+)?)" for name, _, text in _METRICS})
 
 
 def section_lines(spark, sf):

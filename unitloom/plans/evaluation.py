@@ -192,13 +192,13 @@ def stratified_loss(spark, sf):
     f"""WITH {WINDOWS}, {_TARGETS}, st AS (SELECT delta, k, r, avg(byte) AS mean FROM tgt GROUP BY GROUPING SETS ((delta), (k), (r))),
     c AS (SELECT CASE WHEN delta IS NOT NULL THEN 'delta' WHEN k IS NOT NULL THEN 'k' ELSE 'r' END AS series, coalesce(delta, k, r) AS x, mean FROM st),
     d AS (SELECT *, mean - lag(mean) OVER (PARTITION BY series ORDER BY x) AS d FROM c)
-    SELECT series, sum((d > 0.05)::INT)::BIGINT AS rises, sum((d < -0.05)::INT)::BIGINT AS falls, round(max(mean) - min(mean), 6) AS "range",
-      CASE WHEN max(mean) - min(mean) < 0.05 THEN 'FAIL' WHEN sum((d > 0.05)::INT) > 0 THEN 'WARN' ELSE 'OK' END AS verdict FROM d GROUP BY series""",
+    SELECT series, sum((d > 0.005)::INT)::BIGINT AS rises, sum((d < -0.005)::INT)::BIGINT AS falls, round(max(mean) - min(mean), 6) AS "range",
+      CASE WHEN max(mean) - min(mean) < 0.05 THEN 'FAIL' WHEN sum((CASE WHEN series = 'r' THEN d < -0.005 ELSE d > 0.005 END)::INT) > 0 THEN 'WARN' ELSE 'OK' END AS verdict FROM d GROUP BY series""",
 )
 def trend_violations(spark, sf):
     series = F.when(F.col("delta").isNotNull(), "delta").when(F.col("k").isNotNull(), "k").otherwise("r")
     curve = strata(spark, sf).select(series.alias("series"), F.coalesce("delta", "k", "r").alias("x"), "mean")
-    return rounded(ev.trend_violations(curve, "series", "x", "mean", 0.05), "range")
+    return rounded(ev.trend_violations(curve, "series", "x", "mean", growing=("r",)), "range")
 
 
 @query(

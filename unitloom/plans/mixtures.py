@@ -163,10 +163,10 @@ def exclude_tasks(spark, sf):
 
 @query(
     "A10_union_pools",
-    f"""WITH {UNITS}, p AS (SELECT shard, 0 AS pool, lang FROM units WHERE lang = 'en' UNION ALL SELECT shard, 1, lang FROM units WHERE lang = 'de')
+    f"""WITH {UNITS}, p AS (SELECT shard, list_position(['en', 'de', 'fr', 'es'], lang) - 1 AS pool FROM units)
     SELECT pool::BIGINT AS pool, shard, dense_rank() OVER (ORDER BY pool, shard) - 1 AS new_shard, count(*) AS n_units FROM p GROUP BY pool, shard""",
 )
 def union_pools(spark, sf):
     shards = class_shards(spark, sf)
-    pools = [shards.filter(F.col("klass") == k).select("shard", "n_units") for k in ("en", "de")]
+    pools = [shards.filter(F.col("klass") == k).select("shard", "n_units") for k in ("en", "de", "fr", "es")]
     return mixing.union_pools(*pools).select("pool", "shard", "new_shard", "n_units")

@@ -176,9 +176,9 @@ def write_read_tokens(spark, sf):
 
 @query(
     "C13_typo_probability",
-    f"""WITH {FREQ}, top AS (SELECT unit FROM freq ORDER BY cnt DESC, unit LIMIT 500)
+    f"""WITH {FREQ}, counted AS MATERIALIZED (SELECT * FROM freq), top AS (SELECT unit FROM counted ORDER BY cnt DESC, unit LIMIT 500)
     SELECT f.unit, round(0.4 * CASE WHEN strlen(f.unit) < 3 THEN 0 WHEN strlen(f.unit) <= 4 THEN 0.5 ELSE 1 END * CASE WHEN t.unit IS NULL THEN 1 ELSE 0.25 END, 6)::DOUBLE AS p
-    FROM freq f LEFT JOIN top t USING (unit)""",
+    FROM counted f LEFT JOIN top t USING (unit)""",
 )
 def typo_probability(spark, sf):
     freq = durable(word_freq(spark, sf))

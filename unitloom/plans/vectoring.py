@@ -210,21 +210,27 @@ def purity(spark, sf):
 @query(
     "G12_intra_cluster_edit",
     f"""WITH {FREQ}, d AS (SELECT strlen(unit) AS cluster, unit, row_number() OVER (PARTITION BY strlen(unit) ORDER BY {hash60("'13'", "unit")}, unit) AS p FROM freq QUALIFY p <= 100),
-    j AS (SELECT a.cluster, levenshtein(a.unit, b.unit) / greatest(strlen(a.unit), strlen(b.unit), 1) AS ned FROM d a JOIN d b ON a.cluster = b.cluster AND b.p = a.p + 50 WHERE a.p <= 50)
-    SELECT cluster, count(*) AS n_pairs, round(avg(ned), 6) AS mean_ned FROM j GROUP BY cluster HAVING count(*) = 50""",
+    h AS (SELECT cluster, count(*) // 2 AS half FROM d GROUP BY cluster HAVING count(*) >= 4),
+    j AS (SELECT a.cluster, levenshtein(a.unit, b.unit) / greatest(strlen(a.unit), strlen(b.unit), 1) AS ned
+      FROM d a JOIN h USING (cluster) JOIN d b ON a.cluster = b.cluster AND b.p = a.p + half WHERE a.p <= half)
+    SELECT cluster, count(*) AS n_pairs, round(avg(ned), 6) AS mean_ned FROM j GROUP BY cluster""",
 )
 def intra_cluster_edit(spark, sf):
     units = word_freq(spark, sf).select(F.octet_length("unit").cast("bigint").alias("cluster"), "unit")
     return rounded(vx.intra_cluster_edit(units, "cluster", 50, 13), "mean_ned")
 
 
+#: Anchors whose surroundings are measured, and neighbours looked at: the sizes of the report.
+ANCHORS, ANCHOR_NEIGHBOURS = 100, 10
+
+
 @query("G13_variant_spacing")
 def variant_spacing(spark, sf):
-    """Spacing of the neighbours of 500 anchors among the 5,000 most frequent units."""
-    top = stats.unit_freq(word_freq(spark, sf), 5000)
-    strings = durable(top.select(F.col("rnk").alias("id"), "unit", vx.ngram_vector("unit").alias("vec")))
-    anchors = smallest(strings.withColumn("_h", id_hash(F.lit("anchor"), "unit")), ["_h", "id"], 500).select("id", "vec")
-    spacing, nearest = vx.variant_spacing(vx.knn(anchors, strings.select("id", "vec"), 10, "l2"), strings)
+    """Spacing of the neighbours of hash-drawn anchors among all units."""
+    ranked = stats.unit_freq(word_freq(spark, sf))
+    strings = durable(ranked.select(F.col("rnk").alias("id"), "unit", vx.ngram_vector("unit").alias("vec")))
+    anchors = smallest(strings.withColumn("_h", id_hash(F.lit("anchor"), "unit")), ["_h", "id"], ANCHORS).select("id", "vec")
+    spacing, nearest = vx.variant_spacing(vx.knn(anchors, strings.select("id", "vec"), ANCHOR_NEIGHBOURS, "l2"), strings)
     return spacing.withColumn("p90", F.lit(None).cast("double")).unionByName(nearest.withColumn("edits", F.lit(-1).cast("bigint")))
 
 

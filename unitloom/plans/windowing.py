@@ -61,10 +61,10 @@ def read_unit_range(spark, sf):
 
 @query(
     "D4_sample_windows",
-    f"""WITH {WINDOWS}, {_IDS} SELECT window_id, row_number() OVER (ORDER BY {hash60("'31337'", "window_id")}, window_id) AS place FROM ids QUALIFY place <= 256""",
+    f"""WITH {WINDOWS}, {_IDS} SELECT window_id, row_number() OVER (ORDER BY {hash60("'41'", "window_id")}, window_id) AS place FROM ids QUALIFY place <= 256""",
 )
 def sample_windows(spark, sf):
-    return win.sample_windows(win.window_ids(layout(spark, sf), SIZE), 256, 31337)
+    return win.sample_windows(win.window_ids(layout(spark, sf), SIZE), 256, 41)
 
 
 @query(
@@ -77,10 +77,10 @@ def draw_windows(spark, sf):
 
 @query(
     "D5_sample_units",
-    f"""WITH {UNITS} SELECT shard, doc_id, pos, unit FROM units ORDER BY {hash60("'20261020'", "doc_id", "pos")}, doc_id, pos LIMIT 3000""",
+    f"""WITH {UNITS} SELECT shard, doc_id, pos, unit FROM units ORDER BY {hash60("'53'", "doc_id", "pos")}, doc_id, pos LIMIT 3000""",
 )
 def sample_units(spark, sf):
-    return win.sample_units(word_units(spark, sf), 3000, 20261020)
+    return win.sample_units(word_units(spark, sf), 3000, 53)
 
 
 @query(
@@ -255,7 +255,7 @@ def rolling_eval_plan(spark, sf):
     "D16_next_unit_pairs",
     f"""WITH {UNITS}, p AS (SELECT doc_id, pos, lag(unit) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, unit AS next FROM units),
     c AS (SELECT prev, next, count(*) AS cnt FROM p WHERE pos > 0 GROUP BY ALL)
-    SELECT prev, next, cnt FROM c WHERE cnt >= 20
+    SELECT prev, next, cnt FROM c
     UNION ALL SELECT '(persistence)', '(all)', sum(CASE WHEN prev = next THEN cnt ELSE 0 END)::BIGINT FROM c
     UNION ALL SELECT '(total)', '(all)', sum(cnt)::BIGINT FROM c""",
 )
@@ -274,7 +274,7 @@ def next_unit_pairs(spark, sf):
             )
         ).alias("t")
     ).select("t.*")
-    return counts.filter("cnt >= 20").unionByName(totals)
+    return counts.unionByName(totals)
 
 
 @query(
@@ -301,7 +301,7 @@ def holdout_tail(spark, sf):
     return win.holdout_tail(durable(rows), 8)
 
 
-_PLACED = f"""placed AS (SELECT window_id, row_number() OVER (ORDER BY {hash60("'999'", "window_id")}, window_id) AS place FROM ids)"""
+_PLACED = f"""placed AS (SELECT window_id, row_number() OVER (ORDER BY {hash60("'59'", "window_id")}, window_id) AS place FROM ids)"""
 _GROWTH = """first AS (SELECT unit, min(place) AS f FROM win JOIN placed USING (window_id) WHERE place <= 600 GROUP BY unit),
     curve AS (SELECT step, count(*) AS n_distinct FROM first, (SELECT unnest([10, 50, 100, 300, 600]) AS step) WHERE f <= step GROUP BY step)"""
 LADDER = [10, 50, 100, 300, 600]
@@ -309,7 +309,7 @@ LADDER = [10, 50, 100, 300, 600]
 
 def growth(spark, sf):
     windows = windowed(spark, sf)
-    placed = win.sample_windows(win.window_ids(layout(spark, sf), SIZE), max(LADDER), 999)
+    placed = win.sample_windows(win.window_ids(layout(spark, sf), SIZE), max(LADDER), 59)
     return stats.distinct_growth(windows.join(placed, "window_id").select("unit", "place"), LADDER)
 
 
@@ -330,7 +330,7 @@ def heaps_fit(spark, sf):
     return fit.select(F.round("beta", 6).alias("beta"), F.round("log_k", 6).alias("log_k"), F.round("estimate", 2).alias("estimate"))
 
 
-_PARTS = {"freq": (256, 31337), "val": (4, 777), "probe": (24, 4242), "ladder": (1000, 999)}
+_PARTS = {"freq": (256, 41), "val": (4, 47), "probe": (24, 43), "ladder": (1000, 59)}
 
 
 @query(

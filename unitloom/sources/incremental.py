@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
@@ -9,7 +11,8 @@ from ..operators.segment import segment_word
 from ..session import durable
 from .unit_store import checked_units
 
-LEDGER = "file STRING, rows BIGINT, text_bytes BIGINT"
+LEDGER = "file STRING, size BIGINT, changed TIMESTAMP, rows BIGINT, text_bytes BIGINT"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
 def read_ledger(spark: SparkSession, dst: str) -> DataFrame:
@@ -19,33 +22,47 @@ def read_ledger(spark: SparkSession, dst: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
+def _relative_path(src: str):
+    """A file's path below ``src``, or its whole path where ``src`` was written in another way."""
+    path = F.regexp_replace(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), _SCHEME, "")
+    root = re.sub(_SCHEME, "", src).rstrip("/") + "/"
+    return F.when(path.startswith(root), F.substring(path, len(root) + 1, F.length(path))).otherwise(path)
+
+
 def build_incremental(spark: SparkSession, src: str, dst: str, l_max: int = 32) -> int:
     """Segment every source file not yet in the ledger; returns how many were built.
 
-    Units go to a partition named after their file and replace it as a whole, so a
-    partition left half-written by a lost job is rebuilt.  The ledger row is written
+    Files are known by their path below ``src``, nested folders included, with size and
+    modification time, so equal names in two folders are two files and a changed file is built
+    again.  Units go to a partition named after the path's digest and replace it as a
+    whole, so a partition left half-written by a lost job is rebuilt.  The ledger row is written
     last.  A source that has gone away is fine when nothing is left to do.
     """
     done = read_ledger(spark, dst)
     try:
-        source = spark.read.parquet(src)
+        source = spark.read.option("recursiveFileLookup", "true").parquet(src)
     except AnalysisException:
         if done.isEmpty():
             raise
         return 0
     docs = source.select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("shard"), "doc_id", "text"
+        _relative_path(src).alias("file"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_modification_time").alias("changed"),
+        "doc_id",
+        "text",
     )
-    todo = docs.join(done.select(F.col("file").alias("shard")), "shard", "left_anti")
-    summary = todo.groupBy(F.col("shard").alias("file")).agg(
+    todo = docs.join(done.select("file", "size", "changed"), ["file", "size", "changed"], "left_anti")
+    summary = todo.groupBy("file", "size", "changed").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("bigint")).alias("text_bytes")
     )
     finished = durable(summary)
     built = finished.count()
     if built:
-        units = checked_units(segment_word(todo.filter("text <> ''"), l_max=l_max), l_max)
+        named = todo.filter("text <> ''").select(F.md5(F.col("file").cast("binary")).alias("shard"), "doc_id", "text")
         (
-            units.write.mode("overwrite")
+            checked_units(segment_word(named, l_max=l_max), l_max)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("shard")
             .parquet(f"{dst}/units")

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.ordered import top_per_group
-
 # The column names a text table may use, in order of preference.
 TEXT_COLUMNS = ("text", "content", "whole_func_string", "func_code_string")
 
@@ -17,8 +15,7 @@ def read_text(spark: SparkSession, path, cap_per_file: int = 0) -> DataFrame:
     rows = spark.read.parquet(*([path] if isinstance(path, str) else path))
     if not cap_per_file:
         return rows.select("text")
-    placed = rows.select("text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return top_per_group(placed, ["_file"], ["_row"], cap_per_file).select("text")
+    return rows.filter(F.col("_metadata.row_index") < cap_per_file).select("text")
 
 
 def read_jsonl_text(spark: SparkSession, path: str, fields: Sequence[str] = ("text", "content")) -> DataFrame:
