@@ -24,6 +24,8 @@ MIN_SHARE, MIN_CONTEXTS = 0.004, 3
 MIN_PRECISION = 0.9
 #: A stem stands for all words that begin with it: letters, least share, least words, precision.
 STEM_LETTERS, STEM_SHARE, STEM_WORDS, STEM_PRECISION = (4, 5, 6), 0.02, 3, 0.95
+#: Labelled training rows that are used at most, a sample by the hash of the id; their ids are broadcast (under 10 MB).
+MAX_LABELS = 200_000
 #: Terms shorter than this are only matched exactly.
 FUZZY_LENGTH = 5
 #: Words on either side of a hit that decide about quotation and company.
@@ -41,52 +43,44 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def lexicon(texts: DataFrame) -> DataFrame:
-    """(text, toxic) rows -> (term, stem, toxic_contexts, clean_contexts).
+def lexicon(texts: DataFrame, counted: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(text, toxic) rows and their ``counted`` words -> (term, stem, toxic_contexts, clean_contexts).
 
-    A context is a different word before the term.  Copies and near copies of a text repeat its contexts, so they
-    add nothing; equal texts count once from the start.  An entry must be so one-sided that chance would not give
-    one such word in the whole vocabulary (a Chernoff bound times the number of words is at most 1).  Sums are
-    partial before each shuffle.
+    First words and stems are chosen by the texts that hold them, then their contexts are counted.  A context is a
+    different word before the term: copies and near copies of a text repeat its contexts, so they add nothing.
+    An entry must be so one-sided that chance would not give one such word in the whole
+    vocabulary (a Chernoff bound times the number of words is at most 1).
     """
-    distinct = durable(texts.filter("text is not null and toxic is not null").groupBy("text").agg(F.max("toxic").alias("toxic")))
-    n_toxic = distinct.filter("toxic = 1").count()
-    w = words(F.col("text"))
-    pairs = F.array_distinct(F.arrays_zip(w.alias("term"), F.concat(F.array(F.lit("")), w).alias("before")))
-    contexts = (
-        distinct.select("toxic", F.explode(pairs).alias("p"))
-        .filter("p.term is not null")
-        .groupBy("p.term", "p.before")
-        .agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
-    )
-    counted = durable(
-        contexts.groupBy("term").agg(
-            F.sum("toxic").alias("toxic_contexts"), F.sum(1 - F.col("least")).alias("clean_contexts")
-        )
-    )
-    size = counted.agg(F.count("*").alias("n"), F.sum("toxic_contexts").alias("t"), F.sum("clean_contexts").alias("c")).first()
-    base = min(max((size["t"] or 0) / max((size["t"] or 0) + (size["c"] or 0), 1), 1e-9), 0.99)
-    share = F.col("toxic_contexts") / (F.col("toxic_contexts") + F.col("clean_contexts"))
-    odd = F.col("toxic_contexts") * F.log(share / base) + F.when(
-        F.col("clean_contexts") > 0, F.col("clean_contexts") * F.log((1 - share) / (1 - base))
-    ).otherwise(0.0)
-    sure = (share > base) & (odd >= math.log(max(size["n"], 2)))
-    terms = counted.filter(sure & (F.col("toxic_contexts") >= max(MIN_CONTEXTS, MIN_SHARE * n_toxic)) & (share >= MIN_PRECISION))
+    share = F.col("toxic_texts") / (F.col("toxic_texts") + F.col("clean_texts"))
+    terms = counted.filter((F.col("toxic_texts") >= max(MIN_CONTEXTS, MIN_SHARE * n_toxic)) & (share >= MIN_PRECISION))
     heads = F.array_distinct(F.array(*(F.substring("term", 1, n) for n in STEM_LETTERS)))
     stems = (
-        counted.select(F.explode(heads).alias("stem"), "term", "toxic_contexts", "clean_contexts")
+        counted.select(F.explode(heads).alias("stem"), "term", "toxic_texts", "clean_texts")
         .filter(F.length("term") > F.length("stem"))
         .groupBy("stem")
-        .agg(
-            F.sum("toxic_contexts").alias("toxic_contexts"),
-            F.sum("clean_contexts").alias("clean_contexts"),
-            F.count("*").alias("n"),
-        )
-        .filter(sure & (F.col("n") >= STEM_WORDS) & (F.col("toxic_contexts") >= STEM_SHARE * n_toxic) & (share >= STEM_PRECISION))
+        .agg(F.sum("toxic_texts").alias("toxic_texts"), F.sum("clean_texts").alias("clean_texts"), F.count("*").alias("n"))
+        .filter((F.col("n") >= STEM_WORDS) & (F.col("toxic_texts") >= STEM_SHARE * n_toxic) & (share >= STEM_PRECISION))
     )
-    return terms.select("term", F.lit(False).alias("stem"), "toxic_contexts", "clean_contexts").unionByName(
-        stems.select(F.col("stem").alias("term"), F.lit(True).alias("stem"), "toxic_contexts", "clean_contexts")
+    chosen = durable(
+        terms.select("term", F.lit(False).alias("stem")).unionByName(stems.select(F.col("stem").alias("term"), F.lit(True).alias("stem")))
     )
+    w = words(F.col("text"))
+    pairs = texts.select("toxic", F.explode(F.arrays_zip(w.alias("word"), F.concat(F.array(F.lit("")), w).alias("before"))).alias("p"))
+    pairs = pairs.filter("p.word is not null").select("toxic", "p.word", "p.before")
+    # A word's own form and its possible stems, looked up among the chosen ones (a table of bounded size).
+    forms = [F.struct(F.col("word").alias("term"), F.lit(False).alias("stem"))]
+    forms += [F.struct(F.substring("word", 1, n).alias("term"), F.lit(True).alias("stem")) for n in STEM_LETTERS]
+    own = pairs.select("toxic", "word", "before", F.explode(F.array(*forms)).alias("f")).filter("not f.stem or length(word) > length(f.term)")
+    held = own.select("toxic", "word", "before", "f.term", "f.stem").join(F.broadcast(chosen), ["term", "stem"])
+    contexts = held.groupBy("term", "stem", "word", "before").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
+    found = contexts.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic_contexts"), F.sum(1 - F.col("least")).alias("clean_contexts"))
+    base = min(max(n_toxic / max(n_toxic + n_clean, 1), 1e-9), 0.99)
+    share = F.col("toxic_contexts") / (F.col("toxic_contexts") + F.col("clean_contexts"))
+    odd = F.col("toxic_contexts") * F.log(share / base) + F.when(
+        F.col("clean_contexts") > 0, F.col("clean_contexts") * F.log((1 - share) / (1 - base))
+    ).otherwise(0.0)
+    enough = (share > base) & (odd >= math.log(max(counted.count(), 2)))
+    return found.filter(enough & (share >= F.when(F.col("stem"), STEM_PRECISION).otherwise(MIN_PRECISION)))
 
 
 class Trie:
@@ -162,7 +156,7 @@ def reliability(toxic_contexts: int, clean_contexts: int) -> float:
     return toxic_contexts / (toxic_contexts + clean_contexts + 1.0)
 
 
-def look_alikes(texts: DataFrame, terms: dict[str, float], stems: dict[str, float]) -> set[str]:
+def look_alikes(counted: DataFrame, terms: dict[str, float], stems: dict[str, float]) -> set[str]:
     """Words of clean training texts at one edit of a term; bounded by the one-edit forms of the lexicon."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +164,7 @@ def look_alikes(texts: DataFrame, terms: dict[str, float], stems: dict[str, floa
         for batch in batches:
             yield batch[[not trie.exact(w) and trie.near(w) > 0 for w in batch["term"]]]
 
-    plain = texts.filter("toxic = 0").select(F.explode(words(F.col("text"))).alias("term")).distinct()
+    plain = counted.filter("clean_texts > 0").select("term")
     return {row[0] for row in plain.mapInPandas(match, "term string").toLocalIterator()}
 
 
@@ -235,12 +229,22 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[str, float], set[str]]:
     """Weights of terms and stems, and harmless look-alikes, from labelled rows outside the held-out third."""
-    known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = durable(docs.select("doc_id", "text").filter("text is not null").join(known, "doc_id").select("text", "toxic"))
+    usable = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = MAX_LABELS / max(usable.count(), 1)
+    if share < 1:
+        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = durable(usable)
+    sides = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    counted = durable(
+        texts.select("toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+        .groupBy("term")
+        .agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic_texts"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("clean_texts"))
+    )
     terms, stems = {}, {}
-    for row in lexicon(texts).toLocalIterator():
+    for row in lexicon(texts, counted, sides.get(1, 0), sides.get(0, 0)).toLocalIterator():
         (stems if row["stem"] else terms)[row["term"]] = reliability(row["toxic_contexts"], row["clean_contexts"])
-    return terms, stems, look_alikes(texts, terms, stems)
+    return terms, stems, look_alikes(counted, terms, stems)
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
