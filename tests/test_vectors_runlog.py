@@ -3,6 +3,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from unitloom.operators import runlog as rl, vectors as vx
 
 
@@ -82,3 +84,18 @@ def test_merge_segments_first_wins(spark):
     b = spark.createDataFrame([("r", 2, 9.0), ("r", 3, 3.0)], "run string, step bigint, value double")
     got = [(r.step, r.value) for r in rl.merge_segments([a, b]).orderBy("step").collect()]
     assert got == [(1, 1.0), (2, 2.0), (3, 3.0)]
+
+
+def test_table_rows_are_copied_only_where_queries_go(spark):
+    rng = np.random.default_rng(11)
+    centres = np.eye(5) * 1000
+    rows = [(i, (centres[i % 5] + rng.normal(size=5)).tolist()) for i in range(200)]
+    table = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    queries = table.filter("id % 5 = 0").select((F.col("id") + 1000).alias("id"), "vec")
+    many = queries
+    for k in range(1, 4):
+        many = many.unionByName(queries.select((F.col("id") + 1000 * k).alias("id"), "vec"))
+    for asked, block, crowds in ((queries, 200, 1), (many, 20, 8)):
+        routed, spread = vx.routed_blocks(asked, table, 3, "l2", False, pivots=10, block=block)
+        assert routed.count() >= asked.count()
+        assert spread.count() <= 40 * crowds  # the crowded cluster's rows alone, not 200 for each crowd

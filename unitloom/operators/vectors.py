@@ -43,6 +43,8 @@ def _matrix(series: pd.Series) -> np.ndarray:
 def _best(queries: np.ndarray, table: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, cosine: bool) -> Iterator[tuple]:
     """(query row, table ids, scores) of the ``k`` best per query; larger score is nearer."""
     squares = (table * table).sum(1)
+    # What rounding can do grows with the squared norms.
+    slack = 1e-7 + 1e-12 * float(squares.max(initial=0.0) + (queries * queries).sum(1).max(initial=0.0))
     for i in range(0, len(queries), 256):
         q = queries[i : i + 256]
         approx = q @ table.T if cosine else -np.maximum((q * q).sum(1)[:, None] + squares[None] - 2 * q @ table.T, 0)
@@ -51,7 +53,7 @@ def _best(queries: np.ndarray, table: np.ndarray, ids: np.ndarray, own: np.ndarr
             row = approx[r]
             # everything that rounding could lift into the best k is scored exactly
             edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            near = np.flatnonzero((row >= edge - 1e-7) & (row > -np.inf))
+            near = np.flatnonzero((row >= edge - slack) & (row > -np.inf))
             if cosine:
                 score = (table[near] * q[r]).sum(1)
             else:
@@ -78,11 +80,37 @@ def knn(
     at a time.
     """
     cosine = metric == "cosine"
+    routed, spread = routed_blocks(queries, table, k, metric, exclude_self, pivots, block)
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            q, own = _matrix(left["vec"]), left["id"].to_numpy()
+            ids = right["id"].to_numpy()
+            hide = own if exclude_self else np.full(len(own), -1, dtype=np.int64) - np.abs(ids).max()
+            for r, near, score in _best(q, _matrix(right["vec"]), ids, hide, k, cosine):
+                found.append(pd.DataFrame({"query_id": own[r], "id": near, "score": score}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+
+    keys = ["cell", "sub", "crowd"]
+    partial = routed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(match, "query_id bigint, id bigint, score double")
+    return top_per_group(partial, ["query_id"], [F.col("score").desc(), F.col("id")], k, "place")
+
+
+def routed_blocks(
+    queries: DataFrame, table: DataFrame, k: int, metric: str, exclude_self: bool = True, pivots: int | None = None, block: int = 4096
+) -> tuple[DataFrame, DataFrame]:
+    """Queries and table rows by (cell, sub, crowd): what has to meet for exact neighbours.
+
+    A table row is copied once for every ``block`` queries that were really sent to its block of the cell,
+    and not at all where there are none.
+    """
+    cosine = metric == "cosine"
     shape = (lambda d: d.select("id", unit_vector(F.col("vec").cast("array<double>")).alias("vec"))) if cosine else (
         lambda d: d.select("id", F.col("vec").cast("array<double>").alias("vec"))
     )
     table, queries = shape(table), shape(queries)
-    n_table, n_queries = table.count(), queries.count()
+    n_table = table.count()
     m = pivots or int(min(1024, max(1, round((n_table / block) ** 0.5 * 4))))
     chosen = smallest(table.withColumn("_h", id_hash(F.lit("pivot"), "id")), ["_h", "id"], m).select("vec").collect()
     centre = np.array([np.asarray(r.vec) for r in chosen])  # at most 1024 vectors
@@ -102,7 +130,6 @@ def knn(
     for s in stats:
         size[s.cell], radius[s.cell] = s.n, s.r
     subs = np.maximum(-(-size // block), 1)
-    crowds = max(1, -(-n_queries // block))
     need = k + int(exclude_self)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,38 +144,22 @@ def knn(
             at = np.where(reached.any(1), reached.argmax(1), len(centre) - 1)
             bound = np.take_along_axis(far, order, 1)[np.arange(len(d)), at]
             bound = np.where(reached.any(1), bound, np.inf)
-            rows, cells = np.nonzero((d - radius <= bound[:, None] + 1e-6) & (size > 0)[None])
+            rows, cells = np.nonzero((d - radius <= bound[:, None] + 1e-6 + 1e-9 * np.where(np.isfinite(bound), bound, 0)[:, None]) & (size > 0)[None])
             rep = subs[cells]
             rows, cells = np.repeat(rows, rep), np.repeat(cells, rep)
             sub = np.arange(len(rows)) - np.repeat(np.cumsum(rep) - rep, rep)
             out = pdf.iloc[rows]
             yield pd.DataFrame({"id": out["id"].to_numpy(), "vec": out["vec"].to_numpy(), "cell": cells, "sub": sub})
 
-    routed = queries.mapInPandas(route, "id bigint, vec array<double>, cell bigint, sub bigint").withColumn(
-        "crowd", F.pmod(F.xxhash64("id"), F.lit(crowds))
-    )
+    routed = durable(queries.mapInPandas(route, "id bigint, vec array<double>, cell bigint, sub bigint"))
+    # One row for each block of a cell that is asked at all.
+    crowds = durable(routed.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / block).alias("crowds")))
+    asked = routed.join(crowds, ["cell", "sub"]).select("id", "vec", "cell", "sub", F.pmod(F.xxhash64("id"), "crowds").alias("crowd"))
     sub_count = F.lit(subs.tolist()).cast("array<bigint>")
-    spread = placed.select(
-        "id",
-        "vec",
-        "cell",
-        F.pmod(F.xxhash64("id"), F.get(sub_count, F.col("cell").cast("int"))).alias("sub"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(crowds - 1).cast("bigint"))).alias("crowd"),
-    )
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            q, own = _matrix(left["vec"]), left["id"].to_numpy()
-            ids = right["id"].to_numpy()
-            hide = own if exclude_self else np.full(len(own), -1, dtype=np.int64) - np.abs(ids).max()
-            for r, near, score in _best(q, _matrix(right["vec"]), ids, hide, k, cosine):
-                found.append(pd.DataFrame({"query_id": own[r], "id": near, "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-
-    keys = ["cell", "sub", "crowd"]
-    partial = routed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(match, "query_id bigint, id bigint, score double")
-    return top_per_group(partial, ["query_id"], [F.col("score").desc(), F.col("id")], k, "place")
+    blocks = placed.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.get(sub_count, F.col("cell").cast("int"))).alias("sub"))
+    first = F.lit(0).cast("bigint")
+    spread = blocks.join(crowds, ["cell", "sub"]).select("id", "vec", "cell", "sub", F.explode(F.sequence(first, F.col("crowds") - 1)).alias("crowd"))
+    return asked, spread
 
 
 def snap_to_table(positions: DataFrame, table: DataFrame, metric: str = "cosine") -> DataFrame:
