@@ -24,6 +24,10 @@ _KINDS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Rows of a table that ``join_checked`` broadcasts at most.
+BROADCAST_ROWS = 500_000
+
+
 def _carry(kind: str, base: Column, local: Column) -> Column:
     if kind in ("sum", "count"):
         return F.coalesce(base, F.lit(0)) + F.coalesce(local, F.lit(0))
@@ -102,6 +106,17 @@ def prefix_scan(
     )
 
 
+def join_checked(big: DataFrame, small: DataFrame, keys, how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join against a table whose size is measured first.
+
+    Up to ``max_rows`` rows it is broadcast and the big side is not moved; above that
+    the join is shuffled, and adaptive execution splits the partitions of hot keys.
+    ``small`` should be cheap to count (a checkpoint or a stored table).
+    """
+    rows = small.limit(max_rows + 1).count()
+    return big.join(F.broadcast(small) if rows <= max_rows else small, keys, how)
+
+
 def one_row(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach the columns of a table that is one row by construction (an ungrouped aggregate).
 

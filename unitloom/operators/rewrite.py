@@ -13,23 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import char_units, chunk_chars, hash01, id_hash
 from ..session import durable
-from .ordered import one_row
+from .ordered import BROADCAST_ROWS, join_checked, one_row
 
 BEGIN = "^"
-BROADCAST_ROWS = 500_000
-
-
-def join_checked(big: DataFrame, small: DataFrame, keys, how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join against a table whose size is measured first.
-
-    Up to ``max_rows`` rows it is broadcast and the big side is not moved; above that
-    the join is shuffled, and adaptive execution splits the partitions of hot keys.
-    ``small`` should be cheap to count (a checkpoint or a stored table).
-    """
-    rows = small.limit(max_rows + 1).count()
-    return big.join(F.broadcast(small) if rows <= max_rows else small, keys, how)
-
-
 def _byte_pairs(unit: Column) -> Column:
     """(previous byte, byte) pairs of a unit as hex, the first one after the begin marker."""
     own = F.regexp_extract_all(F.hex(unit), F.lit(".."), F.lit(0))

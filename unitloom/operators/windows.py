@@ -7,16 +7,20 @@ never sorted by shard and a shard holding a third of the corpus is no special ca
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import byte_text, coin, id_hash, start_offsets
 from ..session import durable
-from .ordered import one_row, prefix_scan, ranked, smallest
+from .ordered import join_checked, one_row, prefix_scan, ranked, smallest
 from .segment import PATTERNS, explode_units, unit_array
 
 
+#: Document rows of a layout that are broadcast at most (about 30 MB).
+LAYOUT_ROWS = 300_000
+
+
 def document_layout(counts: DataFrame, size: int) -> DataFrame:
     """(shard, doc_id, n_units, start, shard_units, first_window) from units per document.
 
@@ -38,11 +42,24 @@ def counts_by_shard(counts: DataFrame) -> DataFrame:
     return counts.groupBy("shard").agg(F.sum("n_units").alias("shard_units"))
 
 
-def sequence_units(docs: DataFrame, size: int, merge: str = "prev", l_max: int = 32, text: str = "text") -> DataFrame:
-    """Units with ``seq``, the position in their shard, and the shard geometry."""
+def sequence_units(
+    docs: DataFrame,
+    size: int,
+    merge: str = "prev",
+    l_max: int = 32,
+    text: str = "text",
+    pick: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Units with ``seq``, the position in their shard, and the shard geometry.
+
+    ``pick`` narrows the layout to the documents whose units are wanted, so that only these are split.  A layout of
+    measured size is broadcast and texts stay where they are; a larger one is joined by a shuffle.
+    """
     units = unit_array(text, PATTERNS[merge], l_max)
     counts = docs.select("shard", "doc_id", F.size(units).cast("bigint").alias("n_units"))
-    placed = docs.select("shard", "doc_id", text).join(document_layout(counts, size), ["shard", "doc_id"])
+    layout = document_layout(counts, size)
+    layout = durable(pick(layout) if pick else layout)
+    placed = join_checked(docs.select("shard", "doc_id", text), layout, ["shard", "doc_id"], "inner", LAYOUT_ROWS)
     rows = explode_units(placed, units, ["shard", "doc_id", "start", "shard_units", "first_window"])
     return rows.withColumn("seq", F.col("start") + F.col("pos")).drop("start")
 
@@ -71,6 +88,17 @@ def gather_windows(windowed: DataFrame, keys: Sequence[str] = ("window_id",)) ->
     )
 
 
+def covers(first: int, n: int) -> Column:
+    """Documents of a layout that hold units of [first, first+n) of their shard."""
+    return (F.col("start") < first + n) & (F.col("start") + F.col("n_units") > first)
+
+
+def tail_documents(layout: DataFrame, size: int, n: int) -> DataFrame:
+    """The documents that hold units of the last ``n`` windows."""
+    last = F.col("first_window") + F.floor((F.col("start") + F.col("n_units") - 1) / size)
+    return layout.transform(one_row, window_count(layout, size)).filter(last >= F.col("n_windows") - n).drop("n_windows")
+
+
 def read_unit_range(seq_units: DataFrame, shard: str, first: int, n: int) -> DataFrame:
     """Units [first, first+n) of one shard with byte offsets from the start of the range."""
     part = seq_units.filter((F.col("shard") == shard) & (F.col("seq") >= first) & (F.col("seq") < first + n))

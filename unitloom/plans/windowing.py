@@ -56,7 +56,8 @@ def window_units_flags(spark, sf):
       (sum(strlen(unit)) OVER (ORDER BY seq) - strlen(unit))::BIGINT AS byte_off FROM seqd WHERE shard = 'src3' AND seq >= 1000 AND seq < 3000""",
 )
 def read_unit_range(spark, sf):
-    return win.read_unit_range(seq_units(spark, sf), "src3", 1000, 2000)
+    wanted = lambda layout: layout.filter((F.col("shard") == "src3") & win.covers(1000, 2000))
+    return win.read_unit_range(win.sequence_units(documents(spark, sf), SIZE, pick=wanted), "src3", 1000, 2000)
 
 
 @query(
@@ -297,7 +298,9 @@ def context_snippets(spark, sf):
     WHERE window_id > (SELECT max(window_id) FROM win) - 8 GROUP BY window_id, shard""",
 )
 def holdout_tail(spark, sf):
-    rows = windowed(spark, sf).groupBy("window_id", "shard").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n_bytes").alias("n_bytes"))
+    wanted = lambda layout: win.tail_documents(layout, SIZE, 8)
+    ends = win.make_windows(win.sequence_units(documents(spark, sf), SIZE, pick=wanted), SIZE)
+    rows = ends.groupBy("window_id", "shard").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n_bytes").alias("n_bytes"))
     return win.holdout_tail(durable(rows), 8)
 
 
