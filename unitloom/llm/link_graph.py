@@ -47,35 +47,39 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) of ``pages`` (host, html): links to other hosts, and a host's link to the nearest parent domain.
-
-    Links are counted once per page.  The parent link stands for the owner both have in common and goes both ways;
-    parents without pages of their own are no hosts.
-    """
+    """(src, dst, n) of ``pages`` (host, html): links to other hosts, counted once per page."""
     links = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'>\s]+)"""), 1)
     named = pages.filter("host <> ''")
     direct = named.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(links, lambda h: F.translate(h, _UPPER, _LOWER)))).alias("dst"))
-    direct = direct.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    hosts = named.select("host").distinct()
+    return direct.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def family_edges(pages: DataFrame) -> DataFrame:
+    """(parent, child): each host and the nearest parent domain that has pages too, whose owner answers for it."""
+    hosts = pages.filter("host <> ''").select("host").distinct()
     labels = F.split("host", r"\.")
     ups = hosts.select(
-        F.col("host").alias("src"),
-        F.posexplode(F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 255), "."))).alias("up", "dst"),
-    ).filter("src like '%.%'")
-    parents = ups.join(hosts.withColumnRenamed("host", "dst"), "dst").groupBy("src").agg(F.min_by("dst", "up").alias("dst"))
-    both = parents.select("src", "dst").unionByName(parents.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return direct.unionByName(both.select("src", "dst", F.lit(1).cast("long").alias("n"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+        F.col("host").alias("child"),
+        F.posexplode(F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 255), "."))).alias("up", "parent"),
+    ).filter("child like '%.%'")
+    return ups.join(hosts.withColumnRenamed("host", "parent"), "parent").groupBy("child").agg(F.min_by("parent", "up").alias("parent"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, family: DataFrame | None = None) -> DataFrame:
     """(host, trust, distrust): two personalised PageRanks, trust along the links and distrust against them.
 
+    Both go from a parent domain to its children in ``family``.
     ``seeds`` has (host, good, bad), each column a distribution.  A host without links out gives its rank back to the seeds.
     Rounds end when neither rank moves by TOLERANCE in all, or after ROUNDS.
     """
     sides = edges.select(F.lit(True).alias("good"), F.col("src").alias("giver"), F.col("dst").alias("taker"), "n").unionByName(
         edges.select(F.lit(False).alias("good"), F.col("dst").alias("giver"), F.col("src").alias("taker"), "n")
     )
+    if family is not None:
+        down = family.select(F.col("parent").alias("giver"), F.col("child").alias("taker"), F.lit(1).cast("long").alias("n"))
+        for good in (True, False):
+            sides = sides.unionByName(down.select(F.lit(good).alias("good"), "giver", "taker", "n"))
+        sides = sides.groupBy("good", "giver", "taker").agg(F.sum("n").alias("n"))
     # A third of all links may leave one host: totals are partial sums, and the join's other side is one row a host.
     total = sides.groupBy("good", "giver").agg(F.sum("n").alias("total"))
     moves = durable(sides.join(total, ["good", "giver"]).select("good", "giver", "taker", (F.col("n") / F.col("total")).alias("share")))
@@ -130,7 +134,7 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     )
     sums = marked.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seeds = marked.select("host", (F.col("good") / max(sums["good"] or 0, 1)).alias("good"), (F.col("bad") / max(sums["bad"] or 0, 1)).alias("bad"))
-    ranks = propagate(host_edges(rows), seeds)
+    ranks = propagate(host_edges(rows), seeds, family_edges(rows))
     bad = ranks.select("host", (F.col("distrust") > BLOCK_SHARE * (F.col("trust") + F.col("distrust"))).alias("bad"))
     told = F.when(F.col("bad"), "block").otherwise("allow")
     return ruled.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", told).alias("verdict"))

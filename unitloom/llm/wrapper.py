@@ -222,23 +222,23 @@ def content_node(page: Node, constant: set[int]) -> Node:
 
 
 def blocks(node: Node, constant: set[int], strict: bool) -> list[str]:
-    """Texts of the blocks under ``node`` in page order; ``strict`` leaves out template nodes too."""
+    """Texts of the blocks under ``node`` in page order; ``strict`` leaves out blocks that are all template."""
     out: list[str] = []
-    pending: list[str] = []
+    pending: list[tuple[str, bool]] = []
 
     def close() -> None:
-        text = " ".join("".join(pending).split())
+        text = " ".join("".join(part for part, _ in pending).split())
+        varies = any(part.strip() and not fixed for part, fixed in pending)
         pending.clear()
-        if text:
+        if text and (varies or not strict):
             out.append(text)
 
     def walk(at: Node) -> None:
         for child in at.children:
             if isinstance(child, str):
-                if not (strict and at.number in constant):
-                    pending.append(child)
+                pending.append((child, at.number in constant))
             elif child.tag == "br":
-                pending.append(" ")
+                pending.append((" ", True))
             elif not boilerplate(child, True):
                 if child.tag in BLOCK:
                     close()
