@@ -2,8 +2,9 @@
 
 Pieces are dealt to partitions of bounded size; each partition packs its pieces best fit
 decreasing and compares its number of bins with a lower bound from dual feasible
-functions.  Bins that are full, and partitions that meet their bound, are final.  What lies in the other
-bins is exchanged (dealt anew) between the partitions with gaps and packed again, as long as that saves bins.
+functions.  Full bins are final, and in partitions that meet their bound the nearly full ones too.  What lies in the
+other bins is exchanged (dealt anew) between the partitions and packed again, until the number of bins meets the
+bound of all pieces together or an exchange saves nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ VOCABULARY = "word_bpe_49k.json"
 PARTITION_PIECES = 20_000
 #: Exchanges after which remaining gaps are accepted; each continues only if it saved bins.
 ROUNDS = 6
+#: Fill from which a bin of a partition that meets its bound is final.
+DENSE = 0.99
 #: Entries of a worker's table of known words (about 150 MB); it is emptied when full.
 KNOWN_WORDS = 1_000_000
 #: Words of more characters are encoded each time, so that the table's size is bounded.
@@ -119,16 +122,17 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs: the best of two families of dual feasible functions.
+def lower_bound(sizes: np.ndarray, counts: np.ndarray | None = None, capacity: int = CAPACITY) -> int:
+    """Bins that any packing of ``sizes`` needs: the best of two families of dual feasible functions.
 
     A dual feasible function maps sizes so that whatever fits a bin keeps a sum of at most 1; the
     mapped total is then a bound.  u_k rounds size*(k+1)/capacity down unless whole (k = 1..40);
     the threshold family counts sizes over capacity - t as 1, those under t as 0, the rest as they are.
     """
-    if not len(lengths):
+    if not len(sizes):
         return 0
-    sizes, counts = np.unique(lengths, return_counts=True)
+    if counts is None:
+        sizes, counts = np.unique(sizes, return_counts=True)
     best = -(-int((sizes * counts).sum()) // capacity)
     for k in range(1, 41):
         scaled = sizes * (k + 1)
@@ -180,6 +184,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PARTIT
     )
     place = ["row", "sequence_id", "offset"]
     placed, pool, pool_bins = full, numbered.filter(F.col("length") < capacity).select("length", "row"), None
+    # One row per length, so at most as many as the capacity.
+    lengths = pool.groupBy("length").agg(F.count("*").alias("n")).collect()
+    left = lower_bound(np.array([r["length"] for r in lengths], np.int64), np.array([r["n"] for r in lengths], np.int64), capacity)
     for number in range(rounds):
         held = pool.count()
         if not held:
@@ -189,9 +196,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PARTIT
         packed = durable(dealt.groupBy("part").applyInPandas(_packer(capacity, number), PLACED))
         if pool_bins is not None and _bins(packed) >= pool_bins:
             break  # dealing anew saved nothing, so the packing before stands
-        placed = placed.unionByName(packed.filter("settled").select(*place))
-        pool = packed.filter("not settled")
-        pool_bins = _bins(pool)
+        settled, pool = packed.filter("settled"), packed.filter("not settled")
+        placed = placed.unionByName(settled.select(*place))
+        left, pool_bins = left - _bins(settled), _bins(pool)
+        if pool_bins <= left:
+            break  # as few as the bound of all pieces allows
     if pool_bins:
         placed = placed.unionByName(pool.select(*place))
     return numbered.join(placed, "row").select("item.*", "sequence_id", "offset")
@@ -207,7 +216,7 @@ def _packer(capacity: int, number: int):
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets, used = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=used)
-        certified = used <= lower_bound(lengths, capacity)
+        certified = used <= lower_bound(lengths, capacity=capacity)
         # Even numbers, so never that of a full piece.
         base = (number << 58) + (int(group["part"].iloc[0]) << 20)
         return pd.DataFrame(
@@ -216,7 +225,7 @@ def _packer(capacity: int, number: int):
                 "length": lengths,
                 "sequence_id": (base + bins) * 2,
                 "offset": offsets,
-                "settled": certified | (fill[bins] >= capacity),
+                "settled": fill[bins] >= (DENSE * capacity if certified else capacity),
             }
         )
 
