@@ -67,6 +67,8 @@ def test_sketches_see_order_and_occurrence():
     assert same < minhash.SEEDS * len(minhash.TAKES) / 2
     repeated = minhash.kmers(minhash.word_codes("a b c d e " * 3))
     assert len(set(repeated.tolist())) == len(repeated)
+    once, twice = minhash.kmers(minhash.word_codes("a b c d e f g")), minhash.kmers(minhash.word_codes("a b c d e f g a b c d e"))
+    assert set(once.tolist()) <= set(twice.tolist())
 
 
 @pytest.fixture(scope="module")
