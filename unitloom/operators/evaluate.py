@@ -78,54 +78,69 @@ def pearson(x: str, y: str) -> Column:
     return F.when((F.count(F.lit(1)) >= 3) & (vx > 0) & (vy > 0), F.covar_pop(x, y) / F.sqrt(vx * vy))
 
 
-def length_bias(choices: DataFrame, item: str = "item_id") -> DataFrame:
-    """Score-length correlations (pooled and within item), tie rate and shortest/longest picks."""
+def length_bias(choices: DataFrame, item: str = "item_id", by: Sequence[str] = ()) -> DataFrame:
+    """Score-length correlations (pooled and within item), tie rate and shortest/longest picks, for all items or per ``by``.
+
+    ``by`` are properties of an item (its smallest value counts, as in ``item_picks``).
+    """
     scored = with_scores(choices)
     best = scored.groupBy(item).agg(
+        *[F.min(c).alias(f"_by_{c}") for c in by],
         F.max("s_unit").alias("_best"),
         best_choice("s_unit").alias("_pick"),
         (F.min(F.struct("n_chars", "choice_idx"))["choice_idx"]).alias("_short"),
         (F.max(F.struct(F.col("n_chars"), (-F.col("choice_idx")).alias("c")))["c"] * -1).alias("_long"),
-        F.count(F.lit(1)).alias("_k"),
         F.avg("n_units").alias("_mean_units"),
         F.avg("s_unit").alias("_mean_score"),
-    )
-    pooled = scored.agg(
-        pearson("n_chars", "raw").alias("r_raw_chars"), pearson("n_units", "s_unit").alias("r_unit_units"), F.count(F.lit(1)).alias("n_choices")
+        F.avg("s_unit_pmi").alias("_mean_pmi"),
     )
     # Centred by the item's means before squaring, so that large scores that are alike don't cancel.
-    centred = scored.select(item, "n_units", "s_unit").join(best.select(item, "_best", "_mean_units", "_mean_score"), item)
-    centred = centred.select(
-        item,
+    rows = scored.select(item, "n_chars", "raw", "n_units", "s_unit", "s_unit_pmi").join(best, item).select(
+        item, *[F.col(f"_by_{c}").alias(c) for c in by], "n_chars", "raw", "n_units", "s_unit", "_pick", "_short", "_long", "_mean_units",
         (F.col("n_units") - F.col("_mean_units")).alias("_dx"),
         (F.col("s_unit") - F.col("_mean_score")).alias("_dy"),
+        (F.col("s_unit_pmi") - F.col("_mean_pmi")).alias("_dz"),
         (F.abs(F.col("s_unit") - F.col("_best")) < 1e-9).cast("bigint").alias("_close"),
+    )
+
+    def within(y: str) -> Column:
+        xx, yy = F.sum(F.col("_dx") * F.col("_dx")), F.sum(F.col(y) * F.col(y))
+        return F.when((F.count(F.lit(1)) >= 3) & (xx > 1e-9) & (yy > 1e-9), F.sum(F.col("_dx") * F.col(y)) / F.sqrt(xx * yy))
+
+    per_choice = rows.groupBy(*by).agg(
+        within("_dy").alias("r_within"),
+        within("_dz").alias("r_within_pmi"),
+        pearson("n_chars", "raw").alias("r_raw_chars"),
+        pearson("n_units", "s_unit").alias("r_unit_units"),
+        F.count(F.lit(1)).alias("n_choices"),
     )
-    square = lambda a, b: F.sum(F.col(a) * F.col(b))
-    per_choice = centred.groupBy(item).agg(
-        F.sum("_close").alias("_c"), square("_dx", "_dx").alias("_xx"), square("_dy", "_dy").alias("_yy"), square("_dx", "_dy").alias("_xy")
+    items = rows.groupBy(item, *by).agg(
+        F.sum("_close").alias("_c"), *[F.first(c).alias(c) for c in ("_pick", "_short", "_long", "_mean_units")]
     )
-    enough = (F.sum("_k") >= 3) & (F.sum("_xx") > 1e-9) & (F.sum("_yy") > 1e-9)
-    per_item = best.join(per_choice, item).agg(
+    per_item = items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.coalesce(F.sum((F.col("_c") > 1).cast("bigint")), F.lit(0)).alias("n_ties"),
         F.avg("_mean_units").alias("n_units_mean"),
         F.avg((F.col("_pick") == F.col("_short")).cast("double")).alias("eq_shortest"),
         F.avg((F.col("_pick") == F.col("_long")).cast("double")).alias("eq_longest"),
-        F.when(enough, F.sum("_xy") / F.sqrt(F.sum("_xx") * F.sum("_yy"))).alias("r_within"),
+        F.coalesce(F.sum((F.col("_c") > 1).cast("bigint")), F.lit(0)).alias("n_ties"),
     )
-    return per_item.transform(one_row, pooled).withColumn("tie_rate", ratio("n_ties", "n_items"))
+    both = per_item.join(per_choice, list(by)) if by else per_item.transform(one_row, per_choice)
+    return both.withColumn("tie_rate", ratio("n_ties", "n_items"))
+
 
+def shortest_gate(choices: DataFrame, item: str = "item_id", margin: float = 0.04, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy must beat always picking the shortest choice, and short picks must not exceed chance + 2 sigma.
 
-def shortest_gate(choices: DataFrame, item: str = "item_id", margin: float = 0.04) -> DataFrame:
-    """Accuracy must beat always picking the shortest choice, and short picks must not exceed chance + 2 sigma."""
+    For all items, or per ``by``, properties of an item.
+    """
     per_item = with_scores(choices).groupBy(item).agg(
+        *[F.min(c).alias(c) for c in by],
         best_choice("s_unit").alias("pick"),
         F.min(F.struct("n_chars", "choice_idx"))["choice_idx"].alias("short"),
         F.min("gold").alias("gold"),
     )
     n = F.count(F.lit(1))
-    out = per_item.agg(
+    out = per_item.groupBy(*by).agg(
         n.alias("n"),
         F.avg((F.col("pick") == F.col("gold")).cast("double")).alias("acc_unit"),
         F.avg((F.col("short") == F.col("gold")).cast("double")).alias("baseline"),

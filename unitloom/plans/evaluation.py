@@ -70,22 +70,35 @@ def mc_accuracy(spark, sf):
     return rounded(ev.mc_accuracy(ev.item_picks(choices(spark, sf), ["task"]), ["task"]), "acc", "acc_valid", "stderr")
 
 
-@query(
-    "H5_length_bias",
-    f"""WITH {_SCORED}, it AS (SELECT item_id, max(s_unit) AS best, avg(n_units) AS mu, avg(s_unit) AS ms,
+def _bias_sql(by: str = "") -> str:
+    """The diagnostics of all items, or of each value of an item's ``by``."""
+    key = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    join = f"a JOIN p USING ({by}) JOIN t USING ({by})" if by else "a, p, t"
+    return f"""WITH {_SCORED}, it AS (SELECT item_id, {f"min({by}) AS {by}, " if by else ""}max(s_unit) AS best, avg(n_units) AS mu, avg(s_unit) AS ms, avg(s_unit_pmi) AS mp,
       first(choice_idx ORDER BY s_unit DESC, choice_idx) AS pick, first(choice_idx ORDER BY n_chars, choice_idx) AS short, first(choice_idx ORDER BY n_chars DESC, choice_idx) AS long FROM sc GROUP BY item_id),
-    c AS (SELECT sc.*, n_units - mu AS dx, s_unit - ms AS dy, abs(s_unit - best) < 1e-9 AS close FROM sc JOIN it USING (item_id)),
-    t AS (SELECT count(*) AS n_ties FROM (SELECT item_id FROM c WHERE close GROUP BY item_id HAVING count(*) > 1)),
-    a AS (SELECT count(*) AS n_items, avg(mu) AS n_units_mean, avg((pick = short)::INT) AS eq_shortest, avg((pick = long)::INT) AS eq_longest FROM it),
-    p AS (SELECT corr(dx, dy) AS r_within, corr(n_chars, raw) AS r_raw_chars, corr(n_units, s_unit) AS r_unit_units, count(*) AS n_choices FROM c)
-    SELECT n_items, round(n_units_mean, 6) AS n_units_mean, round(eq_shortest, 6) AS eq_shortest, round(eq_longest, 6) AS eq_longest, round(r_within, 6) AS r_within,
-      round(r_raw_chars, 6) AS r_raw_chars, round(r_unit_units, 6) AS r_unit_units, n_choices, n_ties, round(n_ties / n_items, 6) AS tie_rate FROM a, p, t""",
-)
+    c AS (SELECT sc.* {f"EXCLUDE ({by}), it.{by}" if by else ""}, n_units - mu AS dx, s_unit - ms AS dy, s_unit_pmi - mp AS dz, abs(s_unit - best) < 1e-9 AS close FROM sc JOIN it USING (item_id)),
+    t AS (SELECT {key}count(*) FILTER (close > 1) AS n_ties FROM (SELECT {key}item_id, sum(close::INT) AS close FROM c GROUP BY {key}item_id) {group}),
+    a AS (SELECT {key}count(*) AS n_items, avg(mu) AS n_units_mean, avg((pick = short)::INT) AS eq_shortest, avg((pick = long)::INT) AS eq_longest FROM it {group}),
+    p AS (SELECT {key}corr(dx, dy) AS r_within, corr(dx, dz) AS r_within_pmi, corr(n_chars, raw) AS r_raw_chars, corr(n_units, s_unit) AS r_unit_units, count(*) AS n_choices FROM c {group})
+    SELECT {key}n_items, round(n_units_mean, 6) AS n_units_mean, round(eq_shortest, 6) AS eq_shortest, round(eq_longest, 6) AS eq_longest, round(r_within, 6) AS r_within,
+      round(r_within_pmi, 6) AS r_within_pmi, round(r_raw_chars, 6) AS r_raw_chars, round(r_unit_units, 6) AS r_unit_units, n_choices, n_ties, round(n_ties / n_items, 6) AS tie_rate FROM {join}"""
+
+
+_BIAS = ("n_units_mean", "eq_shortest", "eq_longest", "r_within", "r_within_pmi", "r_raw_chars", "r_unit_units", "tie_rate")
+
+
+@query("H5_length_bias", _bias_sql())
 def length_bias(spark, sf):
-    return rounded(ev.length_bias(choices(spark, sf)), "n_units_mean", "eq_shortest", "eq_longest", "r_within", "r_raw_chars", "r_unit_units", "tie_rate")
+    return rounded(ev.length_bias(choices(spark, sf)), *_BIAS)
 
 
-_GATE = f"""{_SCORED}, gi AS (SELECT item_id, first(choice_idx ORDER BY s_unit DESC, choice_idx) AS pick, first(choice_idx ORDER BY n_chars, choice_idx) AS short, min(gold) AS gold FROM sc GROUP BY item_id),
+@query("H5_length_bias_by_task", _bias_sql("task"))
+def length_bias_by_task(spark, sf):
+    return rounded(ev.length_bias(choices(spark, sf), by=["task"]), *_BIAS)
+
+
+_GATE = f"""{_SCORED}, gi AS (SELECT item_id, min(task) AS task, first(choice_idx ORDER BY s_unit DESC, choice_idx) AS pick, first(choice_idx ORDER BY n_chars, choice_idx) AS short, min(gold) AS gold FROM sc GROUP BY item_id),
     gate AS (SELECT count(*) AS n, avg((pick = gold)::INT) AS acc_unit, avg((short = gold)::INT) AS baseline, avg((pick = short)::INT) AS short_rate, 0.25 + 2 * sqrt(0.1875 / count(*)) AS lim FROM gi)"""
 
 
@@ -98,6 +111,16 @@ def shortest_gate(spark, sf):
     return rounded(ev.shortest_gate(choices(spark, sf)), "acc_unit", "baseline", "short_rate", "limit")
 
 
+@query(
+    "H6_shortest_gate_by_task",
+    f"""WITH {_GATE}, per AS (SELECT task, count(*) AS n, avg((pick = gold)::INT) AS acc_unit, avg((short = gold)::INT) AS baseline, avg((pick = short)::INT) AS short_rate, 0.25 + 2 * sqrt(0.1875 / count(*)) AS lim FROM gi GROUP BY task)
+    SELECT task, n, round(acc_unit, 6) AS acc_unit, round(baseline, 6) AS baseline, round(short_rate, 6) AS short_rate, round(lim, 6) AS "limit",
+      acc_unit >= baseline + 0.04 AND short_rate <= lim AS passed FROM per""",
+)
+def shortest_gate_by_task(spark, sf):
+    return rounded(ev.shortest_gate(choices(spark, sf), by=["task"]), "acc_unit", "baseline", "short_rate", "limit")
+
+
 @query(
     "H7_run_checks",
     f"""WITH {_GATE}, r AS (SELECT unnest(['beats shortest', 'short picks', 'enough items']) AS "check", unnest([acc_unit >= baseline + 0.04, short_rate <= lim, n >= 1000]) AS passed FROM gate)
