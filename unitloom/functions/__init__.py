@@ -2,6 +2,7 @@ from .arrays import slice_at, start_offsets
 from .hashing import HASH_SPAN, coin, hash01, id_hash
 from .metrics import (
     bits_per_byte,
+    first_target,
     boundary_weight,
     gold_index,
     log_sum_exp,

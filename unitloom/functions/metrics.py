@@ -40,6 +40,11 @@ def log_sum_exp(values) -> Column:
     return top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
 
 
+def first_target(targets) -> Column:
+    """The target that counts where an item has a list of them: the first, or an unknown one if there is none."""
+    return F.coalesce(F.get(_c(targets), F.lit(0)).cast("string"), F.lit(""))
+
+
 def gold_index(target, choices) -> Column:
     """Index of the right answer: digits are an index, text is looked up, unknown is -1."""
     target, choices = _c(target), _c(choices)

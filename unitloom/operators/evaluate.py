@@ -160,11 +160,14 @@ def run_checks(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return rows.select(F.explode(F.concat("_c", overall)).alias("c")).select("c.check", "c.passed")
 
 
-def compare_runs(results: DataFrame, base: str, tags: Sequence[str], invalid: Sequence[str] = (), metric: str = "acc") -> DataFrame:
-    """Task by tag table with deltas to ``base``, and a MEAN row over valid tasks only."""
-    wide = results.groupBy("task").pivot("tag", list(tags)).agg(F.first(metric))
+def compare_runs(
+    results: DataFrame, base: str, tags: Sequence[str], invalid: Sequence[str] = (), metric: str = "acc", by: Sequence[str] = ()
+) -> DataFrame:
+    """Task by tag table with deltas to ``base``, and a MEAN row over valid tasks only; one such table per ``by``."""
+    wide = results.groupBy(*by, "task").pivot("tag", list(tags)).agg(F.first(metric))
     wide = wide.withColumn("valid", ~F.col("task").isin(list(invalid)))
-    mean = wide.filter("valid").agg(*[F.avg(f"`{t}`").alias(t) for t in tags]).select(F.lit("MEAN").alias("task"), *tags, F.lit(True).alias("valid"))
+    mean = wide.filter("valid").groupBy(*by).agg(*[F.avg(f"`{t}`").alias(t) for t in tags])
+    mean = mean.select(*by, F.lit("MEAN").alias("task"), *tags, F.lit(True).alias("valid"))
     both = wide.unionByName(mean)
     return both.select("*", *[(F.col(f"`{t}`") - F.col(f"`{base}`")).alias(f"d_{t}") for t in tags if t != base])
 

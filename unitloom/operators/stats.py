@@ -7,7 +7,7 @@ task.  Later steps work on distinct units only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -75,13 +75,14 @@ def freq_bucket(count: Column) -> Column:
     )
 
 
-def freq_buckets(eval_freq: DataFrame, freq: DataFrame) -> DataFrame:
-    """Evaluation occurrences per frequency stratum with mean unit length."""
+def freq_buckets(eval_freq: DataFrame, freq: DataFrame, metrics: Mapping[str, Column] | None = None) -> DataFrame:
+    """Evaluation occurrences per frequency stratum, with the mean over occurrences of each of ``metrics`` (unit length by default)."""
+    metrics = metrics or {"mean_bytes": F.octet_length("unit")}
     joined = eval_freq.join(freq.select("unit", F.col("cnt").alias("seen")), "unit", "left")
     return joined.groupBy(freq_bucket(F.col("seen")).alias("bucket")).agg(
         F.sum("cnt").alias("n"),
         F.count(F.lit(1)).alias("n_distinct"),
-        (F.sum(F.col("cnt") * F.octet_length("unit")) / F.sum("cnt")).alias("mean_bytes"),
+        *[(F.sum(F.col("cnt") * value) / F.sum("cnt")).alias(name) for name, value in metrics.items()],
     )
 
 

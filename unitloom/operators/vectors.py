@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import byte_levenshtein, hash01, id_hash, log_sum_exp
+from ..functions import bits_per_byte, byte_levenshtein, hash01, id_hash, log_sum_exp
 from ..session import durable
 from .ordered import one_row, prefix_scan, ranked, smallest, top_per_group
 
@@ -251,16 +251,15 @@ def calibrate_temperature(positions: DataFrame, taus: Sequence[float], n_table:
         F.max("_n").alias("_n"),
     )
     out = out.withColumn("n_missing", F.col("n_test") - F.col("_n_in")).withColumn("_all", F.col("_tst") + F.col("n_missing") * F.log("_n"))
-    log2e = F.lit(float(np.log2(np.e)))
     out = out.select(
         "tau",
         (F.col("_cal") / F.greatest(F.col("_n_cal"), F.lit(1))).alias("nll_calib"),
         "n_test",
         "n_missing",
         F.exp(F.col("_all") / F.greatest(F.col("n_test"), F.lit(1))).alias("ppl"),
-        (F.col("_all") * log2e / F.greatest(F.col("_b_all"), F.lit(1))).alias("bpb"),
+        bits_per_byte("_all", "_b_all").alias("bpb"),
         F.exp(F.col("_tst") / F.greatest(F.col("_n_in"), F.lit(1))).alias("ppl_covered"),
-        (F.col("_tst") * log2e / F.greatest(F.col("_b_in"), F.lit(1))).alias("bpb_covered"),
+        bits_per_byte("_tst", "_b_in").alias("bpb_covered"),
     )
     best = out.agg(F.min_by("tau", F.struct("nll_calib", "tau")).alias("_best"))
     return out.transform(one_row, best).withColumn("best", F.col("tau") == F.col("_best")).drop("_best")
@@ -423,6 +422,14 @@ def purity(pairs: DataFrame, cluster: str, label: str) -> DataFrame:
     )
 
 
+def cluster_listing(pairs: DataFrame, cluster: str, member: str, n: int, seed: int) -> DataFrame:
+    """Clusters in order of size with up to ``n`` hash-drawn members each."""
+    sizes = ranked(pairs.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")), [], [F.col("n").desc(), F.col(cluster)], "place")
+    drawn = top_per_group(pairs.select(cluster, member).withColumn("_h", id_hash(F.lit(str(seed)), member)), [cluster], ["_h", member], n, "_p")
+    samples = drawn.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("_p", member))).alias("_m"))
+    return sizes.join(samples, cluster).select(cluster, "n", "place", F.transform("_m", lambda x: x[member]).alias("members"))
+
+
 def intra_cluster_edit(units: DataFrame, cluster: str, n_pairs: int, seed: int) -> DataFrame:
     """Mean normalised edit distance of up to ``n_pairs`` hash-drawn pairs, in every cluster of four members or more."""
     hashed = units.select(cluster, "unit").withColumn("_h", id_hash(F.lit(str(seed)), "unit"))

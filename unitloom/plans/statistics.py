@@ -72,10 +72,12 @@ def oov_coverage(spark, sf):
     "E4_freq_buckets",
     f"""WITH {FREQ}, {_BENCH}, j AS (SELECT b.unit, n, coalesce(cnt, 0) AS c FROM beval b LEFT JOIN freq USING (unit))
     SELECT CASE WHEN c = 0 THEN 'zero' WHEN c <= 3 THEN 'low' WHEN c <= 63 THEN 'mid' ELSE 'high' END AS bucket, sum(n)::BIGINT AS n,
-      count(*) AS n_distinct, round(sum(n * strlen(unit)) / sum(n), 6) AS mean_bytes FROM j GROUP BY 1""",
+      count(*) AS n_distinct, round(sum(n * strlen(unit)) / sum(n), 6) AS mean_bytes,
+      round(sum(n * length(unit)) / sum(n), 6) AS mean_chars, round(sum(n * (c = 0)::INT) / sum(n), 6) AS unseen FROM j GROUP BY 1""",
 )
 def freq_buckets(spark, sf):
-    return rounded(stats.freq_buckets(eval_freq(spark, sf), word_freq(spark, sf)), "mean_bytes")
+    metrics = {"mean_bytes": F.octet_length("unit"), "mean_chars": F.length("unit"), "unseen": F.col("seen").isNull().cast("int")}
+    return rounded(stats.freq_buckets(eval_freq(spark, sf), word_freq(spark, sf), metrics), *metrics)
 
 
 @query(

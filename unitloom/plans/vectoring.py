@@ -207,6 +207,18 @@ def purity(spark, sf):
     return rounded(vx.purity(bucketed(spark, sf), "bucket", "label"), "share")
 
 
+@query(
+    "G11_cluster_listing",
+    f"""WITH {_BUCKET}, m AS (SELECT list_position(vec, list_max(vec))::BIGINT AS bucket, id FROM v), s AS (SELECT bucket, count(*) AS n FROM m GROUP BY bucket),
+    d AS (SELECT bucket, id, row_number() OVER (PARTITION BY bucket ORDER BY {hash60("'19'", "id")}, id) AS p FROM m QUALIFY p <= 5)
+    SELECT s.bucket, n, row_number() OVER (ORDER BY n DESC, s.bucket) AS place, (SELECT string_agg(id::VARCHAR, ',' ORDER BY p) FROM d WHERE d.bucket = s.bucket) AS members FROM s""",
+)
+def cluster_listing(spark, sf):
+    members = vectors(spark, sf).select("id", F.array_position("vec", F.array_max("vec")).alias("bucket"))
+    listed = vx.cluster_listing(members, "bucket", "id", 5, 19)
+    return listed.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
 @query(
     "G12_intra_cluster_edit",
     f"""WITH {FREQ}, d AS (SELECT strlen(unit) AS cluster, unit, row_number() OVER (PARTITION BY strlen(unit) ORDER BY {hash60("'13'", "unit")}, unit) AS p FROM freq QUALIFY p <= 100),
