@@ -29,8 +29,8 @@ PARTITION_PIECES = 20_000
 ROUNDS = 6
 #: Fill from which a bin of a partition that meets its bound is final.
 DENSE = 0.99
-#: Entries of a worker's table of known words (about 150 MB); it is emptied when full.
-KNOWN_WORDS = 1_000_000
+#: Entries of a worker's table of known words (about 90 MB); it is emptied when full.
+KNOWN_WORDS = 600_000
 #: Words of more characters are encoded each time, so that the table's size is bounded.
 LONG_WORD = 64
 #: Documents whose new words are encoded in one call.

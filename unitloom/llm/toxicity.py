@@ -32,7 +32,7 @@ FUZZY_LENGTH = 5
 CONTEXT = 10
 THRESHOLD = 0.7
 #: Words without weight that a worker remembers before it starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
