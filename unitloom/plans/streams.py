@@ -47,14 +47,18 @@ def stream_spikes(spark, sf):
     return spark.read.parquet(dst).drop("batch")
 
 
+#: After the epoch, where every stream's watermark begins.
+FIRST_SECOND = 1_700_000_000
+
+
 @query("J3_stream_drop_seen", "SELECT source AS shard, doc_id, strlen(text) AS size FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def stream_drop_seen(spark, sf):
     """Every document arrives twice; seen and repeated ones are dropped.
 
-    The time of a document is its id in seconds, and ids are remembered for the delay the watermark allows.
+    The time of a document is its id in seconds from FIRST_SECOND on, and ids are remembered for the delay the watermark allows.
     """
     src, dst, mark = delivered(spark, sf, copies=2), scratch(spark), scratch(spark)
-    stream = jobs.file_stream(spark, src, jobs.DOCS, max_files=4).withColumn("at", F.timestamp_seconds("doc_id"))
+    stream = jobs.file_stream(spark, src, jobs.DOCS, max_files=4).withColumn("at", F.timestamp_seconds(F.col("doc_id") + FIRST_SECOND))
     fresh = jobs.stream_drop_seen(stream, seen_ids(spark, sf), "doc_id", "at", "400 days")
     jobs.write_batches(fresh, dst, mark)
     return spark.read.parquet(dst).select("shard", "doc_id", F.octet_length("text").cast("bigint").alias("size"))

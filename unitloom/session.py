@@ -13,6 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD = "spark.unitloom.spreadSmallScans"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "unitloom") -> SparkSession:
     """A local session for tests and benches; on a cluster use the cluster's own session."""
@@ -27,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "16g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(SPREAD, "true")
         .getOrCreate()
     )
 
@@ -75,8 +78,10 @@ def durable(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Split a scan that has fewer pieces than cores (one small file, one row group).
 
-    Large tables arrive in many splits and pass through untouched.  Only for plain
-    scans: it looks at the planned splits without running anything.
+    Only in sessions of ``local_session``, where the test tables are one file each; elsewhere a scan stays as it is.
+    It looks at the planned splits without running anything.
     """
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
