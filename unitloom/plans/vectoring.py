@@ -236,14 +236,30 @@ def intra_cluster_edit(spark, sf):
 ANCHORS, ANCHOR_NEIGHBOURS = 100, 10
 
 
-@query("G13_variant_spacing")
+_CUTS = ", ".join(f"round(quantile_cont(dist, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75))
+
+
+@query(
+    "G13_variant_spacing",
+    f"""WITH {FREQ}, u AS MATERIALIZED (SELECT unit, row_number() OVER (ORDER BY cnt DESC, unit) AS id, '^' || unit || '$' AS p FROM freq),
+    g AS (SELECT id, unit, list_transform(range(1, length(p)), lambda i: {hash60("substr(p, i, 2)")} % 32) AS grams FROM u),
+    v AS MATERIALIZED (SELECT id, unit, list_transform(range(0, 32), lambda d: len(list_filter(grams, lambda x: x = d))::DOUBLE) AS vec FROM g),
+    a AS MATERIALIZED (SELECT * FROM v ORDER BY {hash60("'anchor'", "unit")}, id LIMIT {ANCHORS}),
+    n AS (SELECT a.id AS anchor, a.unit AS x, v.unit AS y, round(list_distance(a.vec, v.vec), 9) AS dist FROM a JOIN v ON a.id <> v.id
+      QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.vec, v.vec), 9), v.id) <= {ANCHOR_NEIGHBOURS}),
+    e AS MATERIALIZED (SELECT anchor, dist, least(levenshtein(x, y), 4) AS edits FROM n),
+    near AS (SELECT min(dist) AS dist FROM e WHERE edits <= 2 GROUP BY anchor)
+    SELECT edits::BIGINT AS edits, count(*) AS n, {_CUTS}, NULL::DOUBLE AS p90 FROM e GROUP BY edits
+    UNION ALL SELECT -1, count(*), {_CUTS}, round(quantile_cont(dist, 0.9), 6) FROM near""",
+)
 def variant_spacing(spark, sf):
     """Spacing of the neighbours of hash-drawn anchors among all units."""
     ranked = stats.unit_freq(word_freq(spark, sf))
     strings = durable(ranked.select(F.col("rnk").alias("id"), "unit", vx.ngram_vector("unit").alias("vec")))
     anchors = smallest(strings.withColumn("_h", id_hash(F.lit("anchor"), "unit")), ["_h", "id"], ANCHORS).select("id", "vec")
     spacing, nearest = vx.variant_spacing(vx.knn(anchors, strings.select("id", "vec"), ANCHOR_NEIGHBOURS, "l2"), strings)
-    return spacing.withColumn("p90", F.lit(None).cast("double")).unionByName(nearest.withColumn("edits", F.lit(-1).cast("bigint")))
+    both = spacing.withColumn("p90", F.lit(None).cast("double")).unionByName(nearest.withColumn("edits", F.lit(-1).cast("bigint")))
+    return rounded(both.withColumn("edits", F.col("edits").cast("bigint")), "p10", "p25", "p50", "p75", "p90")
 
 
 @query(
