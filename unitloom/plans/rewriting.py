@@ -103,6 +103,22 @@ def apply_mapping(spark, sf):
     )
 
 
+@query(
+    "C18_renumber",
+    f"""WITH RECURSIVE {FREQ}, {_CASCADE}, l AS (SELECT doc_id, pos, string_split(coalesce(pieces, unit), chr(31)) AS l FROM units LEFT JOIN mapping USING (unit)),
+      p AS (SELECT doc_id, pos, k, l[k] AS u FROM (SELECT doc_id, pos, l, unnest(range(1, len(l) + 1)) AS k FROM l)),
+      n AS (SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS place FROM p)
+    SELECT doc_id, count(*) AS n_units, md5(string_agg(place || ':' || u, chr(31) ORDER BY place)) AS stream FROM n GROUP BY doc_id""",
+)
+def renumber(spark, sf):
+    """Dense positions after the rewrite, checked with the unit at each of them."""
+    _, mapping, _ = cascade(spark, sf)
+    units = rewrite.renumber(rewrite.apply_mapping(word_units(spark, sf), mapping))
+    placed = F.sort_array(F.collect_list(F.struct("pos", "unit")))
+    text = F.transform(placed, lambda x: F.concat(x["pos"].cast("string"), F.lit(":"), x["unit"]))
+    return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.md5(F.array_join(text, SEP)).alias("stream"))
+
+
 @query(
     "C19_fit_windows",
     f"""WITH {FREQ}, m AS (SELECT unit, substring(unit, 1, length(unit) // 2) AS a, substring(unit, length(unit) // 2 + 1) AS b FROM freq WHERE length(unit) >= 12),
