@@ -76,10 +76,15 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     digests = durable(digests)
     digests = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", row_key())
-    parts = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n[ \t]*\n")))
+    # A paragraph of one line is looked up as a line, and the only paragraph of a text as the whole.
+    paragraphs, none = F.split("text", r"\n[ \t]*\n"), F.array().cast(T.ArrayType(T.StringType()))
+    longer = F.when(F.size(paragraphs) > 1, F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n")))).otherwise(none)
+    parts = F.array_distinct(F.concat(F.split("text", r"\n"), longer))
     found = rows.select("key", F.explode(parts).alias("part")).select("key", digest(F.col("part")).alias("digest")).join(digests, "digest")
     notices = found.groupBy("key").agg(F.array_sort(F.collect_set("license")).alias("notices"))
-    whole = rows.select("key", "doc_id", F.when(canonical(F.col("text")) != "", digest(F.col("text"))).alias("digest"))
+    form = F.nullif(canonical(F.col("text")), F.lit(""))
+    whole = rows.select("key", "doc_id", F.sha2(form, 256).alias("digest"), (F.size(paragraphs) <= 1).alias("single"))
     named = whole.join(digests, "digest", "left").join(notices, "key", "left")
-    names = F.coalesce("notices", F.array().cast(T.ArrayType(T.StringType())))
+    own = F.when(F.col("single") & F.col("license").isNotNull(), F.array("license")).otherwise(none)
+    names = F.array_sort(F.array_union(F.coalesce("notices", none), own))
     return named.select("doc_id", "digest", "license", F.concat_ws(",", names).alias("notices"), F.size(names).cast("long").alias("n_notices"))
