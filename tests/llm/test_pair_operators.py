@@ -157,6 +157,22 @@ def test_wrapper_finds_the_content(spark, tag):
     assert wrapper.extract(pages.limit(0)).count() == 0
 
 
+def test_template_inside_articles_goes_by_layout(spark):
+    def one(i):
+        notice = "<p>Read our other stories.</p>"
+        return f"<body><article><h1>Title n{i}</h1>{notice}{''.join(f'<p>Part {k} of n{i}</p>' for k in range(1 + i % 4))}</article></body>"
+
+    def other(i):
+        return f"<body><div><section><table><tr><td><ul><li>Item n{i}</ul></td></tr></table><div><p>All rights kept</p></div></section></div></body>"
+
+    rows = [(i, f"http://h.org/{i}", other(i) if i % 3 == 0 else one(i)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in wrapper.extract(pages).collect():
+        i = r["page_id"]
+        parts = [f"Item n{i}"] if i % 3 == 0 else [f"Title n{i}", *(f"Part {k} of n{i}" for k in range(1 + i % 4))]
+        assert r["text"] == "\n".join(parts)
+
+
 def test_tree_matching_keeps_parents_and_order():
     a = wrapper.parse("<div><p>a</p><ul><li>1<li>2</ul><p>b</p></div>")
     b = wrapper.parse("<div><ul><li>1<li>x<li>2</ul><p>b</p><em>q</em></div>")

@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Each page of a host is aligned with one page of the host (its reference) by simple tree matching.
-What stays the same at a reference node over the host's different pages is template; what varies is
-a slot.  The content is the element that holds the host's varying text; inside it only menus, forms,
-comments and the like are left out, so that a passage repeated by many pages is kept.
+Each page of a host is aligned with the most similar of the host's references (one page for each of its
+layouts) by tree matching.  What stays the same at a reference node over the layout's pages is template;
+what varies is a slot.  The content is an article or main element, else the element that holds the host's
+varying text.  In all of them blocks of template go, and menus, forms, comments and the like.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ from .common import durable, ship
 
 #: References of all hosts together are broadcast up to so many characters, else joined by a shuffle.
 BROADCAST_CHARS = 64_000_000
-#: A node is template if it is the same on at least this share of the host's pages other than the reference, of which there are MIN_PAGES.
+#: A node is template if it is the same on at least this share of the layout's pages other than the reference, of which there are MIN_PAGES.
 TEMPLATE_SHARE, MIN_PAGES = 0.8, 3
+#: Pages of a host from which its references are chosen, references it has at most, and tree similarity under which a page is another layout.
+SAMPLED, LAYOUTS, ALIKE = 8, 4, 0.5
+#: Weight of an equal text when trees are matched (a pair of nodes weighs 1), so that repeated blocks meet at whatever place.
+EQUAL_TEXT = 4
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,16 +57,18 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "number")
+    __slots__ = ("tag", "attributes", "children", "number", "text")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children, self.number = tag, attributes, [], -1
+        self.tag, self.attributes, self.children, self.number, self.text = tag, attributes, [], -1, None
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
     def own_text(self) -> str:
-        return " ".join(" ".join(c for c in self.children if isinstance(c, str)).split())
+        if self.text is None:
+            self.text = " ".join(" ".join(c for c in self.children if isinstance(c, str)).split())
+        return self.text
 
 
 def parse(source: str | None) -> Node:
@@ -140,7 +146,7 @@ def boilerplate(node: Node, inside: bool) -> bool:
 
 
 def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest set of equal-tag pairs that keeps parents and order, top down."""
+    """Simple tree matching: the heaviest set of equal-tag pairs that keeps parents and order, top down; equal texts weigh more."""
 
     memo: dict[tuple[int, int], int] = {}
 
@@ -158,11 +164,12 @@ def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
         return xs, ys, rows
 
     def weight(x: Node, y: Node) -> int:
-        if not x.elements() or not y.elements():
-            return 1
         key = (x.number, y.number)
         if key not in memo:
-            memo[key] = 1 + table(x, y)[2][-1][-1]
+            equal = x.own_text() and x.own_text() == y.own_text() and x.attributes == y.attributes
+            memo[key] = 1 + (EQUAL_TEXT if equal else 0)
+            if x.elements() and y.elements():
+                memo[key] += table(x, y)[2][-1][-1]
         return memo[key]
 
     pairs, todo = [], [(a, b)]
@@ -254,7 +261,37 @@ def blocks(node: Node, constant: set[int], strict: bool) -> list[str]:
 
 def main_text(page: Node, constant: set[int]) -> str:
     node = content_node(page, constant)
-    return "\n".join(blocks(node, constant, strict=node.tag not in ("article", "main")))
+    # An article in which nothing varies is one that the host repeats itself.
+    return "\n".join(blocks(node, constant, strict=True) or (blocks(node, constant, strict=False) if node.tag in ("article", "main") else []))
+
+
+def shape(page: Node) -> frozenset[tuple[str, ...]]:
+    """The paths of the page's block elements."""
+    found, todo = set(), [(page, ())]
+    while todo:
+        node, path = todo.pop()
+        path = (*path, node.tag) if node.tag in BLOCK else path
+        if path not in found:
+            found.add(path)
+        todo += [(c, path) for c in node.elements()]
+    return frozenset(found)
+
+
+def alike(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b)
+
+
+def chosen_references(sources: list[str]) -> list[str]:
+    """The first page, then each time the page least like those chosen, while it is of another layout."""
+    shapes = [shape(parse(source)) for source in sources]
+    chosen = [0]
+    while len(chosen) < LAYOUTS:
+        nearness = [max(alike(s, shapes[c]) for c in chosen) for s in shapes]
+        least = min(range(len(shapes)), key=nearness.__getitem__)
+        if nearness[least] >= ALIKE:
+            break
+        chosen.append(least)
+    return [sources[c] for c in chosen]
 
 
 class References:
@@ -263,30 +300,52 @@ class References:
     def __init__(self, most: int = 200):
         self.kept, self.most = OrderedDict(), most
 
-    def __call__(self, source: str) -> Node:
+    def __call__(self, source: str) -> tuple[Node, frozenset]:
         if source not in self.kept:
-            self.kept[source] = parse(source)
+            page = parse(source)
+            self.kept[source] = (page, shape(page))
             if len(self.kept) > self.most:
                 self.kept.popitem(last=False)
         return self.kept[source]
 
+    def nearest(self, page: Node, sources: list[str]) -> tuple[int, Node]:
+        """Number and tree of the reference most like the page."""
+        if len(sources) == 1:
+            return 0, self(sources[0])[0]
+        own = shape(page)
+        best = max(range(len(sources)), key=lambda i: (alike(own, self(sources[i])[1]), -i))
+        return best, self(sources[best])[0]
+
 
 def _counted(aligned: DataFrame) -> DataFrame:
-    """(host, node, seen, same) sums of each task's pages."""
+    """(host, layout, node, seen, same) sums of each task's pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reference = References()
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
-            for host, source, ref in zip(batch["host"], batch["html"], batch["ref"]):
-                for r, p in match_trees(reference(ref), parse(source)):
-                    count = sums.setdefault((host, r.number), [0, 0])
+            sums: dict[tuple[str, int, int], list[int]] = {}
+            for host, source, refs in zip(batch["host"], batch["html"], batch["refs"]):
+                page = parse(source)
+                layout, ref = reference.nearest(page, refs)
+                for r, p in match_trees(ref, page):
+                    count = sums.setdefault((host, layout, r.number), [0, 0])
                     count[0] += 1
                     count[1] += r.own_text() == p.own_text() and r.attributes == p.attributes
-            rows = [(host, node, seen, same) for (host, node), (seen, same) in sums.items()]
-            yield pd.DataFrame(rows, columns=["host", "node", "seen", "same"])
+            rows = [(*place, seen, same) for place, (seen, same) in sums.items()]
+            yield pd.DataFrame(rows, columns=["host", "layout", "node", "seen", "same"])
+
+    return aligned.mapInPandas(run, "host string, layout int, node int, seen long, same long")
+
+
+def _referenced(sampled: DataFrame) -> DataFrame:
+    """(host, refs) from (host, pages), which are pairs of digest and html."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            refs = [chosen_references([p["html"] for p in sorted(pages, key=lambda p: p["digest"])]) for pages in batch["pages"]]
+            yield pd.DataFrame({"host": batch["host"], "refs": refs})
 
-    return aligned.mapInPandas(run, "host string, node int, seen long, same long")
+    return sampled.mapInPandas(run, "host string, refs array<string>")
 
 
 def host_of(url: Column) -> Column:
@@ -296,39 +355,46 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page row: page_id, url, text, n_chars.
 
-    A null or empty page has an empty text; pages without a host are judged by their own structure alone, as are hosts
-    of fewer than MIN_PAGES different pages.  Repeated rows are each answered; other columns are ignored.
+    A null or empty page has an empty text; pages without a host are judged by their own structure alone, as are layouts
+    of fewer than MIN_PAGES pages besides the reference.  Repeated rows are each answered; other columns are ignored.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
     usable = rows.filter("html <> '' and host <> ''")
     digest = F.md5(F.col("html").cast("binary"))
-    refs = durable(usable.groupBy("host").agg(F.min_by("html", digest).alias("ref")))
-    size = refs.agg(F.coalesce(F.sum(F.length("ref")), F.lit(0))).first()[0]
+    # One page for each of SAMPLED parts of the digests, whatever the number of the host's pages.
+    part = F.pmod(F.xxhash64(digest), F.lit(SAMPLED)).alias("part")
+    sampled = usable.groupBy("host", part).agg(F.min(digest).alias("digest"), F.min_by("html", digest).alias("html"))
+    refs = durable(_referenced(sampled.groupBy("host").agg(F.collect_list(F.struct("digest", "html")).alias("pages"))))
+    held_chars = F.aggregate("refs", F.lit(0).cast("long"), lambda total, ref: total + F.length(ref))
+    size = refs.agg(F.coalesce(F.sum(held_chars), F.lit(0))).first()[0]
     small = size <= BROADCAST_CHARS
-    # The reference's own copies would make its content look like template.
-    others = usable.join(F.broadcast(refs) if small else refs, "host").filter(F.col("html") != F.col("ref"))
-    seen = _counted(others.select("host", "html", "ref"))
-    sums = seen.groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
-    held = sums.groupBy("host").agg(F.max("seen").alias("n_pages"), F.collect_list(F.struct("node", "seen", "same")).alias("nodes"))
+    # A reference's own copies would make its content look like template.
+    others = usable.join(F.broadcast(refs) if small else refs, "host").filter(~F.array_contains("refs", F.col("html")))
+    seen = _counted(others.select("host", "html", "refs"))
+    sums = seen.groupBy("host", "layout", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+    held = sums.groupBy("host", "layout").agg(F.max("seen").alias("n_pages"), F.collect_list(F.struct("node", "seen", "same")).alias("nodes"))
     constant = F.transform(F.filter("nodes", lambda n: n["same"] >= TEMPLATE_SHARE * F.col("n_pages")), lambda n: n["node"])
-    wrappers = durable(refs.join(held.filter(F.col("n_pages") >= MIN_PAGES).select("host", constant.alias("constant")), "host"))
+    layouts = held.filter(F.col("n_pages") >= MIN_PAGES).select("host", F.struct("layout", constant.alias("constant")).alias("layout"))
+    wrappers = durable(refs.join(layouts.groupBy("host").agg(F.collect_list("layout").alias("layouts")), "host"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reference = References()
         for batch in batches:
             texts = []
-            for source, ref, fixed in zip(batch["html"], batch["ref"], batch["constant"]):
+            for source, refs, layouts in zip(batch["html"], batch["refs"], batch["layouts"]):
                 page, same = parse(source if isinstance(source, str) else ""), set()
-                if isinstance(ref, str):
-                    fixed = set(fixed)
-                    same = {p.number for r, p in match_trees(reference(ref), page) if r.number in fixed and r.own_text() == p.own_text()}
+                if refs is not None:
+                    layout, ref = reference.nearest(page, refs)
+                    fixed = {n for held in layouts if held["layout"] == layout for n in held["constant"]}
+                    if fixed:
+                        same = {p.number for r, p in match_trees(ref, page) if r.number in fixed and r.own_text() == p.own_text()}
                 texts.append(main_text(page, same))
             out = batch[["page_id", "url"]].copy()
             out["text"], out["n_chars"] = texts, [len(t) for t in texts]
             yield out
 
-    joined = rows.join(F.broadcast(wrappers) if small else wrappers, "host", "left").select("page_id", "url", "html", "ref", "constant")
+    joined = rows.join(F.broadcast(wrappers) if small else wrappers, "host", "left").select("page_id", "url", "html", "refs", "layouts")
     kind = pages.schema[page_id].dataType.simpleString()
     return joined.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
