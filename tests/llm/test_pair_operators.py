@@ -173,6 +173,24 @@ def test_template_inside_articles_goes_by_layout(spark):
         assert r["text"] == "\n".join(parts)
 
 
+@pytest.mark.parametrize(
+    "source, expected",
+    [
+        ('<div class="has-sidebar"><article><p>A text</article></div>', "A text"),
+        ('<form id="page-with-footer"><main><p>A text</main></form>', "A text"),
+        ('<div class="social-news"><p>A long text of news</div><div class="ad">Buy</div>', "A long text of news"),
+        ('<div class="ad"><p>one</div><div class="social-news"><p>two</div><div class="promo"><p>six</div>', "one\ntwo\nsix"),
+        ('<article><header class="entry-header"><h1>T</h1></header><p>A text</article>', "T\nA text"),
+        ("<main><p>First</p><article><p>Much longer text than the first</article><p>Last</p></main>", "First\nMuch longer text than the first\nLast"),
+        ('<article><p>One</article><article><p>Two, longer</article><article class="comment"><p>No</article>', "One\nTwo, longer"),
+        ('<main><h1>T</h1><p>x</p><div id="comments"><article><p>A very long comment</article></div></main>', "T\nx"),
+        ('<main><div class="has-comments"><article><h1>T</h1><p>x</p><div id="comments"><p>No</div></article></div></main>', "T\nx"),
+    ],
+)
+def test_labels_dont_hide_content(source, expected):
+    assert wrapper.main_text(wrapper.parse(f"<body>{source}</body>"), set()) == expected
+
+
 def test_tree_matching_keeps_parents_and_order():
     a = wrapper.parse("<div><p>a</p><ul><li>1<li>2</ul><p>b</p></div>")
     b = wrapper.parse("<div><ul><li>1<li>x<li>2</ul><p>b</p><em>q</em></div>")

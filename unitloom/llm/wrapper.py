@@ -2,8 +2,9 @@
 
 Each page of a host is aligned with the most similar of the host's references (one page for each of its
 layouts) by tree matching.  What stays the same at a reference node over the layout's pages is template;
-what varies is a slot.  The content is an article or main element, else the element that holds the host's
-varying text.  In all of them blocks of template go, and menus, forms, comments and the like.
+what varies is a slot.  The content is the article and main elements, else the element that holds the
+varying text.  In all of them blocks of template go; menus, comments and elements with a label of
+boilerplate go too, unless an article or most of the varying text lies inside.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ TEMPLATE_SHARE, MIN_PAGES = 0.8, 3
 SAMPLED, LAYOUTS, ALIKE = 8, 4, 0.5
 #: Weight of an equal text when trees are matched (a pair of nodes weighs 1), so that repeated blocks meet at whatever place.
 EQUAL_TEXT = 4
+#: A labelled element with this share of the page's varying text is content.
+MOST = 0.5
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,8 +52,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 LABELS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
     " sidebar footer header masthead cookie cookies consent notice notices newsletter subscribe signup login social share sharing related"
-    " recommended comment comments disqus reply replies popup modal overlay pagination pager widget toolbar skip".split()
+    " recommended popup modal overlay pagination pager widget toolbar skip".split()
 )
+COMMENTS = frozenset("comment comments disqus reply replies".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -128,23 +132,97 @@ def parse(source: str | None) -> Node:
     return root
 
 
-def boilerplate(node: Node, inside: bool) -> bool:
-    """Menus, headers, forms, adverts, comments and the like; ``inside`` an article a header may be its own."""
-    if node.tag in LEFT_OUT or (node.tag == "header" and not inside):
+def hidden(node: Node) -> bool:
+    """Menus, buttons, scripts and what isn't shown; a form may hold the whole page, so it counts as a label."""
+    if node.tag in LEFT_OUT and node.tag != "form":
         return True
-    if not node.attributes.strip():
-        return False
-    for name, *values in ATTRIBUTE.findall(node.attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
+    for name, value in attributes(node):
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and not LABELS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return node.tag not in ("html", "body", "article", "main")
     return False
 
 
+def attributes(node: Node) -> list[tuple[str, str]]:
+    if not node.attributes.strip():
+        return []
+    return [(name.lower(), "".join(values).lower()) for name, *values in ATTRIBUTE.findall(node.attributes)]
+
+
+def labels(node: Node) -> set[str]:
+    """Words of boilerplate in the element's tag, role, class and id; articles and the page itself can only be comments."""
+    found = {"form"} if node.tag == "form" else set()
+    for name, value in attributes(node):
+        if name == "role":
+            found |= ROLES & {value}
+        if name in ("class", "id"):
+            found |= (LABELS | COMMENTS) & set(re.split(r"[\s_-]+", value))
+    if node.tag in ("html", "body", "main"):
+        return set()
+    return found & COMMENTS if node.tag == "article" else found
+
+
+def judge(page: Node, constant: set[int], believed: bool = True) -> tuple[set[int], dict[int, int]]:
+    """Numbers of the elements to leave out, and the length of the varying text under each of the others.
+
+    ``believed`` tells whether labels count at all.  A labelled element stays if it holds an article or main element or
+    MOST of the varying text; a header inside an article may be the article's own.
+    """
+    known: dict[int, set[str]] = {}
+    holds: dict[int, set[str]] = {}
+    raw: dict[int, int] = {}
+    plain = [False]  # an article or main element outside comments
+
+    def measure(node: Node, commented: bool) -> None:
+        n = node.number
+        if hidden(node):
+            raw[n], holds[n] = -1, set()
+            return
+        known[n] = labels(node) if believed else set()
+        commented = commented or not COMMENTS.isdisjoint(known[n])
+        if node.tag in ("article", "main"):
+            plain[0] = plain[0] or not commented
+        raw[n] = 0 if n in constant else len(node.own_text())
+        holds[n] = {node.tag} & {"article", "main", "h1"}
+        for child in node.elements():
+            measure(child, commented)
+            holds[n] |= holds[child.number]
+            if raw[child.number] > 0 and COMMENTS.isdisjoint(known[child.number]):
+                raw[n] += raw[child.number]
+
+    measure(page, False)
+    left_out: set[int] = set()
+    varying: dict[int, int] = {}
+
+    def goes(node: Node, inside: bool, opened: bool) -> bool:
+        n = node.number
+        if raw[n] < 0:
+            return True
+        if not COMMENTS.isdisjoint(known[n]):
+            return opened or not ("main" in holds[n] or "h1" in holds[n] or ("article" in holds[n] and not plain[0]))
+        words = known[n] - {"header"} if inside else known[n]
+        return bool(words) and holds[n].isdisjoint(("article", "main")) and (raw[n] < MOST * raw[page.number] or not raw[n])
+
+    def walk(node: Node, inside: bool, opened: bool) -> int:
+        n = node.number
+        if goes(node, inside, opened):
+            left_out.add(n)
+            varying[n] = 0
+            return 0
+        inside = inside or node.tag in ("article", "main")
+        opened = opened or node.tag == "article" or not COMMENTS.isdisjoint(known[n])
+        own = 0 if n in constant else len(node.own_text())
+        below = [walk(c, inside, opened) for c in node.elements()]
+        if node.tag == "header" and not inside and holds[n].isdisjoint(("article", "main")):
+            own, below = 0, []
+        varying[n] = own + sum(below)
+        return varying[n]
+
+    walk(page, False, False)
+    return left_out, varying
+
+
 def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: the heaviest set of equal-tag pairs that keeps parents and order, top down; equal texts weigh more."""
 
@@ -190,45 +268,29 @@ def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return pairs
 
 
-def text_length(node: Node) -> int:
-    return 0 if node.tag in RAW else sum(len(c) if isinstance(c, str) else text_length(c) for c in node.children)
-
-
-def content_node(page: Node, constant: set[int]) -> Node:
-    """The element with the page's varying text: an article or main element, else where most of it meets."""
-    varying: dict[int, int] = {}
-
-    def measure(node: Node, inside: bool) -> int:
-        if boilerplate(node, inside):
-            varying[node.number] = 0
-            return 0
-        own = 0 if node.number in constant else len(node.own_text())
-        inside = inside or node.tag in ("article", "main")
-        varying[node.number] = own + sum(measure(c, inside) for c in node.elements())
-        return varying[node.number]
-
-    measure(page, False)
+def content_nodes(page: Node, left_out: set[int], varying: dict[int, int]) -> list[Node]:
+    """The elements with the page's varying text: all outermost articles and mains in page order, else where most of it meets."""
     todo, marked = [page], []
     while todo:
         node = todo.pop()
-        if node.tag in ("article", "main") and node.number in varying:
+        if node.number in left_out:
+            continue
+        if node.tag in ("article", "main"):
             marked.append(node)
-        todo += reversed(node.elements())
+        else:
+            todo += reversed(node.elements())
     if marked:
-        # Comments may be articles too: the first of the richest, an inner one only if it holds nearly all.
-        best = max(marked, key=lambda n: (varying[n.number], text_length(n)))
-        inner = [n for n in marked if n is not best and n.tag == "article" and best.tag == "main" and varying[n.number] >= 0.6 * varying[best.number]]
-        return inner[0] if inner else best
+        return marked
     node = page
     while True:
         parts = [c for c in node.elements() if varying.get(c.number, 0) > 0]
         rich = [c for c in parts if varying[c.number] >= 0.8 * varying[node.number] and c.tag in BLOCK]
         if len(rich) != 1 or rich[0].tag in ("p", "pre", "table"):
-            return node
+            return [node]
         node = rich[0]
 
 
-def blocks(node: Node, constant: set[int], strict: bool) -> list[str]:
+def blocks(node: Node, constant: set[int], left_out: set[int], strict: bool) -> list[str]:
     """Texts of the blocks under ``node`` in page order; ``strict`` leaves out blocks that are all template."""
     out: list[str] = []
     pending: list[tuple[str, bool]] = []
@@ -246,7 +308,7 @@ def blocks(node: Node, constant: set[int], strict: bool) -> list[str]:
                 pending.append((child, at.number in constant))
             elif child.tag == "br":
                 pending.append((" ", True))
-            elif not boilerplate(child, True):
+            elif child.number not in left_out:
                 if child.tag in BLOCK:
                     close()
                     walk(child)
@@ -260,9 +322,16 @@ def blocks(node: Node, constant: set[int], strict: bool) -> list[str]:
 
 
 def main_text(page: Node, constant: set[int]) -> str:
-    node = content_node(page, constant)
-    # An article in which nothing varies is one that the host repeats itself.
-    return "\n".join(blocks(node, constant, strict=True) or (blocks(node, constant, strict=False) if node.tag in ("article", "main") else []))
+    for believed in (True, False):
+        left_out, varying = judge(page, constant, believed)
+        nodes = content_nodes(page, left_out, varying)
+        out = [text for node in nodes for text in blocks(node, constant, left_out, strict=True)]
+        if not out and nodes[0].tag in ("article", "main"):
+            # Nothing varies in it: the host repeats the article itself.
+            out = [text for node in nodes for text in blocks(node, constant, left_out, strict=False)]
+        if out:
+            break
+    return "\n".join(out)
 
 
 def shape(page: Node) -> frozenset[tuple[str, ...]]:
