@@ -106,6 +106,42 @@ def test_classes_equal_brute_force(spark, near_copies):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_similar_pairs_inside_a_crowd_of_others(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [passage + [f"q{w}" for w in rng.integers(0, 10**6, 40)] for _ in range(60)]
+    for i in range(0, 40, 2):  # pairs at 0.8 or a little under, their edits spread over what is their own
+        copy = list(texts[i])
+        for place in rng.choice(np.arange(90, 130), 24 + i % 4, replace=False):
+            copy[place] = f"r{rng.integers(0, 10**6)}"
+        texts.append(copy)
+    # One short sketch, as where all other ones miss: pairs meet in crowds or never.
+    monkeypatch.setattr(minhash, "SEEDS", 1)
+    monkeypatch.setattr(minhash, "TAKES", (1,))
+    monkeypatch.setattr(minhash, "kmers", lambda codes, k=minhash.K, own=minhash.kmers: own(codes, k) if k == 2 else own(codes[:90], k))
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    edges = [(i, i) for i in range(len(texts))]
+    edges += [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if distance(a, b) <= 0.2 * 130]
+    expected = roots_of(edges)
+    assert 0 < len(texts) - len(set(expected.values())) <= 20
+    assert {r["doc_id"]: r["class_id"] for r in minhash.report(rows).collect()} == expected
+
+
+def test_prefixes_of_similar_texts_meet():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(5, 60))
+        a = [f"w{w}" for w in rng.integers(0, 12, n)]
+        b = list(a)
+        for _ in range(n // 4):
+            place = int(rng.integers(0, len(b)))
+            b[place : place + int(rng.integers(0, 2))] = [f"w{w}" for w in rng.integers(0, 12, int(rng.integers(0, 2)))]
+        longest = max(len(a), len(b))
+        if min(len(a), len(b)) >= minhash.K and distance(a, b) <= 0.2 * longest:
+            first = [set(np.sort(minhash.kmers(minhash.word_codes(" ".join(t)), 2))[: minhash.prefix_length(len(t))]) for t in (a, b)]
+            assert first[0] & first[1]
+
+
 def test_copies_with_null_and_repeated_ids(spark):
     text = "some words that are long enough to be a text"
     rows = spark.createDataFrame([(None, text), (5, text), (5, text), (7, text), (None, None), (None, None), (8, "")], "doc_id long, text string")
