@@ -3,7 +3,8 @@
 Natural words, even unknown ones, fall into few vocabulary entries; a random key needs one
 entry for every one or two characters.  A run of key characters counts as random when
 its characters per token stay under ``max_ratio``, unless it has the shape of a known
-digest (hex of a digest's length), a UUID, a number, or an identifier made of plain words.
+digest (hex of a digest's length), a UUID, a number, or an identifier whose words, each taken alone and
+in lower case where that is shorter, reach ``max_ratio`` together.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 PLAIN = re.compile(r"(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}|[0-9]{1,8}")
 
@@ -64,13 +66,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def known_shape(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers of plain words are known strings, not keys."""
+def known_shape(run: str, encode, max_ratio: float = MAX_RATIO) -> bool:
+    """Digests, UUIDs, numbers and identifiers of plain words are known strings, not keys; the tokens tell whether words are plain."""
     if run.isdigit() or (len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run)):
         return True
     if UUID.fullmatch(run) or len(set(run)) < 8:
         return True
-    return all(PLAIN.fullmatch(word) for word in re.split(r"[+/_=-]+", run) if word)
+    if not all(PLAIN.fullmatch(word) for word in re.split(r"[+/_=-]+", run) if word):
+        return False
+    words = WORD.findall(run)
+    tokens = sum(min(len(encode(word)), len(encode(word.lower()))) for word in words)
+    return sum(map(len, words)) >= max_ratio * tokens
 
 
 def random_spans(text: str, encode, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
@@ -78,7 +84,7 @@ def random_spans(text: str, encode, max_ratio: float = MAX_RATIO) -> list[tuple[
     return [
         (m.start(), 3, m.end())
         for m in RUN.finditer(text)
-        if not known_shape(m[0]) and len(m[0]) < max_ratio * len(encode(m[0]))
+        if not known_shape(m[0], encode, max_ratio) and len(m[0]) < max_ratio * len(encode(m[0]))
     ]
 
 
