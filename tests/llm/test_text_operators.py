@@ -83,6 +83,17 @@ def test_tokens_equal_the_tokenizers_own():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_are_those_of_a_plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    plain = Tokenizer.from_file(path)
+    texts = ["<|endoftext|> x", "a word<|endoftext|>, and", "<|ENDOFTEXT|> X", "<|startoftext|>", "< | endoftext|> x", "Plain words, here.", ""]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [49407, 343]
+    got = packing.token_bytes(texts, path)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_best_fit_decreasing_and_its_bound():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -50,9 +50,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found, {}
+    return Tokenizer.from_file(path), {}
+
+
+@lru_cache(maxsize=4)
+def _special(path: str) -> tuple[str, ...]:
+    return tuple(token.content.lower() for token in _tokenizer(path)[0].get_added_tokens_decoder().values())
 
 
 #: A run of signs that ends with one of the signs set apart below.
@@ -73,11 +76,16 @@ def _words(text: str) -> list[str]:
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, by way of the words that the worker knows."""
+    """Each text's ids as little-endian unsigned 32-bit integers, by way of the words that the worker knows.
+
+    Texts that hold a special token, in whatever case, are encoded whole.
+    """
     tokenizer, known = _tokenizer(path)
+    lowered = [text.lower() for text in texts]
+    whole = {i for i, low in enumerate(lowered) if any(token in low for token in _special(path))}
     if len(known) > KNOWN_WORDS:
         known.clear()
-    split = [_words(text) for text in texts]
+    split = [[] if i in whole else _words(text) for i, text in enumerate(texts)]
     new = list(set().union(*split).difference(known))
     if new:
         coded = tokenizer.encode(" ".join(new), add_special_tokens=False)
@@ -89,6 +97,8 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
             known[word] = ids[at:end]
             at = end
     out = [b"".join(map(known.__getitem__, words)) for words in split]
+    for i in whole:
+        out[i] = np.asarray(tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
     for word in new:
         if len(word) > LONG_WORD:
             del known[word]
