@@ -282,3 +282,23 @@ def test_canonical_forms_meet(spark):
     assert got[3]["digest"] is None and got[4]["digest"] is None and got[3]["n_notices"] == 0
     assert got[None]["license"] == got[None]["notices"] == "CC-BY-NC-4.0"
     assert licenses.scan(frame(spark, docs).limit(0), licenses.known_texts(spark)).count() == 0
+
+
+def test_licence_files_in_usual_wrapping(spark):
+    import textwrap
+
+    def wrapped(text):
+        return "\n\n".join(textwrap.fill(p, 76) for p in text.split("\n\n"))
+
+    texts = dict(licenses.KNOWN[-2:]) | dict(licenses.TEXTS)
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n"
+    isc += wrapped(texts["ISC"].split("\n\n")[1])
+    mit = "MIT License\n\nCopyright (c) 2024 Some Body\n\n" + wrapped(texts["MIT"])
+    bsd = "BSD 3-Clause License\n\nCopyright 2019, Some Body\nAll rights reserved.\n\n" + wrapped(texts["BSD-3-Clause"])
+    docs = [(1, "ISC License\n\n(c) 2024 Some Body\n\n" + isc), (2, mit), (3, bsd), (4, texts["Apache-2.0"]), (5, texts["GPL-3.0"])]
+    docs += [(6, f"About\n\nwords\n\n{mit}\n\nmore words\n\n{isc}\n\nend"), (7, mit[:-40] + "\n\nend"), (8, "All rights reserved.\nx"), (9, mit.replace("\n", "\r\n"))]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, docs), licenses.known_texts(spark)).collect()}
+    assert [got[i]["license"] for i in range(1, 6)] == ["ISC", "MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"]
+    assert (got[6]["license"], got[6]["notices"], got[6]["n_notices"]) == (None, "ISC,MIT", 2)
+    assert got[7]["license"] is None and got[7]["notices"] == "" and got[9]["license"] == "MIT"
+    assert got[8]["digest"] == hashlib.sha256(b"all rights reserved x").hexdigest()
