@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from . import decontaminate, hnsw, licenses, link_graph, minhash, packing, secret_scan, tool_calls, toxicity, wrapper
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from . import (
+    collision_search,
+    decontaminate,
+    hnsw,
+    licenses,
+    link_graph,
+    minhash,
+    packing,
+    prefix_trie,
+    secret_scan,
+    token_alignment,
+    tool_calls,
+    toxicity,
+    wrapper,
+)
 from .common import table
 
 
@@ -49,6 +63,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +88,9 @@ QUERIES = {
         op8_decontamination,
         op9_link_graph,
         op10_toxicity,
+        op11_prefix_trie,
+        op12_collision_search,
+        op13_token_alignment,
     )
 }
 
@@ -138,5 +167,39 @@ WITH known AS (SELECT {_canonical("text")} AS form, min(license) AS license FROM
                  (SELECT DISTINCT r, license FROM (SELECT r, {_canonical("text")} AS form FROM parts) JOIN known USING (form)) GROUP BY r)
 SELECT doc_id, sha256(form) AS digest, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notices
 FROM d LEFT JOIN known USING (form) LEFT JOIN notices USING (r)
+""",
+    "op11_prefix_trie": r"""
+WITH codes AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS crc
+               FROM range(256) r(i)),
+     own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS d
+             FROM conversations WHERE conv_id IS NOT NULL),
+     convs AS (SELECT conv_id AS c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                                       lambda a, b: xor(a // 256, crc[CAST(xor(a, b) & 255 AS INT) + 1])), 4294967295) % 4 AS h
+               FROM (SELECT DISTINCT conv_id FROM own), codes),
+     turns AS (SELECT c, d, role, text FROM convs JOIN own ON own.conv_id = c - c % 20 AND d <= h
+               UNION ALL SELECT c, d - h + (SELECT count(*) FROM own b WHERE b.conv_id = c - c % 20 AND b.d <= h), role, text FROM convs JOIN own ON own.conv_id = c AND d > h),
+     lists AS (SELECT convs.c, list(sha256(length(role) || ':' || role || text) ORDER BY d) FILTER (d IS NOT NULL) AS t,
+                      list(len(list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda w: w <> '')) ORDER BY d) FILTER (d IS NOT NULL) AS w
+               FROM convs LEFT JOIN turns ON turns.c = convs.c GROUP BY convs.c),
+     members AS (SELECT c, depth, coalesce(t, [])[1:depth] AS path, depth = len(coalesce(t, [])) AS ends, CASE WHEN depth > 0 THEN w[depth] ELSE 0 END AS words
+                 FROM (SELECT *, unnest(range(0, len(coalesce(t, [])) + 1)) AS depth FROM lists)),
+     nodes AS (SELECT path, depth, min(c) AS low, count(*) AS n, max(words) AS words, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids
+               FROM members GROUP BY path, depth),
+     upper AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+     below AS (SELECT a.path, count(*) FILTER (u.n_children IS NULL) AS n_leaves, sum((b.n - 1) * b.words) AS saved
+               FROM nodes a JOIN nodes b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path LEFT JOIN upper u ON u.path = b.path GROUP BY a.path)
+SELECT nodes.low AS conv_id, nodes.depth, p.low AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(nodes.ids) AS ends_sha256
+FROM nodes LEFT JOIN nodes p ON nodes.depth > 0 AND p.path = nodes.path[1:nodes.depth - 1] LEFT JOIN upper ON upper.path = nodes.path JOIN below ON below.path = nodes.path
+""",
+    "op12_collision_search": """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
+           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10
 """,
 }
