@@ -106,7 +106,7 @@ def test_classes_equal_brute_force(spark, near_copies):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
 
 
-def test_similar_pairs_inside_a_crowd_of_others(spark, monkeypatch):
+def test_exact_resolution_finds_all_similar_pairs_inside_a_crowd(spark, monkeypatch):
     rng = np.random.default_rng(5)
     passage = [f"p{i}" for i in range(90)]
     texts = [passage + [f"q{w}" for w in rng.integers(0, 10**6, 40)] for _ in range(60)]
@@ -124,7 +124,47 @@ def test_similar_pairs_inside_a_crowd_of_others(spark, monkeypatch):
     edges += [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if distance(a, b) <= 0.2 * 130]
     expected = roots_of(edges)
     assert 0 < len(texts) - len(set(expected.values())) <= 20
-    assert {r["doc_id"]: r["class_id"] for r in minhash.report(rows).collect()} == expected
+    assert {r["doc_id"]: r["class_id"] for r in minhash.report(rows, exact=True).collect()} == expected
+
+
+def crowd_of(rng, own, edits, n=240):
+    """Texts of one shared passage and ``own`` words each, half of them also with a copy in which ``edits`` of all words are changed."""
+    passage = [f"p{i}" for i in range(100)]
+    texts = [passage + [f"q{w}" for w in rng.integers(0, 10**6, own)] for _ in range(n)]
+    for i in range(0, n, 2):
+        copy = list(texts[i])
+        for place in rng.choice(len(copy), edits, replace=False):
+            copy[place] = f"r{rng.integers(0, 10**6)}"
+        texts.append(copy)
+    return texts
+
+
+@pytest.mark.parametrize("own, edits", [(60, 8), (100, 10), (40, 6)])
+def test_recall_inside_a_crowd(spark, own, edits):
+    texts = crowd_of(np.random.default_rng(own + edits), own, edits)
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    codes = [minhash.word_codes(" ".join(t)) for t in texts]
+    most = int(0.2 * len(texts[0]))
+    links = [(j, i) for i, a in enumerate(codes) for j, b in enumerate(codes[:i]) if minhash.edit_distance(a, b, most) is not None]
+    found = {r["doc_id"]: r["class_id"] for r in minhash.report(rows).collect()}
+    together = sum(found[i] == found[j] for i, j in links)
+    assert len(links) >= 120 and together >= 0.95 * len(links)
+    expected = roots_of([(i, i) for i in range(len(texts))] + links)
+    assert all(expected[i] == expected[c] for i, c in found.items())
+
+
+def test_work_inside_a_crowd_is_linear(spark, monkeypatch):
+    tried = []
+    own = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, codes: (tried.append(pairs.count()), own(pairs, codes))[1])
+    per_text = {}
+    for n in (200, 800):
+        tried.clear()
+        texts = crowd_of(np.random.default_rng(n), 60, 8, n)
+        rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        minhash.report(rows).count()
+        per_text[n] = sum(tried) / len(texts)
+    assert per_text[800] < 1.3 * per_text[200] + 1
 
 
 def test_prefixes_of_similar_texts_meet():

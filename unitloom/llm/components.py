@@ -7,11 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from .common import durable
 
 
-def _flat(parent: DataFrame) -> DataFrame:
+#: Rows of a partition of the small tables that the rounds pass on.
+ROWS = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as its ``rows`` fill, without moving anything, so that a small table is not dealt to hundreds of tasks and files."""
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
+def _flat(parent: DataFrame, rows: int) -> DataFrame:
     """Follow (node, parent) pointers to their ends, doubling the step each time."""
     while True:
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-        jumped = durable(parent.join(up, "parent").select("node", "parent", "next"))
+        jumped = durable(few(parent.join(up, "parent").select("node", "parent", "next"), rows))
         moved = jumped.filter("next <> parent").limit(1).count()
         parent = jumped.select("node", F.col("next").alias("parent"))
         if not moved:
@@ -30,17 +39,19 @@ def connected(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     left = durable(ends.filter("u <> v").distinct())
     total = None
-    while left.limit(1).count():
+    while rows := left.count():
+        left = few(left, rows)
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = both.groupBy("u").agg(F.min("v").alias("low"))
-        parent = _flat(durable(nearest.select(F.col("u").alias("node"), F.least("u", "low").alias("parent"))))
+        nearest = few(few(both, 2 * rows).groupBy("u").agg(F.min("v").alias("low")), 2 * rows)
+        parent = _flat(durable(nearest.select(F.col("u").alias("node"), F.least("u", "low").alias("parent"))), 2 * rows)
         if total is None:
-            total = parent.select("node", F.col("parent").alias("root"))
+            total, nodes = parent.select("node", F.col("parent").alias("root")), 2 * rows
         else:
             step = parent.select(F.col("node").alias("root"), F.col("parent").alias("top"))
-            total = durable(total.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            joined = total.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            total = durable(few(joined, nodes))
         pu = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         pv = parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        moved = left.join(pu, "u").join(pv, "v").filter("pu <> pv")
-        left = durable(moved.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct())
+        moved = few(few(left.join(pu, "u"), rows).join(pv, "v"), rows).filter("pu <> pv")
+        left = durable(few(moved.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), rows))
     return total if total is not None else left.select(F.col("u").alias("node"), F.col("v").alias("root"))
