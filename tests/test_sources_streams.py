@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import gzip
+import random
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from unitloom.operators import runlog as rl
-from unitloom.sources import incremental, logs, text
+from unitloom.sources import incremental, logs, text, zstd_lines
 from unitloom.streaming import jobs
 
 
@@ -17,8 +19,72 @@ def test_jsonl_fields_and_precedence(spark, tmp_path):
     path = str(tmp_path / "x.jsonl.gz")
     assert sorted(r.text for r in text.read_jsonl_text(spark, path).collect()) == ["a", "c", "d"]
     assert sorted(r.text for r in text.read_jsonl_text(spark, path, ("content", "text")).collect()) == ["b", "c", "d"]
-    with pytest.raises(ValueError):
-        text.read_jsonl_text(spark, "x.jsonl.zst")
+
+
+def zstd_file(path, frames, skippable_at=None):
+    packer = zstandard.ZstdCompressor(write_checksum=True)
+    with open(path, "wb") as f:
+        for i, frame in enumerate(frames):
+            if i == skippable_at:
+                f.write((0x184D2A53).to_bytes(4, "little") + (5).to_bytes(4, "little") + b"(\xb5/\xfd\n")
+            f.write(packer.compress(frame))
+
+
+@pytest.mark.parametrize("split", [1, 7, 40, 300, 1 << 20])
+def test_zstd_lines_come_once_whatever_the_ranges(tmp_path, split):
+    rng = random.Random(split)
+    body = b"\n".join(bytes(rng.choices(b"abc\n {}", k=rng.randrange(120))) for _ in range(60)) + b"\n(\xb5/\xfd no frame\nlast"
+    cuts = sorted(rng.sample(range(len(body)), 25))
+    zstd_file(tmp_path / "x.zst", [body[a:b] for a, b in zip([0, *cuts], [*cuts, len(body)])] + [b""], skippable_at=4)
+    size = (tmp_path / "x.zst").stat().st_size
+    with open(tmp_path / "x.zst", "rb") as source:
+        got = [line for at in range(0, size, split) for line in zstd_lines.lines(source, at, min(at + split, size), size)]
+    assert got == body.split(b"\n")
+
+
+def test_zstd_stored_signs_are_no_frames(tmp_path):
+    """Raw blocks may hold the sign of a frame, even a whole frame."""
+    inner = zstandard.ZstdCompressor().compress(b"inner\n" * 3)
+    noise = bytes(random.Random(1).randbytes(3_000))
+    frames = [b"a\n" + noise.replace(b"\n", b"") + inner.replace(b"\n", b"") + b"\nb", b"c\nd\n"]
+    zstd_file(tmp_path / "x.zst", frames)
+    whole = b"".join(frames).split(b"\n")[:-1]
+    size = (tmp_path / "x.zst").stat().st_size
+    with open(tmp_path / "x.zst", "rb") as source:
+        assert [x for at in range(0, size, 50) for x in zstd_lines.lines(source, at, min(at + 50, size), size)] == whole
+
+
+def test_zstd_cut_off_file_is_an_error(tmp_path):
+    zstd_file(tmp_path / "x.zst", [b"some line\n" * 100])
+    data = (tmp_path / "x.zst").read_bytes()[:-6]
+    (tmp_path / "x.zst").write_bytes(data)
+    with open(tmp_path / "x.zst", "rb") as source, pytest.raises(EOFError):
+        list(zstd_lines.lines(source, 0, len(data), len(data)))
+
+
+def test_zstd_json_lines(spark, tmp_path):
+    lines = [b'{"text": "a", "content": "b"}', b"", b'{"text": "", "content": "c"}', b'{"other": 1}', b"not json", b"   ", b'{"text": "bad \xff byte"}', b'{"content": "d"}']
+    body = b"\n".join(lines)
+    zstd_file(tmp_path / "x.jsonl.zst", [body[i : i + 17] for i in range(0, len(body), 17)])
+    path = str(tmp_path / "x.jsonl.zst")
+    for split in (30, 1 << 20):
+        assert sorted(r.text for r in text.read_jsonl_text(spark, path, split_bytes=split).collect()) == ["a", "bad \ufffd byte", "c", "d"]
+    assert sorted(r.text for r in text.read_jsonl_text(spark, path, ("content", "text")).collect()) == ["b", "bad \ufffd byte", "c", "d"]
+    (tmp_path / "none.zst").mkdir()
+    assert text.read_jsonl_text(spark, str(tmp_path / "none.zst")).count() == 0
+    with pytest.raises(Exception):
+        text.read_jsonl_text(spark, str(tmp_path / "missing.zst")).count()
+
+
+def test_zstd_files_are_written_and_split(spark, tmp_path):
+    path = "file://" + str(tmp_path / "out.zst")
+    zstd_lines.register(spark)
+    rows = spark.range(20_000).select(F.concat(F.lit("line "), F.md5(F.col("id").cast("string"))).alias("value")).repartition(3)
+    for mode, copies in (("append", 1), ("append", 2), ("overwrite", 1)):
+        rows.write.format(zstd_lines.FORMAT).mode(mode).option("frameBytes", 10_000).save(path)
+        back = spark.read.format(zstd_lines.FORMAT).option("splitBytes", 20_000).load(path)
+        assert back.count() == 20_000 * copies and back.distinct().count() == 20_000
+    assert back.rdd.getNumPartitions() > 6 and len(list((tmp_path / "out.zst").iterdir())) == 3
 
 
 def test_text_column_choice(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import CORE, RUNS, WORD_NEXT, WORD_PREV, chop_bytes, chunk_chars
 from ..operators import segment as seg, stats
 from ..session import checkpoint_dir
-from ..sources import incremental, logs, reports, text as text_source, unit_store
+from ..sources import incremental, logs, reports, text as text_source, unit_store, zstd_lines
 from .common_sql import FREQ, RAW, UNITS, hash60
 from .registry import documents, query, spread, table
 
@@ -184,6 +184,16 @@ def read_jsonl(spark, sf):
     return _text_summary(text_source.read_jsonl_text(spark, path))
 
 
+@query("A2_read_jsonl_zstd", f"SELECT {_TEXT_SUMMARY} FROM documents WHERE text <> ''")
+def read_jsonl_zstd(spark, sf):
+    """Several frames a file and several partitions a file, whose borders fall into lines."""
+    path = scratch(spark) + ".zst"
+    zstd_lines.register(spark)
+    rows = documents(spark, sf).select(F.to_json(F.struct("doc_id", "text")).alias("value"))
+    rows.write.format(zstd_lines.FORMAT).mode("append").option("frameBytes", 1 << 16).save(path)
+    return _text_summary(text_source.read_jsonl_text(spark, path, split_bytes=1 << 17))
+
+
 @query("A3_normalize_text_column", f"SELECT {_TEXT_SUMMARY} FROM (SELECT html AS text FROM pages)")
 def normalize_text(spark, sf):
     pages = table(spark, sf, "pages").withColumnRenamed("html", "content")
