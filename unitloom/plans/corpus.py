@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import CORE, RUNS, WORD_NEXT, WORD_PREV, chop_bytes, chunk_chars
 from ..operators import segment as seg, stats
 from ..session import checkpoint_dir
-from ..sources import incremental, logs, reports, text as text_source, unit_store, zstd_lines
+from ..sources import incremental, logs, positional_store, reports, text as text_source, unit_store, zstd_lines
 from .common_sql import FREQ, RAW, UNITS, hash60
 from .registry import documents, query, spread, table
 
@@ -22,6 +22,20 @@ def scratch(spark) -> str:
     return f"{checkpoint_dir(spark)}/unitloom-{uuid.uuid4().hex}"
 
 
+_stores: dict[tuple, str] = {}
+
+
+def positional_units(spark, sf) -> str:
+    """The folder of the corpus' positional store, which is built once a session and again if the documents' files change."""
+    files = spark.read.parquet(f"{sf}/documents.parquet").agg(F.count(F.lit(1)), F.max("_metadata.file_modification_time")).first()
+    key = (spark.sparkContext.applicationId, sf, *files)
+    if key not in _stores:
+        path = scratch(spark)
+        positional_store.write_positional(documents(spark, sf), path)
+        _stores[key] = path
+    return _stores[key]
+
+
 def word_units(spark, sf):
     return seg.segment_word(documents(spark, sf))
 

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import WORD_PREV, coin
 from ..operators import segment as seg, stats, windows as win
 from ..session import durable
+from ..sources import positional_store
 from .common_sql import SIZE, UNITS, WINDOWS, hash60
-from .corpus import SEP, word_units
+from .corpus import SEP, positional_units, word_units
 from .registry import documents, query
 from .statistics import rounded
 
 
-def seq_units(spark, sf):
-    return win.sequence_units(documents(spark, sf), SIZE)
+def seq_units(spark, sf, where=None):
+    return positional_store.placed_units(spark, positional_units(spark, sf), SIZE, where)
 
 
 def windowed(spark, sf):
@@ -22,7 +23,8 @@ def windowed(spark, sf):
 
 
 def layout(spark, sf):
-    return win.document_layout(seg.unit_counts(documents(spark, sf)), SIZE)
+    """Windows by shard, from the store's totals alone."""
+    return positional_store.geometry(spark, positional_units(spark, sf), SIZE)
 
 
 _IDS = f"""ids AS (SELECT DISTINCT window_id FROM win)"""
@@ -56,8 +58,17 @@ def window_units_flags(spark, sf):
       (sum(strlen(unit)) OVER (ORDER BY seq) - strlen(unit))::BIGINT AS byte_off FROM seqd WHERE shard = 'src3' AND seq >= 1000 AND seq < 3000""",
 )
 def read_unit_range(spark, sf):
-    wanted = lambda layout: layout.filter((F.col("shard") == "src3") & win.covers(1000, 2000))
-    return win.read_unit_range(win.sequence_units(documents(spark, sf), SIZE, pick=wanted), "src3", 1000, 2000)
+    return positional_store.read_range(spark, positional_units(spark, sf), "src3", 1000, 2000)
+
+
+@query(
+    "D3_unit_at_byte",
+    f"""WITH {WINDOWS}, b AS (SELECT shard, seq, doc_id, pos, unit, strlen(unit) AS n_bytes, (sum(strlen(unit)) OVER (ORDER BY seq) - strlen(unit))::BIGINT AS byte_off,
+      pos = 0 AS doc_start FROM seqd WHERE shard = 'src3')
+    SELECT * FROM b WHERE byte_off <= 50000 AND byte_off + n_bytes > 50000""",
+)
+def unit_at_byte(spark, sf):
+    return positional_store.unit_at_byte(spark, positional_units(spark, sf), "src3", 50_000)
 
 
 @query(
@@ -298,8 +309,7 @@ def context_snippets(spark, sf):
     WHERE window_id > (SELECT max(window_id) FROM win) - 8 GROUP BY window_id, shard""",
 )
 def holdout_tail(spark, sf):
-    wanted = lambda layout: win.tail_documents(layout, SIZE, 8)
-    ends = win.make_windows(win.sequence_units(documents(spark, sf), SIZE, pick=wanted), SIZE)
+    ends = win.make_windows(seq_units(spark, sf, positional_store.last_windows(spark, positional_units(spark, sf), SIZE, 8)), SIZE)
     rows = ends.groupBy("window_id", "shard").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n_bytes").alias("n_bytes"))
     return win.holdout_tail(durable(rows), 8)
 
