@@ -10,13 +10,44 @@ from ..functions import id_hash, ratio
 from .ordered import one_row, prefix_scan, ranked
 
 
+#: Words of the filter of seen ids (about 20 MB when broadcast).
+WORDS = 1 << 18
+
+
 def build_seen_ids(df: DataFrame, key: str) -> DataFrame:
     return df.select(id_hash(key).alias("id_hash")).distinct()
 
 
+def seen_words(hits: DataFrame) -> DataFrame:
+    """A Bloom filter of the ids in ``hits`` (id_hash) as rows (word, bits): WORDS words of 64 bits at most, three bits of one word for an id."""
+    return hits.groupBy(_word("id_hash").alias("_word")).agg(F.bit_or(_bits("id_hash")).alias("_bits"))
+
+
+def _word(column: str):
+    return F.pmod(F.col(column), F.lit(WORDS))
+
+
+def _bits(column: str):
+    one = "shiftleft(1L, cast(shiftright(xxhash64({}), {}) & 63 as int))"
+    return F.expr(" | ".join(one.format(column, at) for at in (0, 6, 12)))
+
+
 def drop_seen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    """Rows whose id hash is not in ``seen``; hashed ids keep the join evenly spread."""
-    return df.withColumn("id_hash", id_hash(key)).join(seen, "id_hash", "left_anti").drop("id_hash")
+    """Rows whose id hash is not in ``seen``; rows of a null key stay.
+
+    The hashes alone are moved to find those that occur in both; a Bloom filter of these, WORDS rows at most, is
+    broadcast, and only rows that may be in it are moved for the exact anti join.  So the wide rows that are shuffled follow the share
+    of rows that are dropped, not the table.  Too many hits for the filter cost more moved rows, never a wrong one.
+    """
+    hashed = df.withColumn("id_hash", id_hash(key))
+    hits = hashed.select("id_hash").join(seen, "id_hash", "left_semi")
+    words = F.broadcast(seen_words(hits))
+    marked = hashed.withColumn("_word", _word("id_hash")).join(words, "_word", "left")
+    own = _bits("id_hash")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(own) == own, F.lit(False))
+    away = marked.filter(~maybe).drop("_word", "_bits", "id_hash")
+    met = marked.filter(maybe).drop("_word", "_bits").join(seen, "id_hash", "left_anti").drop("id_hash")
+    return away.unionByName(met)
 
 
 def retention(df: DataFrame, seen: DataFrame, key: str, file: str, size: str) -> DataFrame:
