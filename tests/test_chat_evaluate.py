@@ -58,10 +58,10 @@ def test_normalize_turns_shapes(spark):
 
 def test_context_candidate_split(spark):
     cases = [
-        ("Question: state of water?\nAnswer:", " a liquid", ["a ", "liquid"], False),
-        ("Hello ", "world", ["world"], False),
-        ("Answ", "er", ["er"], True),
-        ("End", "  ", [], True),
+        ("2 + 2 =", " four or so", ["four ", "or ", "so"], False),  # blanks at the border belong to neither side's words
+        ("the first\n", "second", ["second"], True),  # the line end moves over and is a unit of its own, one more than the answer alone has
+        ("kett", "le!", ["le", "!"], True),  # cut inside a word
+        ("no answer", " \t", [], True),  # nothing but blanks
     ]
     df = spark.createDataFrame([(i, c, t) for i, (c, t, _, _) in enumerate(cases)], "i int, ctx string, cont string")
     for r in chat.split_by_byte_boundary(df).orderBy("i").collect():

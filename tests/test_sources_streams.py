@@ -115,6 +115,22 @@ def test_incremental_build_resumes(spark, tmp_path):
     assert incremental.build_incremental(spark, str(tmp_path / "gone"), dst) == 0
 
 
+def test_incremental_build_of_an_emptied_file(spark, tmp_path):
+    src, dst = tmp_path / "src", str(tmp_path / "dst")
+    write = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("overwrite").parquet(str(src))
+    write([(1, "a b"), (2, "c d")])
+    assert incremental.build_incremental(spark, str(src), dst) == 1
+    # The same file name, now without any text.
+    file = next(p for p in src.iterdir() if p.name.startswith("part-") and p.suffix == ".parquet")
+    spark.createDataFrame([(1, ""), (2, None), (3, "")], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "new"))
+    fresh = next(p for p in (tmp_path / "new").iterdir() if p.name.startswith("part-") and p.suffix == ".parquet")
+    file.write_bytes(fresh.read_bytes())
+    for crc in src.glob(".part-*.crc"):
+        crc.unlink()
+    assert incremental.build_incremental(spark, str(src), dst) == 1
+    assert not list((tmp_path / "dst" / "units").glob("shard=*"))
+
+
 def test_incremental_build_knows_files_by_path(spark, tmp_path):
     import shutil
 

@@ -74,16 +74,17 @@ def test_fit_windows(spark):
 
 
 def test_cascade_conserves(spark):
-    words = {"hello ": 9, "world ": 8, "antidisestablishment": 1, "a ": 20, "9": 5, "anti": 6, "establish": 4}
+    # One rare unit that is made of frequent ones, which begin and end it.
+    words = {"rain ": 12, "coat ": 7, "under": 5, "cover": 9, "s ": 30, "7": 4, "undercoverraincoats ": 1}
     freq = spark.createDataFrame(list(words.items()), "unit string, cnt bigint")
     scorer = rewrite.bigram_scorer(freq, 2)
     mapping, floor = rewrite.resplit_cascade(scorer(freq), freq.filter("cnt >= 4").select("unit"), scorer, 5.0, 3, 32)
     got = {r.unit: list(r.pieces) for r in mapping.collect()}
-    assert "antidisestablishment" in got
+    assert "undercoverraincoats " in got
     for unit, pieces in got.items():
         assert "".join(pieces) == unit
         assert all(p in words or len(p.encode()) <= 3 for p in pieces)
-    assert got["antidisestablishment"][0] == "anti" and "establish" in got["antidisestablishment"]
+    assert got["undercoverraincoats "][:2] == ["under", "cover"] and got["undercoverraincoats "][-1] == "s "
     stats = rewrite.verify_stats(freq, mapping, floor, 5.0).first()
     assert stats.n_in == sum(words.values()) and stats.n_out >= stats.n_in
 

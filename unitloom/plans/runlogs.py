@@ -39,7 +39,21 @@ def cut_phase(spark, sf):
     return rl.cut_phase(run_log(spark, sf), [10, 30, 60]).select("run", "step", "value", "phase")
 
 
-@query("I4_spike_flags")
+#: The recursive rule row by row: k = 3, floor 0, 20 accepted values remembered, 5 needed.
+SPIKES = f"""{RUNLOG}, m AS MATERIALIZED (SELECT run, step, value FROM runlog),
+    flagged AS (
+      SELECT run, step, value, value IS NULL OR NOT isfinite(value) AS spike, CAST(NULL AS DOUBLE) AS lim,
+        CASE WHEN value IS NULL OR NOT isfinite(value) THEN CAST([] AS DOUBLE[]) ELSE [value] END AS h, (value IS NULL OR NOT isfinite(value))::BIGINT AS consecutive
+      FROM m WHERE step = 1
+      UNION ALL
+      SELECT run, step, value, spike, lim, CASE WHEN spike THEN h WHEN len(h) >= 20 THEN list_append(h[2:], value) ELSE list_append(h, value) END,
+        CASE WHEN spike THEN consecutive + 1 ELSE 0 END
+      FROM (SELECT *, value IS NULL OR NOT isfinite(value) OR coalesce(value > lim, false) AS spike
+            FROM (SELECT m.run, m.step, m.value, h, consecutive, CASE WHEN len(h) >= 5 THEN greatest(3.0::DOUBLE * list_sort(h)[len(h) // 2 + 1], 0.0::DOUBLE) END AS lim
+                  FROM flagged JOIN m ON m.run = flagged.run AND m.step = flagged.step + 1)))"""
+
+
+@query("I4_spike_flags", f'WITH RECURSIVE {SPIKES} SELECT run, step, value, spike, lim AS "limit" FROM flagged')
 def spike_flags(spark, sf):
     return rl.spike_flags(run_log(spark, sf), k=3.0, floor=0.0, hist=20, min_n=5)
 

@@ -29,14 +29,23 @@ def _relative_path(src: str):
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, F.length(path))).otherwise(path)
 
 
+def _drop_emptied(finished: DataFrame, dst: str) -> None:
+    """Remove the partitions of built files that have no text: no rows of theirs replace what a former state of the file left."""
+    spark = finished.sparkSession
+    empty = finished.filter(F.coalesce("text_bytes", F.lit(0)) == 0).select(F.md5(F.col("file").cast("binary")).alias("shard"))
+    for r in empty.toLocalIterator():  # names of files, as many as were built
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{dst}/units/shard={r['shard']}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def build_incremental(spark: SparkSession, src: str, dst: str, l_max: int = 32) -> int:
     """Segment every source file not yet in the ledger; returns how many were built.
 
     Files are known by their path below ``src``, nested folders included, with size and
     modification time, so equal names in two folders are two files and a changed file is built
     again.  Units go to a partition named after the path's digest and replace it as a
-    whole, so a partition left half-written by a lost job is rebuilt.  The ledger row is written
-    last.  A source that has gone away is fine when nothing is left to do.
+    whole, so a partition left half-written by a lost job is rebuilt; that of a file without any text left is
+    removed.  The ledger row is written last.  A source that has gone away is fine when nothing is left to do.
     """
     done = read_ledger(spark, dst)
     try:
@@ -67,6 +76,7 @@ def build_incremental(spark: SparkSession, src: str, dst: str, l_max: int = 32)
             .partitionBy("shard")
             .parquet(f"{dst}/units")
         )
+        _drop_emptied(finished, dst)
         finished.write.mode("append").parquet(f"{dst}/ledger")
 
     return built
