@@ -11,7 +11,6 @@ size; only rarer pairs of a text are shuffled to meet their counts, so no key of
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +35,6 @@ TOGETHER = 64
 
 #: Characters beyond which the slower library encodes a text: the faster one has a stack for runs of a few million blanks only.
 LONG_TEXT = 200_000
-_PAIR = struct.Struct("=I").pack
 
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
@@ -99,29 +97,43 @@ def pieces(path: str) -> Vocabulary:
     return Vocabulary(tokens, lambda texts: model.encode(texts, num_threads=1))
 
 
-def align(a: list[int], b: list[int], size_a, size_b) -> tuple[str, bytes]:
-    """The groups as text and the linked pairs (first id * MOST_IDS + second id, four bytes each) of two token runs over the same bytes."""
-    if len(a) == 1 and len(b) == 1:
-        return f"{a[0]}|{b[0]}", _PAIR(a[0] * MOST_IDS + b[0])
-    links, groups = [], []
-    i = j = first_i = first_j = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        links.append(a[i] * MOST_IDS + b[j])
-        if end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-        elif end_b < end_a:
-            j += 1
-            end_b += size_b[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-            if i == len(a):
-                return ";".join(groups), struct.pack(f"={len(links)}I", *links)
-            first_i, first_j = i, j
-            end_a += size_a[a[i]]
-            end_b += size_b[b[j]]
+def align(windows: list[tuple[bytes, bytes]], a: Vocabulary, b: Vocabulary) -> list[tuple[str, bytes]]:
+    """Of every window (its two tuples of ids, two bytes each, over the same bytes) the groups as text, each with a ``;`` behind
+    it, and the linked pairs (first id * MOST_IDS + second id, four bytes each).
+
+    All windows are laid end to end; a link ends at every offset where a token of either side ends, a group where both do.
+    """
+    ids_a = np.frombuffer(b"".join([w[0] for w in windows]), np.uint16)
+    ids_b = np.frombuffer(b"".join([w[1] for w in windows]), np.uint16)
+    end_a, end_b = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
+    ends = np.zeros(end_a[-1] + 1, dtype=np.int8)
+    ends[end_a] = 1
+    ends[end_b] += 2
+    cuts = np.flatnonzero(ends)
+    of_a, of_b = np.cumsum((ends[cuts] & 1) != 0), np.cumsum((ends[cuts] & 2) != 0)
+    both = ends[cuts] == 3
+    at_a, at_b = of_a - ((ends[cuts] & 1) != 0), of_b - ((ends[cuts] & 2) != 0)
+    links = (ids_a[at_a].astype(np.uint32) * MOST_IDS + ids_b[at_b]).tobytes()
+    # Tokens in the order of the text: a group's tokens of the first side, then those of the second.
+    groups_a, groups_b = np.r_[0, of_a[both]], np.r_[0, of_b[both]]
+    group_of_a = np.searchsorted(groups_a, np.arange(len(ids_a)), "right") - 1
+    group_of_b = np.searchsorted(groups_b, np.arange(len(ids_b)), "right") - 1
+    spelt = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+    spelt[np.arange(len(ids_a)) + groups_b[group_of_a]] = ids_a + MOST_IDS * (ends[end_a] == 3)
+    spelt[np.arange(len(ids_b)) + groups_a[group_of_b + 1]] = ids_b + MOST_IDS * (2 + (ends[end_b] == 3))
+    names = _names()
+    text = [names[i] for i in spelt.tolist()]
+    last_a = np.cumsum([len(w[0]) // 2 for w in windows])
+    last_b = np.cumsum([len(w[1]) // 2 for w in windows])
+    tokens = [0, *(last_a + last_b).tolist()]
+    linked = [0, *(4 * (np.searchsorted(cuts, end_a[last_a - 1]) + 1)).tolist()]
+    return [("".join(text[s:e]), links[t:u]) for s, e, t, u in zip(tokens, tokens[1:], linked, linked[1:])]
+
+
+@lru_cache(maxsize=1)
+def _names() -> list[str]:
+    """Ids with what follows them: inside a group or at its end, first side (``,`` or ``|``), then second side (``,`` or ``;``)."""
+    return [f"{i}{sign}" for sign in ",|,;" for i in range(MOST_IDS)]
 
 
 class Aligner:
@@ -129,17 +141,19 @@ class Aligner:
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.a, self.b, self.known, self.older = a, b, {}, {}
-        self.size_a, self.size_b = a.length.tolist(), b.length.tolist()
-
-    def window(self, ids: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        """The alignment of a window, by its two tuples of ids of two bytes each."""
-        found = self.older.get(ids)
-        if found is None:
-            found = align(np.frombuffer(ids[0], np.uint16).tolist(), np.frombuffer(ids[1], np.uint16).tolist(), self.size_a, self.size_b)
-        if len(ids[0]) + len(ids[1]) <= 2 * LONG_WINDOW:
+
+    def windows(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes]]:
+        """The alignments of windows; those not remembered are aligned together."""
+        found = [self.known.get(key) for key in keys]
+        if None in found:
+            own = {key: self.older.get(key) for key, value in zip(keys, found) if value is None}
+            new = [key for key, value in own.items() if value is None]
+            if new:
+                own.update(zip(new, align(new, self.a, self.b)))
+            found = [value or own[key] for key, value in zip(keys, found)]
             if len(self.known) >= MEMORY:
                 self.known, self.older = {}, self.known
-            self.known[ids] = found
+            self.known.update((key, value) for key, value in own.items() if len(key[0]) + len(key[1]) <= 2 * LONG_WINDOW)
         return found
 
     def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -153,23 +167,30 @@ class Aligner:
         at_a, at_b = at_a[ends[end_a[at_a]] == 2] + 1, at_b[ends[end_b[at_b]] == 2] + 1
         return [0, *at_a.tolist(), len(a)], [0, *at_b.tolist(), len(b)]
 
-    def text(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, np.ndarray] | None:
-        """(n_a, n_b, n_groups, n_links, digest, linked pairs), or None where the tokens don't spell the text."""
-        whole = b" " + text.encode()
-        if b"".join(map(self.a.tokens.__getitem__, a)) != whole or b"".join(map(self.b.tokens.__getitem__, b)) != whole:
-            return None
-        ids_a, ids_b = np.array(a, dtype=np.uint16), np.array(b, dtype=np.uint16)
-        start_a, start_b = self.cuts(ids_a, ids_b)
-        raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
-        keys = zip(
-            [raw_a[2 * s : 2 * e] for s, e in zip(start_a, start_a[1:])],
-            [raw_b[2 * s : 2 * e] for s, e in zip(start_b, start_b[1:])],
-        )
-        get, new = self.known.get, self.window
-        found = [get(key) or new(key) for key in keys]
-        groups = ";".join([part for part, _ in found])
-        links = np.frombuffer(b"".join([linked for _, linked in found]), dtype=np.uint32)
-        return len(a), len(b), groups.count(";") + 1, len(links), hashlib.sha256(groups.encode()).hexdigest(), links
+    def texts(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray] | None]:
+        """Per text (n_a, n_b, n_groups, n_links, digest, linked pairs), or None where the tokens don't spell the text."""
+        keys, sizes = [], []
+        for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
+            whole = b" " + text.encode()
+            if b"".join(map(self.a.tokens.__getitem__, a)) != whole or b"".join(map(self.b.tokens.__getitem__, b)) != whole:
+                sizes.append(None)
+                continue
+            ids_a, ids_b = np.array(a, dtype=np.uint16), np.array(b, dtype=np.uint16)
+            start_a, start_b = self.cuts(ids_a, ids_b)
+            raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
+            parts_a = [raw_a[2 * s : 2 * e] for s, e in zip(start_a, start_a[1:])]
+            keys += zip(parts_a, [raw_b[2 * s : 2 * e] for s, e in zip(start_b, start_b[1:])])
+            sizes.append((len(a), len(b), len(parts_a)))
+        found, at = self.windows(keys), 0
+        for size in sizes:
+            if size is None:
+                yield None
+                continue
+            own = found[at : at + size[2]]
+            at += size[2]
+            groups = "".join([part for part, _ in own])
+            links = np.frombuffer(b"".join([linked for _, linked in own]), dtype=np.uint32)
+            yield *size[:2], groups.count(";"), len(links), hashlib.sha256(groups[:-1].encode()).hexdigest(), links
 
 
 @lru_cache(maxsize=2)
@@ -200,11 +221,10 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for at in range(0, len(batch), TOGETHER):
                 some = batch.iloc[at : at + TOGETHER]
                 texts = [t or "" for t in some["text"]]
-                full = [t for t in texts if t]
-                coded = iter(zip(aligner.a.encode(full), aligner.b.encode(full)) if full else ())
+                aligned = aligner.texts([t for t in texts if t])
                 rows = []
                 for doc_id, text in zip(some["doc_id"], texts):
-                    found = aligner.text(text, *next(coded)) if text else None
+                    found = next(aligned) if text else None
                     if found is None:
                         rows.append((doc_id, 0, 0, 0, 0, "", b"", b""))
                         continue
