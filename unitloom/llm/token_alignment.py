@@ -31,7 +31,7 @@ MEMORY, LONG_WINDOW = 300_000, 48
 #: Links gathered before they are summed, and distinct pairs a task holds before it hands them on.
 GATHER, HOLD = 1 << 21, 1 << 20
 #: Texts tokenised in one call.
-TOGETHER = 64
+TOGETHER = 256
 
 #: Characters beyond which the slower library encodes a text: the faster one has a stack for runs of a few million blanks only.
 LONG_TEXT = 200_000
