@@ -65,10 +65,13 @@ def read_unit_range(spark, sf):
     "D3_unit_at_byte",
     f"""WITH {WINDOWS}, b AS (SELECT shard, seq, doc_id, pos, unit, strlen(unit) AS n_bytes, (sum(strlen(unit)) OVER (ORDER BY seq) - strlen(unit))::BIGINT AS byte_off,
       pos = 0 AS doc_start FROM seqd WHERE shard = 'src3')
-    SELECT * FROM b WHERE byte_off <= 50000 AND byte_off + n_bytes > 50000""",
+    SELECT * FROM b WHERE byte_off <= (SELECT sum(n_bytes) // 2 FROM b) AND byte_off + n_bytes > (SELECT sum(n_bytes) // 2 FROM b)""",
 )
 def unit_at_byte(spark, sf):
-    return positional_store.unit_at_byte(spark, positional_units(spark, sf), "src3", 50_000)
+    """The unit in the middle of a shard's bytes."""
+    path = positional_units(spark, sf)
+    total = spark.read.parquet(f"{path}/shards").filter("shard = 'src3'").agg(F.coalesce(F.sum("shard_bytes"), F.lit(0))).first()[0]
+    return positional_store.unit_at_byte(spark, path, "src3", total // 2)
 
 
 @query(
