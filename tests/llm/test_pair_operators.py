@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 
 import numpy as np
 import pytest
@@ -274,6 +276,75 @@ def test_tree_matching_keeps_parents_and_order():
     assert sorted(pairs) == sorted([("#root",) * 2, ("div",) * 2, ("ul",) * 2, ("li",) * 2, ("li",) * 2, ("p",) * 2])
 
 
+def plain_weight(a, b):
+    """Simple tree matching by its definition."""
+    equal = a.own_text() and (a.tag, a.attributes, a.own_text()) == (b.tag, b.attributes, b.own_text())
+    xs, ys = a.elements(), b.elements()
+    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            both = table[i][j] + plain_weight(x, y) if x.tag == y.tag else 0
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], both)
+    return 1 + (wrapper.EQUAL_TEXT if equal else 0) + table[-1][-1]
+
+
+def test_tree_matching_is_the_heaviest(monkeypatch):
+    draw = random.Random(3)
+
+    def page(depth=0):
+        tags = [draw.choice(["div", "section", "b", "i"]) for _ in range(draw.randrange(5 - depth))]
+        return "".join(f"<{t}>{draw.choice('xyz ')}{page(depth + 1) if depth < 4 else ''}</{t}>" for t in tags)
+
+    for short in (0, wrapper.SHORT):
+        monkeypatch.setattr(wrapper, "SHORT", short)
+        for _ in range(150):
+            a, b = wrapper.parse(page()), wrapper.parse(page())
+            pairs = wrapper.match_trees(a, b)
+            same = [bool(x.own_text()) and (x.attributes, x.own_text()) == (y.attributes, y.own_text()) for x, y in pairs]
+            assert all(x.tag == y.tag for x, y in pairs)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+            assert len(pairs) + wrapper.EQUAL_TEXT * sum(same) == plain_weight(a, b)
+
+
+@pytest.mark.parametrize(
+    "one, other",
+    [
+        ("<article>" + "<div>" * 5000 + "<p>a" + "</div>" * 5000 + "<p>b</article>", "<article>" + "<div>" * 4000 + "<p>c" + "</div>" * 4000 + "<p>d</article>"),
+        ("<article>" + "".join(f"<p>one {i}" for i in range(20_000)) + "</article>", "<article>" + "".join(f"<p>two {i}" for i in range(20_000)) + "</article>"),
+        ("<p>a" + "<a x" * 20_000, "<p>a" + "<a x='" * 20_001),
+        ("<p>a" + "<b>" * 20_000 + "</i>" * 20_000 + "<i>b" + "</b>" * 20_000, "<!--" * 20_000 + "<p>b" + "<![CDATA[" * 20_000),
+    ],
+)
+def test_deep_long_and_broken_pages(one, other):
+    began = time.process_time()
+    a, b = wrapper.parse(one), wrapper.parse(other)
+    wrapper.match_trees(a, b)
+    wrapper.shape(a), wrapper.shape(b)
+    text = wrapper.main_text(a, set())
+    assert text.startswith("one 0\none 1\n") or text.replace("\n", "") in ("ab", "a")
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize(
+    "source, expected",
+    [
+        ("<p title=it's>One</p><p>Two</p><p>it's three</p>", "One\nTwo\nit's three"),
+        ('<p>A <a href="http://x.com>link</a> here</p><p class="x">B</p>', "A link here\nB"),
+        ('<p>A <a href="http://x.com>link</a> end</p>', "A link end"),
+        ('<p>a <b x="1>2"y=\'3>4\'>bold</b> 3 < 4 <img src=x/> e</p>', "a bold 3 < 4 e"),
+        ("<!--><p>x</p><!-- y --><p>z</p>", "x\nz"),
+        ("<p>text <a href=x <p>More</p>", "text\nMore"),
+        ("<p>One</p><script>if (a</b>) x</script ><p>Two", "One\nTwo"),
+        ("<p>Short text of it.</p><form><p>A much longer survey with many questions</p><input></form>", "Short text of it."),
+        ('<main><p>Text</p><div class="newsletter"><p>A long block about letters</p></div></main>', "Text"),
+        ('<div class="has-newsletter"><p>A long text of the page</p></div><p>Last</p>', "A long text of the page\nLast"),
+        ("<form><p>A page in a form</p></form><div>&copy; us</div>", "A page in a form\n\u00a9 us"),
+    ],
+)
+def test_broken_markup_and_labelled_blocks(source, expected):
+    assert wrapper.main_text(wrapper.parse(f"<body>{source}</body>"), set()) == expected
+
+
 def test_url_rules(spark):
     urls = {
         "HTTPS://WWW.Example.com/en/x?q=/a": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
