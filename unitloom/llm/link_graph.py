@@ -16,7 +16,9 @@ RULES = (
 )
 #: A host is a seed if the rules give more than this share of its pages one verdict.
 SEED_SHARE = 0.6
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+DAMPING = 0.85
+#: Rounds end when both sums together move by less.  They move by 2 * DAMPING ** rounds at most, so 104 rounds do; what then is still to come is under 6e-7.
+TOLERANCE = 1e-7
 #: Share of the two scores that must be distrust for a block.
 BLOCK_SHARE = 0.5
 
@@ -47,8 +49,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) of ``pages`` (host, html): links to other hosts, counted once per page."""
-    links = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'>\s]+)"""), 1)
+    """(src, dst, n) of ``pages`` (host, html): links to other hosts, with a scheme or beginning with //, counted once per page."""
+    links = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""), 1)
     named = pages.filter("host <> ''")
     direct = named.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(links, lambda h: F.translate(h, _UPPER, _LOWER)))).alias("dst"))
     return direct.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -70,7 +72,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, family: DataFrame | None = Non
 
     Both go from a parent domain to its children in ``family``.
     ``seeds`` has (host, good, bad), each column a distribution.  A host without links out gives its rank back to the seeds.
-    Rounds end when neither rank moves by TOLERANCE in all, or after ROUNDS.
+    Rounds end when both sums together move by less than TOLERANCE.
     """
     sides = edges.select(F.lit(True).alias("good"), F.col("src").alias("giver"), F.col("dst").alias("taker"), "n").unionByName(
         edges.select(F.lit(False).alias("good"), F.col("dst").alias("giver"), F.col("src").alias("taker"), "n")
@@ -83,27 +85,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, family: DataFrame | None = Non
     # A third of all links may leave one host: totals are partial sums, and the join's other side is one row a host.
     total = sides.groupBy("good", "giver").agg(F.sum("n").alias("total"))
     moves = durable(sides.join(total, ["good", "giver"]).select("good", "giver", "taker", (F.col("n") / F.col("total")).alias("share")))
-    start = durable(
-        seeds.select("host", F.explode(F.array(F.struct(F.lit(True).alias("good"), F.col("good").alias("seed")), F.struct(F.lit(False).alias("good"), F.col("bad").alias("seed")))).alias("s")).select("host", "s.*")
-    )
-    rank = start.select("host", "good", F.col("seed").alias("rank"))
-    for _ in range(ROUNDS if moves.limit(1).count() else 0):
-        sent = moves.join(rank.withColumnRenamed("host", "giver"), ["good", "giver"])
+    seeded = seeds.select("host", F.explode(F.array(F.struct(F.lit(True).alias("good"), F.col("good").alias("seed")), F.struct(F.lit(False).alias("good"), F.col("bad").alias("seed")))).alias("s"))
+    nothing = F.lit(0.0).alias("seed")
+    nodes = seeded.select("host", "s.good", "s.seed")
+    for end in ("giver", "taker"):
+        nodes = nodes.unionByName(moves.select(F.col(end).alias("host"), "good", nothing))
+    # What hosts without links hold, and what damping takes, goes back to the seeds in proportion.  The ranks then are the sums of
+    # seed * (DAMPING * step) ** k over all k, scaled to 1, so that rounds carry no total and end early where links form no circle.
+    start = nodes.groupBy("host", "good").agg(F.sum("seed").alias("seed"))
+    rank = durable(start.select("host", "good", "seed", F.col("seed").alias("rank"), F.lit(0.0).alias("moved")))
+    moved = 1.0 if moves.limit(1).count() else 0.0
+    while moved >= TOLERANCE:
+        sent = moves.join(rank.select(F.col("host").alias("giver"), "good", "rank").filter("rank > 0"), ["good", "giver"])
         got = sent.groupBy("good", F.col("taker").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        got = durable(got)
-        kept = {r["good"]: r["got"] for r in got.groupBy("good").agg(F.sum("got").alias("got")).collect()}
-        # What was not passed on, by damping or for want of links, returns to the seeds.
-        back = F.when(F.col("good"), 1 - DAMPING * kept.get(True, 0.0)).otherwise(1 - DAMPING * kept.get(False, 0.0))
-        new = start.join(got, ["host", "good"], "full").select(
-            "host", "good", (DAMPING * F.coalesce("got", F.lit(0.0)) + back * F.coalesce("seed", F.lit(0.0))).alias("rank")
-        )
-        new = durable(new)
-        moved = new.join(rank.withColumnRenamed("rank", "before"), ["host", "good"], "full").agg(
-            F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))
-        ).first()[0]
-        rank = new
-        if (moved or 0) < TOLERANCE:
-            break
+        settled = rank.withColumnRenamed("rank", "before").drop("moved").join(got, ["host", "good"], "left")
+        settled = settled.withColumn("rank", F.col("seed") + DAMPING * F.coalesce("got", F.lit(0.0)))
+        rank = durable(settled.select("host", "good", "seed", "rank", F.abs(F.col("rank") - F.col("before")).alias("moved")))
+        moved = rank.agg(F.sum("moved")).first()[0]
+    total = F.broadcast(rank.groupBy("good").agg(F.sum("rank").alias("total")))
+    scaled = F.when(F.col("total") > 0, F.col("rank") / F.col("total")).otherwise(0.0)
+    rank = rank.join(total, "good").select("host", "good", scaled.alias("rank"))
     pick = lambda good: F.sum(F.when(F.col("good") == good, F.col("rank")).otherwise(0.0))
     return rank.groupBy("host").agg(pick(True).alias("trust"), pick(False).alias("distrust"))
 
