@@ -214,6 +214,32 @@ def test_vector_links_equal_brute_force(spark):
     assert hnsw.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("linked", [3, 60])
+def test_audit_sees_a_lost_link(monkeypatch, linked):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(600, 24))
+    x[300 : 300 + linked] = x[:linked] + 0.01 * draw.normal(size=(linked, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    expected = {tuple(map(int, p)) for p in np.argwhere(x @ x.T >= hnsw.COSINE)}
+    asked, search = [], hnsw.Graph.search
+
+    def losing(self, queries, width):
+        asked.append(width)
+        ids, sims = search(self, queries, width)
+        if width < 4 * hnsw.FIRST_BEAM:
+            # Every third linked vector is found by none but itself.
+            lost = (ids < linked) & (ids % 3 == 0) & (sims < 0.99999)
+            ids, sims = np.where(lost, -1, ids), np.where(lost, -2.0, sims)
+        return ids, sims
+
+    monkeypatch.setattr(hnsw.Graph, "search", losing)
+    place, row = hnsw.links(hnsw.Graph(x), x, x, own=np.arange(len(x)))
+    assert set(zip(place.tolist(), row.tolist())) == expected
+    assert max(asked) >= 4 * hnsw.FIRST_BEAM
+    sample, found = hnsw.audit(x, x, np.arange(len(x)), hnsw.COSINE)
+    assert found == {(p, r) for p, r in expected if p != r} and len(sample) == len(x)
+
+
 PAGE = (
     '<html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href="/a">Home</a></ul></nav>'
     '<div class="ad">Buy {0}</div><{1}><h1>Title {0}</h1><p>First &amp; <b>bold {0}<br><p>Second\n  line {0}<form>x</form></{1}>'
@@ -386,13 +412,19 @@ def test_ranks_equal_the_power_iteration(spark):
     out = step.sum(1, keepdims=True)
     step = np.divide(step, out, where=out > 0, out=np.zeros_like(step))
     rank = seeds.copy()
-    for _ in range(link_graph.ROUNDS):
+    for _ in range(500):
         passed = link_graph.DAMPING * rank @ step
         rank = passed + (1 - passed.sum()) * seeds
     frame = spark.createDataFrame([(f"h{s}", f"h{d}", n) for s, d, n in edges], "src string, dst string, n long")
     start = spark.createDataFrame([(f"h{i}", float(x), 0.0) for i, x in enumerate(seeds)], "host string, good double, bad double")
     got = {r["host"]: r["trust"] for r in link_graph.propagate(frame, start).collect()}
-    assert np.allclose([got[f"h{i}"] for i in range(5)], rank, atol=1e-5)
+    assert np.allclose([got[f"h{i}"] for i in range(5)], rank, rtol=0, atol=1e-6)
+
+
+def test_links_without_a_scheme_are_links(spark):
+    html = "<a href='//A.org/x'>1</a><a href=\"/own//b.org/\">2</a><a HREF=https://c.org>3</a><a href=//c.org?q>4</a>"
+    pages = spark.createDataFrame([("h.org", html), ("", html), ("g.org", None)], "host string, html string")
+    assert sorted(tuple(r) for r in link_graph.host_edges(pages).collect()) == [("h.org", "a.org", 1), ("h.org", "c.org", 1)]
 
 
 def test_tool_calls(spark):

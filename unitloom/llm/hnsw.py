@@ -2,7 +2,7 @@
 
 Every vector queries every shard's graph.  A query whose beam is full of links widens it, and when that no longer
 pays is answered by a scan of the shard, so no link is capped.  Each task also audits
-a sample of its queries against a scan and widens all beams until the audit passes.  Cosines of
+queries against a scan, until these have enough links to others or all are audited, and widens all beams until the audit passes.  Cosines of
 found pairs are computed in double precision.  A task hands on only counts and a spanning
 forest of its links, never the pairs of a group.
 """
@@ -23,8 +23,8 @@ SHARD_ROWS = 32_768
 LEAST_SHARDS = 6
 NEIGHBOURS, LAYER_FACTOR = 16, 16
 BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM = 48, 24, 96
-#: Queries of a task that are audited, and the share of their links that must be found.
-AUDITED, AUDIT_RECALL = 128, 0.99
+#: Queries of a task are audited, so many at a time, until they have so many links to other vectors or all are audited, and this share must be found.
+AUDITED, AUDITED_LINKS, AUDIT_RECALL = 128, 200, 0.99
 BATCH = 256
 
 
@@ -179,10 +179,26 @@ def _scan(x: np.ndarray, queries: np.ndarray, places: np.ndarray, cosine: float)
     return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
-def links(graph: Graph, x: np.ndarray, queries: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """(query place, row) pairs of at least ``cosine`` in double precision."""
-    sample = np.random.default_rng(len(queries)).permutation(len(queries))[:AUDITED]
-    expected = set(zip(*(part.tolist() for part in _scan(x, queries, sample, cosine))))
+def audit(x: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, set[tuple[int, int]]]:
+    """Places of the audited queries, and all their (place, row) links to vectors other than themselves."""
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    expected: set[tuple[int, int]] = set()
+    at = 0
+    while at < len(order) and len(expected) < AUDITED_LINKS:
+        place, row = _scan(x, queries, order[at : at + AUDITED], cosine)
+        other = own[place] != row
+        expected.update(zip(place[other].tolist(), row[other].tolist()))
+        at += AUDITED
+    return order[:at], expected
+
+
+def links(graph: Graph, x: np.ndarray, queries: np.ndarray, cosine: float = COSINE, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query place, row) pairs of at least ``cosine`` in double precision; ``own`` is each query's own row, -1 if it has none here.
+
+    A query finds itself whatever the graph is like, so the audit counts links to others only.
+    """
+    own = np.full(len(queries), -1) if own is None else own
+    sample, expected = audit(x, queries, own, cosine)
     single, width = queries.astype(np.float32), FIRST_BEAM
     waiting = np.arange(len(queries))
     while True:
@@ -263,7 +279,8 @@ def _query(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         at += size * 2 * NEIGHBOURS
     asked = asked.sort_values("node")
     queries, own = _unit(asked["v"]), asked["node"].to_numpy(np.int64)
-    place, row = links(Graph(x, layers), x, queries)
+    at_own = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+    place, row = links(Graph(x, layers), x, queries, own=np.where(nodes[at_own] == own, at_own, -1))
     other = own[place] != nodes[row]
     place, row = place[other], row[other]
     count = np.zeros(len(own), dtype=np.int64)
