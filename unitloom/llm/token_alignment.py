@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import durable, ship
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Ids are kept in two bytes each, so a vocabulary may have this many.
+#: A pair of ids is kept in four bytes, so a vocabulary may have this many.
 MOST_IDS = 1 << 16
 #: Pairs in the broadcast table: 1 MB.
 HEAD = 1 << 16
@@ -97,14 +97,17 @@ def pieces(path: str) -> Vocabulary:
     return Vocabulary(tokens, lambda texts: model.encode(texts, num_threads=1))
 
 
-def align(windows: list[tuple[bytes, bytes]], a: Vocabulary, b: Vocabulary) -> list[tuple[str, bytes]]:
-    """Of every window (its two tuples of ids, two bytes each, over the same bytes) the groups as text, each with a ``;`` behind
-    it, and the linked pairs (first id * MOST_IDS + second id, four bytes each).
+def align(windows: list[bytes], a: Vocabulary, b: Vocabulary) -> list[tuple[str, bytes]]:
+    """Of every window (its two tuples of ids over the same bytes, as ``keyed`` writes them) the groups as text, each with a ``;``
+    behind it, and the linked pairs (first id * MOST_IDS + second id, four bytes each).
 
     All windows are laid end to end; a link ends at every offset where a token of either side ends, a group where both do.
     """
-    ids_a = np.frombuffer(b"".join([w[0] for w in windows]), np.uint16)
-    ids_b = np.frombuffer(b"".join([w[1] for w in windows]), np.uint16)
+    flat = np.frombuffer(b"".join(windows), np.uint32)
+    tokens = np.cumsum([len(w) // 4 for w in windows])
+    second = flat >= MOST_IDS
+    ids_a, ids_b = flat[~second], flat[second] - np.uint32(MOST_IDS)
+    last_a = tokens - np.cumsum(second)[tokens - 1]
     end_a, end_b = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
     ends = np.zeros(end_a[-1] + 1, dtype=np.int8)
     ends[end_a] = 1
@@ -113,7 +116,7 @@ def align(windows: list[tuple[bytes, bytes]], a: Vocabulary, b: Vocabulary) -> l
     of_a, of_b = np.cumsum((ends[cuts] & 1) != 0), np.cumsum((ends[cuts] & 2) != 0)
     both = ends[cuts] == 3
     at_a, at_b = of_a - ((ends[cuts] & 1) != 0), of_b - ((ends[cuts] & 2) != 0)
-    links = (ids_a[at_a].astype(np.uint32) * MOST_IDS + ids_b[at_b]).tobytes()
+    links = (ids_a[at_a] * np.uint32(MOST_IDS) + ids_b[at_b]).tobytes()
     # Tokens in the order of the text: a group's tokens of the first side, then those of the second.
     groups_a, groups_b = np.r_[0, of_a[both]], np.r_[0, of_b[both]]
     group_of_a = np.searchsorted(groups_a, np.arange(len(ids_a)), "right") - 1
@@ -123,13 +126,20 @@ def align(windows: list[tuple[bytes, bytes]], a: Vocabulary, b: Vocabulary) -> l
     spelt[np.arange(len(ids_b)) + groups_a[group_of_b + 1]] = ids_b + MOST_IDS * (2 + (ends[end_b] == 3))
     names = _names()
     text = [names[i] for i in spelt.tolist()]
-    last_a = np.cumsum([len(w[0]) // 2 for w in windows])
-    last_b = np.cumsum([len(w[1]) // 2 for w in windows])
-    tokens = [0, *(last_a + last_b).tolist()]
+    tokens = [0, *tokens.tolist()]
     linked = [0, *(4 * (np.searchsorted(cuts, end_a[last_a - 1]) + 1)).tolist()]
     return [("".join(text[s:e]), links[t:u]) for s, e, t, u in zip(tokens, tokens[1:], linked, linked[1:])]
 
 
+def keyed(a: np.ndarray, b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray) -> list[bytes]:
+    """Each window's ids in four bytes each, those of the first side, then those of the second plus MOST_IDS."""
+    mixed = np.empty(len(a) + len(b), dtype=np.uint32)
+    mixed[np.arange(len(a)) + np.repeat(start_b[:-1], np.diff(start_a))] = a
+    mixed[np.arange(len(b)) + np.repeat(start_a[1:], np.diff(start_b))] = b + np.uint32(MOST_IDS)
+    raw, ends = mixed.tobytes(), (4 * (start_a + start_b)).tolist()
+    return [raw[s:e] for s, e in zip(ends, ends[1:])]
+
+
 @lru_cache(maxsize=1)
 def _names() -> list[str]:
     """Ids with what follows them: inside a group or at its end, first side (``,`` or ``|``), then second side (``,`` or ``;``)."""
@@ -142,9 +152,9 @@ class Aligner:
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.a, self.b, self.known, self.older = a, b, {}, {}
 
-    def windows(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes]]:
+    def windows(self, keys: list[bytes]) -> list[tuple[str, bytes]]:
         """The alignments of windows; those not remembered are aligned together."""
-        found = [self.known.get(key) for key in keys]
+        found = list(map(self.known.get, keys))
         if None in found:
             own = {key: self.older.get(key) for key, value in zip(keys, found) if value is None}
             new = [key for key, value in own.items() if value is None]
@@ -153,10 +163,10 @@ class Aligner:
             found = [value or own[key] for key, value in zip(keys, found)]
             if len(self.known) >= MEMORY:
                 self.known, self.older = {}, self.known
-            self.known.update((key, value) for key, value in own.items() if len(key[0]) + len(key[1]) <= 2 * LONG_WINDOW)
+            self.known.update((key, value) for key, value in own.items() if len(key) <= 4 * LONG_WINDOW)
         return found
 
-    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token places of both sides at which windows begin, and their ends."""
         end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
         at_a = np.flatnonzero(self.a.spaced[a[1:]])
@@ -165,7 +175,7 @@ class Aligner:
         ends[end_a[at_a]] = 1
         ends[end_b[at_b]] += 1
         at_a, at_b = at_a[ends[end_a[at_a]] == 2] + 1, at_b[ends[end_b[at_b]] == 2] + 1
-        return [0, *at_a.tolist(), len(a)], [0, *at_b.tolist(), len(b)]
+        return np.r_[0, at_a, len(a)], np.r_[0, at_b, len(b)]
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray] | None]:
         """Per text (n_a, n_b, n_groups, n_links, digest, linked pairs), or None where the tokens don't spell the text."""
@@ -175,12 +185,10 @@ class Aligner:
             if b"".join(map(self.a.tokens.__getitem__, a)) != whole or b"".join(map(self.b.tokens.__getitem__, b)) != whole:
                 sizes.append(None)
                 continue
-            ids_a, ids_b = np.array(a, dtype=np.uint16), np.array(b, dtype=np.uint16)
+            ids_a, ids_b = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
             start_a, start_b = self.cuts(ids_a, ids_b)
-            raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
-            parts_a = [raw_a[2 * s : 2 * e] for s, e in zip(start_a, start_a[1:])]
-            keys += zip(parts_a, [raw_b[2 * s : 2 * e] for s, e in zip(start_b, start_b[1:])])
-            sizes.append((len(a), len(b), len(parts_a)))
+            keys += keyed(ids_a, ids_b, start_a, start_b)
+            sizes.append((len(a), len(b), len(start_a) - 1))
         found, at = self.windows(keys), 0
         for size in sizes:
             if size is None:
