@@ -144,28 +144,59 @@ def test_partitions_with_gaps_exchange(spark):
 # ---- toxicity
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_trie_finds_exactly_the_terms_at_one_edit():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    terms = ["wretch", "wretched", "loathsome", "dimwit", "oaf"]
+    terms = ["wretch", "wretched", "loathsome", "dimwit", "fool", "oaf"]
     trie = toxicity.Trie({t: 0.9 for t in terms}, {})
     letters = "wretchdimlos"
     rng = np.random.default_rng(3)
     words = {t[:i] + x + t[j:] for t in terms for i in range(len(t) + 1) for j in (i, i + 1, i + 2) for x in ("", "x", "w", "th")}
     words |= {"".join(rng.choice(list(letters), size=6)) for _ in range(300)}
     for word in words:
-        expected = any(distance(word, t) == 1 for t in terms if len(t) >= toxicity.FUZZY_LENGTH)
-        near = trie.near(word) > 0
+        expected = len(word) >= toxicity.FUZZY_LENGTH and any(distance(word, t) == 1 for t in terms if len(t) >= toxicity.FUZZY_LENGTH)
+        near = bool(trie.near(word))
         assert near == expected or (word in terms), word
 
 
+def test_trie_finds_exactly_the_stems_at_one_edit():
+    stems = ["moro", "loath", "wretch"]
+    trie = toxicity.Trie({}, {s: 0.9 for s in stems})
+    rng = np.random.default_rng(4)
+    words = {s[:i] + x + s[j:] + end for s in stems for i in range(len(s) + 1) for j in (i, i + 1) for x in ("", "m", "0", "th") for end in ("", "n", "some")}
+    words |= {"".join(rng.choice(list("moratlhwec"), size=6)) for _ in range(2000)}
+
+    def forms(word):
+        # A beginning at one edit whose last letter is the stem's, and the rest of both at one edit too.
+        return {
+            word[:n] + "*" for s in stems for n in range(toxicity.FUZZY_LENGTH, len(word) + 1)
+            if word[n - 1] == s[-1] and distance(word[: n - 1], s[:-1]) == 1
+        }
+
+    found = 0
+    for word in words:
+        if not trie.exact(word):
+            assert {form for form, _ in trie.near(word)} == forms(word), word
+            found += bool(forms(word))
+    assert found > 50 and not trie.near("morning") and not trie.near("moon")
+
+
+def test_misspelt_stems_and_short_terms_score_unless_harmless():
+    scorer = toxicity.Scorer({"idiot": 0.9, "fool": 0.9}, {"moro": 0.9}, {"food", "noro*"})
+    for word in ("idi0t", "fo0l", "foool", "m0ron", "morron"):
+        assert scorer(f"you {word} my friend") > 0.4, word
+    for word in ("food", "noron", "foo", "morning"):
+        assert scorer(f"you {word} my friend") == 0.0, word
+
+
 def test_quotation_lowers_a_score():
     scorer = toxicity.Scorer({"dimwit": 0.9}, {}, set())
     plain, quoted = scorer("you are a dimwit my friend"), scorer('he said "you are a dimwit" to him')

@@ -1,8 +1,8 @@
 """Toxic documents: a lexicon trie searched with Levenshtein automata, scored in context windows.
 
 The lexicon is learnt from the labels as counts over all labelled texts.  Words of a text run
-through the trie together with a Levenshtein automaton, so misspelt terms are found at one
-edit; words that harmless texts use are never taken for misspellings.  Each hit counts by its
+through the trie together with a Levenshtein automaton, so misspelt terms and words with a misspelt
+stem are found at one edit; forms that harmless texts use are never taken for misspellings.  Each hit counts by its
 term's reliability, less in quotation and more beside other hits.
 """
 
@@ -26,8 +26,8 @@ MIN_PRECISION = 0.9
 STEM_LETTERS, STEM_SHARE, STEM_WORDS, STEM_PRECISION = (4, 5, 6), 0.02, 3, 0.95
 #: Labelled training rows that are used at most, a sample by the hash of the id; their ids are broadcast (under 10 MB).
 MAX_LABELS = 200_000
-#: Terms shorter than this are only matched exactly.
-FUZZY_LENGTH = 5
+#: A term or stem and its misspelling both have this many letters; shorter terms are only matched exactly.
+FUZZY_LENGTH = 4
 #: Words on either side of a hit that decide about quotation and company.
 CONTEXT = 10
 THRESHOLD = 0.7
@@ -89,6 +89,7 @@ class Trie:
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.root: dict = {}
         self.halves: set[tuple[bool, int, str]] = set()
+        self.starts: set[tuple[int, str]] = set()
         for kind, entries in (("", terms), ("**", stems)):
             for term, weight in entries.items():
                 node = self.root
@@ -101,6 +102,11 @@ class Trie:
                 half = len(term) // 2
                 for size in (len(term) - 1, len(term), len(term) + 1):
                     self.halves |= {(True, size, term[:half]), (False, size, term[half:])}
+        for stem in stems:
+            # Either the first half begins the word, or the second half stands where it belongs or one letter beside.
+            half = len(stem) // 2
+            self.starts |= {(0, stem[:half]), *((at, stem[half:]) for at in (half - 1, half, half + 1))}
+        self.spots = {(at, len(part)) for at, part in self.starts}
         self.sizes = {(head, size, len(part)) for head, size, part in self.halves}
         self.parts: dict[int, list[tuple[bool, int]]] = {}
         for head, size, length in self.sizes:
@@ -118,38 +124,48 @@ class Trie:
 
     def may_be_near(self, word: str) -> bool:
         size = len(word)
+        if any((at, word[at : at + n]) in self.starts for at, n in self.spots):
+            return True
         return any((head, size, word[:n] if head else word[-n:]) in self.halves for head, n in self.parts.get(size, ()))
 
-    def near(self, word: str) -> float:
-        """The greatest weight of a term of FUZZY_LENGTH letters or more at exactly one edit.
+    def near(self, word: str) -> list[tuple[str, float]]:
+        """(form, weight) of what lies at exactly one edit: the word for a term, ``beginning*`` for a stem.
 
-        A state of the automaton is (letters of the word read, edits made); states run in
-        step with the trie's nodes, so a shared prefix is walked once.
+        Terms, stems and forms have FUZZY_LENGTH letters or more.  A stem's last letter must stand: changed or
+        missing there, any word with the letters before it would do.  A state of the automaton is (letters of the
+        word read, edits made, last letter stood); states run in step with the trie's nodes, so a shared prefix is
+        walked once.
         """
-        best, size = 0.0, len(word)
-        if not self.may_be_near(word):
-            return best
-        stack = [(self.root, 0, {(0, 0)})]
+        found: dict[str, float] = {}
+        size = len(word)
+        if size < FUZZY_LENGTH or not self.may_be_near(word):
+            return []
+        stack = [(self.root, 0, {(0, 0, True)})]
         while stack:
             node, depth, states = stack.pop()
-            weight = node.get("", 0.0)
-            if weight > best and depth >= FUZZY_LENGTH and any(e + size - i <= 1 for i, e in states):
-                best = weight
+            if depth >= FUZZY_LENGTH:
+                if "" in node and any(e + size - i <= 1 for i, e, _ in states):
+                    found[word] = max(found.get(word, 0.0), node[""])
+                if "**" in node:
+                    for i, e, stood in states:
+                        if e and stood and i >= FUZZY_LENGTH:
+                            form = word[:i] + "*"
+                            found[form] = max(found.get(form, 0.0), node["**"])
             for letter, child in node.items():
                 if len(letter) == 1:
                     after = set()
-                    for i, e in states:
+                    for i, e, _ in states:
                         if i < size and word[i] == letter:
-                            after.add((i + 1, e))
+                            after.add((i + 1, e, True))
                         if not e:
-                            after.add((i, 1))  # the word lacks this letter
+                            after.add((i, 1, False))  # the word lacks this letter
                             if i < size:
-                                after.add((i + 1, 1))  # another letter in its place
+                                after.add((i + 1, 1, False))  # another letter in its place
                                 if i + 1 < size and word[i + 1] == letter:
-                                    after.add((i + 2, 1))  # one letter too many before it
+                                    after.add((i + 2, 1, True))  # one letter too many before it
                     if after:
                         stack.append((child, depth + 1, after))
-        return best
+        return list(found.items())
 
 
 def reliability(toxic_contexts: int, clean_contexts: int) -> float:
@@ -157,15 +173,15 @@ def reliability(toxic_contexts: int, clean_contexts: int) -> float:
 
 
 def look_alikes(counted: DataFrame, terms: dict[str, float], stems: dict[str, float]) -> set[str]:
-    """Words of clean training texts at one edit of a term; bounded by the one-edit forms of the lexicon."""
+    """Forms (see ``Trie.near``) that words of clean training texts have; bounded by the one-edit forms of the lexicon."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(terms, stems)
         for batch in batches:
-            yield batch[[not trie.exact(w) and trie.near(w) > 0 for w in batch["term"]]]
+            yield pd.DataFrame({"form": list({form for w in batch["term"] if not trie.exact(w) for form, _ in trie.near(w)})}, dtype="object")
 
     plain = counted.filter("clean_texts > 0").select("term")
-    return {row[0] for row in plain.mapInPandas(match, "term string").toLocalIterator()}
+    return {row[0] for row in plain.mapInPandas(match, "form string").distinct().toLocalIterator()}
 
 
 def quoted_ranges(text: str) -> list[tuple[int, int]]:
@@ -192,8 +208,8 @@ class Scorer:
 
     def weight(self, word: str) -> float:
         found = self.trie.exact(word)
-        if not found and word not in self.harmless:
-            found = 0.6 * self.trie.near(word)
+        if not found:
+            found = 0.6 * max((weight for form, weight in self.trie.near(word) if form not in self.harmless), default=0.0)
         if not found:
             self.blank.add(word)
         return found
