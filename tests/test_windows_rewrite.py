@@ -161,3 +161,20 @@ def test_windows_with_hot_shard(sliced):
             expect.append((number + i // size, i % size, s, *by[s][i]))
         number += len(by[s]) // size
     assert sorted((r.window_id, r.idx, r.shard, r.doc_id, r.pos) for r in got) == expect
+
+
+def test_rolling_blocks_score_every_unit_once_behind_its_context(spark):
+    for size in (4, 5, 1):
+        rows = [("s", d, p, f"{d}.{p}") for d, n in enumerate((1, 4, 5, 13)) for p in range(n)]
+        units = spark.createDataFrame(rows, "shard string, doc_id bigint, pos bigint, unit string")
+        blocks = win.rolling_eval_blocks(units, size).orderBy("doc_id", "block").collect()
+        for doc in range(4):
+            mine = [u for _, d, _, u in rows if d == doc]
+            own = [b for b in blocks if b.doc_id == doc]
+            assert [u for b in own for u in b.scored] == mine
+            done = 0
+            for b in own:
+                assert len(b.context) + len(b.scored) <= size
+                assert b.context == (mine[done - size // 2 : done] if done and size > 1 else [])
+                done += len(b.scored)
+    assert win.rolling_eval_blocks(units.limit(0), 4).count() == 0

@@ -11,8 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import ratio, stderr
+from ..functions import byte_text, ratio, start_offsets, stderr
 from .ordered import one_row, prefix_scan, ranked, top_per_group
+from .stats import byte_class
+from .windows import gather_windows
 
 
 def with_scores(choices: DataFrame) -> DataFrame:
@@ -224,17 +226,76 @@ def confident_errors(shares: DataFrame, context: DataFrame, n: int, floor: float
     return context.join(F.broadcast(worst), item)
 
 
-def stratified_loss(cells: DataFrame, by: Sequence[str], value: str, count: str | None = None) -> DataFrame:
-    """Mean of ``value`` along each stratum column separately.
+def stratified_loss(cells: DataFrame, by: Sequence[str | Sequence[str]], value: str, count: str | None = None) -> DataFrame:
+    """Mean of ``value`` along each stratum separately; a stratum is a column or several taken together.
 
     The stream is reduced to the joint cells first; the grouping sets then run over
     those few rows instead of multiplying the stream.
     """
     weight = F.lit(1) if count is None else F.col(count)
-    joint = cells.groupBy(*by).agg(F.sum(F.col(value) * weight).alias("_s"), F.sum(weight).alias("_n"))
-    sets = [[F.col(c)] for c in by]
-    out = joint.groupingSets(sets, *[F.col(c) for c in by]).agg(F.sum("_n").alias("n"), (F.sum("_s") / F.sum("_n")).alias("mean"))
-    return out
+    sets = [[c] if isinstance(c, str) else list(c) for c in by]
+    columns = list(dict.fromkeys(c for one in sets for c in one))
+    joint = cells.groupBy(*columns).agg(F.sum(F.col(value) * weight).alias("_s"), F.sum(weight).alias("_n"))
+    grouped = joint.groupingSets([[F.col(c) for c in one] for one in sets], *[F.col(c) for c in columns])
+    return grouped.agg(F.sum("_n").alias("n"), (F.sum("_s") / F.sum("_n")).alias("mean"))
+
+
+def target_attributes(windowed: DataFrame, n: int, k_max: int, key: str = "window_id") -> DataFrame:
+    """Every target byte of ``windows.future_targets`` with what it is in its window's byte string.
+
+    Columns: ``delta`` and ``byte`` as there, ``class`` of the byte, ``word_len`` the length class of its word, ``place``
+    of a letter in its word, and for the byte that comes next (delta 1) ``ahead``: whether the word ends behind it.
+    Words are runs without blanks and may cross unit borders.  All of it is built in the window's row: two strings as
+    long as the window carry each byte's word length and place, so that a target is a position in three strings.
+    """
+    latin = F.transform("units", byte_text)
+    words = F.split(F.array_join(latin, ""), " ")
+    lengths = F.transform(words, lambda w: F.repeat(_length_code(F.length(w)), F.length(w)))
+    # f first, m between, l last byte of a word; a word of one byte has a first byte only.
+    places = F.transform(words, lambda w: F.substring(F.concat(F.lit("f"), F.repeat(F.lit("m"), F.length(w) - 2), F.lit("l")), F.lit(1), F.length(w)))
+    rows = gather_windows(windowed, [key]).select(
+        F.array_join(latin, "").alias("_text"),
+        F.array_join(lengths, " ").alias("_lengths"),
+        F.array_join(places, " ").alias("_places"),
+        start_offsets(F.transform(latin, lambda u: F.length(u))).alias("_start"),
+    )
+    # Bytes of the next n units begin where the following unit does and end before the unit n places behind that one.
+    total = F.length("_text")
+    begin = lambda i: F.coalesce(F.get("_start", i), total)
+    pieces = F.transform(
+        "_start",
+        lambda _, i: F.struct(
+            F.least(begin(i + n + 1) - begin(i + 1), F.lit(k_max)).cast("int").alias("size"),
+            F.substring("_text", (begin(i + 1) + 1).cast("int"), F.lit(k_max + 1)).alias("text"),
+            F.substring("_lengths", (begin(i + 1) + 1).cast("int"), F.lit(k_max)).alias("lengths"),
+            F.substring("_places", (begin(i + 1) + 1).cast("int"), F.lit(k_max)).alias("places"),
+        ),
+    )
+    asked = rows.select(F.explode(pieces).alias("p")).select("p.*").filter("size > 0")
+    targets = asked.select("*", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("delta"))
+    at = lambda column, step=0: F.substring(column, F.col("delta") + step, F.lit(1))
+    code = F.ascii(at("text"))
+    place = F.when(byte_class(code) == "letter", F.element_at(_named({"f": "first", "m": "mid", "l": "last"}), at("places"))).when(byte_class(code) == "space", "space")
+    return targets.select(
+        F.col("delta").cast("bigint").alias("delta"),
+        code.cast("bigint").alias("byte"),
+        byte_class(code).alias("class"),
+        F.element_at(_named({" ": "none", **WORD_LENGTHS}), at("lengths")).alias("word_len"),
+        F.coalesce(place, F.lit("none")).alias("place"),
+        F.when(F.col("delta") > 1, "later").when(at("text", 1) == " ", "end").otherwise("inside").alias("ahead"),
+    )
+
+
+#: Length classes of words and the letters that stand for them.
+WORD_LENGTHS = {"a": "1-2", "b": "3-5", "c": "6-8", "d": "9+"}
+
+
+def _length_code(size: Column) -> Column:
+    return F.when(size <= 2, "a").when(size <= 5, "b").when(size <= 8, "c").otherwise("d")
+
+
+def _named(names: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
 
 def trend_violations(

@@ -148,7 +148,7 @@ def type_profile(freq: DataFrame) -> DataFrame:
     )
 
 
-def _byte_class(code: Column) -> Column:
+def byte_class(code: Column) -> Column:
     # The codes of each class, in the order in which classes are tried.
     return (
         F.when(code.isin(32, 9, 10, 13), "space")
@@ -181,7 +181,7 @@ def char_profile(docs: DataFrame, text: str = "text", cap: int = 12) -> DataFram
     chars = body.select("size", "w", "cnt", F.posexplode(F.split("body", "")).alias("at", "ch"))
     place = F.when(F.col("at") == 0, "first").when(F.col("at") == F.col("size") - 1, "last").otherwise("mid")
     letters = chars.select(
-        _byte_class(F.ascii("ch")).alias("class"),
+        byte_class(F.ascii("ch")).alias("class"),
         F.least(F.col("size"), F.lit(cap)).cast("bigint").alias("word_len"),
         place.alias("place"),
         ((F.col("at") == F.col("size") - 1) & F.col("w").endswith(" ")).alias("next_space"),

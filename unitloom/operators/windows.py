@@ -348,6 +348,24 @@ def rolling_eval_plan(units: DataFrame, size: int, keys: Sequence[str] = ("shard
     return out.withColumn("context_start", start)
 
 
+def rolling_eval_blocks(units: DataFrame, size: int, keys: Sequence[str] = ("shard", "doc_id")) -> DataFrame:
+    """The blocks of ``rolling_eval_plan`` with their units: ``context`` (read only) and ``scored``, in order.
+
+    A unit goes to the block that scores it and to the one block at most that reads it as context, both known from
+    its position, so units are shuffled once by block and no block holds more than ``size`` of them.
+    """
+    half, context = size - size // 2, size // 2
+    # The block whose context would hold this position; between two contexts of an odd size lies one unit of neither.
+    later = F.floor((F.col("pos") - (size - context)) / half).cast("bigint") + 1
+    reads = (F.col("pos") >= size - context) & (F.col("pos") < size + (later - 1) * half)
+    roles = F.array(F.struct(F.col("block"), F.lit(True).alias("scores")), F.when(reads, F.struct(later.alias("block"), F.lit(False).alias("scores"))))
+    rows = rolling_eval_plan(units, size, keys).select(*keys, "pos", "unit", F.explode(F.array_compact(roles)).alias("_r"))
+    part = lambda scores: F.transform(F.sort_array(F.collect_list(F.when(F.col("_r.scores") == scores, F.struct("pos", "unit")))), lambda x: x["unit"])
+    blocks = rows.groupBy(*keys, F.col("_r.block").alias("block")).agg(part(False).alias("context"), part(True).alias("scored"))
+    # The last units would be context of a block that has nothing to score.
+    return blocks.filter(F.size("scored") > 0)
+
+
 def pair_arrays(units: Column) -> Column:
     """(previous, next) pairs of one document's units, built in the row without a shuffle.
 

@@ -222,6 +222,29 @@ def stratified_loss(spark, sf):
     return rounded(strata(spark, sf), "mean")
 
 
+@query(
+    "H13_byte_strata",
+    f"""WITH {WINDOWS}, u AS (SELECT window_id, idx, n_bytes, hex(encode(unit)) AS h, sum(n_bytes) OVER (PARTITION BY window_id ORDER BY idx) AS stop FROM win),
+    b AS (SELECT window_id, stop - n_bytes + r AS p, ('0x' || substr(h, 2 * r + 1, 2))::INT AS c FROM (SELECT *, unnest(range(0, n_bytes)) AS r FROM u)),
+    w AS (SELECT *, sum((c = 32)::INT) OVER (PARTITION BY window_id ORDER BY p) AS wid, lead(c) OVER (PARTITION BY window_id ORDER BY p) AS nxt FROM b),
+    q AS (SELECT *, count(*) FILTER (c <> 32) OVER (PARTITION BY window_id, wid) AS len,
+      row_number() OVER (PARTITION BY window_id, wid ORDER BY p) - CASE WHEN wid > 0 THEN 1 ELSE 0 END AS k FROM w),
+    f AS (SELECT window_id, p, c, nxt, len, k, CASE WHEN c IN (32, 9, 10, 13) THEN 'space' WHEN c BETWEEN 48 AND 57 THEN 'digit'
+        WHEN c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122 THEN 'letter' WHEN c IN (46, 44, 33, 63, 59, 58, 39, 34, 45, 40, 41) THEN 'punct' ELSE 'other' END AS class FROM q),
+    a AS (SELECT window_id, stop, least(max(stop) OVER (PARTITION BY window_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) - stop, 16) AS m FROM u),
+    t AS (SELECT window_id, stop + d - 1 AS p, d AS delta FROM (SELECT *, unnest(range(1, m::BIGINT + 1)) AS d FROM a)),
+    j AS (SELECT delta, c, class, CASE WHEN c = 32 THEN 'none' WHEN len <= 2 THEN '1-2' WHEN len <= 5 THEN '3-5' WHEN len <= 8 THEN '6-8' ELSE '9+' END AS word_len,
+      CASE WHEN class = 'space' THEN 'space' WHEN class <> 'letter' THEN 'none' WHEN k = 1 THEN 'first' WHEN k = len THEN 'last' ELSE 'mid' END AS place,
+      CASE WHEN delta > 1 THEN 'later' WHEN nxt = 32 THEN 'end' ELSE 'inside' END AS ahead FROM t JOIN f USING (window_id, p))
+    SELECT class, word_len, delta, place, ahead, count(*) AS n, round(avg(c), 6) AS mean FROM j
+    GROUP BY GROUPING SETS ((class), (word_len, delta), (place), (ahead))""",
+)
+def byte_strata(spark, sf):
+    """Means by byte class, by word length and distance, by place in the word and by whether the word ends next."""
+    targets = ev.target_attributes(windowed(spark, sf), 4, 16)
+    return rounded(ev.stratified_loss(targets, ["class", ("word_len", "delta"), "place", "ahead"], "byte"), "mean")
+
+
 @query(
     "H14_trend_violations",
     f"""WITH {WINDOWS}, {_TARGETS}, st AS (SELECT delta, k, r, avg(byte) AS mean FROM tgt GROUP BY GROUPING SETS ((delta), (k), (r))),

@@ -266,6 +266,23 @@ def rolling_eval_plan(spark, sf):
     return plan.groupBy("doc_id", "block", "block_start", "context_start").agg(F.count(F.lit(1)).alias("n_scored"), F.max("pos").alias("last_pos"))
 
 
+@query(
+    "D14_rolling_eval_blocks",
+    f"""WITH {UNITS}, b AS (SELECT *, CASE WHEN pos < 128 THEN 0 ELSE (pos - 128) // 64 + 1 END AS block FROM units),
+    s AS (SELECT shard, doc_id, block, min(pos) AS first, count(*) AS n_scored, md5(string_agg(unit, '|' ORDER BY pos)) AS scored_md5 FROM b GROUP BY ALL),
+    c AS (SELECT s.shard, s.doc_id, s.block, count(*) AS n_context, md5(string_agg(unit, '|' ORDER BY pos)) AS context_md5
+      FROM s JOIN units u ON s.shard = u.shard AND s.doc_id = u.doc_id AND s.block > 0 AND u.pos >= s.first - 64 AND u.pos < s.first GROUP BY ALL)
+    SELECT doc_id, block, coalesce(n_context, 0) AS n_context, n_scored, coalesce(context_md5, md5('')) AS context_md5, scored_md5 FROM s LEFT JOIN c USING (shard, doc_id, block)""",
+)
+def rolling_eval_blocks(spark, sf):
+    text = lambda column: F.md5(F.array_join(column, "|"))
+    blocks = win.rolling_eval_blocks(word_units(spark, sf), 128)
+    return blocks.select(
+        "doc_id", "block", F.size("context").cast("bigint").alias("n_context"), F.size("scored").cast("bigint").alias("n_scored"),
+        text("context").alias("context_md5"), text("scored").alias("scored_md5"),
+    )
+
+
 @query(
     "D16_next_unit_pairs",
     f"""WITH {UNITS}, p AS (SELECT doc_id, pos, lag(unit) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, unit AS next FROM units),
