@@ -68,6 +68,24 @@ def test_spikes_equal_sequential_rule(sliced, span):
     assert any(want.values())
 
 
+def test_only_blocks_with_another_history_are_judged_again(sliced):
+    span, hist, n = 20, 6, 200
+    quiet = [1.0 + (i % 3) / 10 for i in range(n)]
+    late = list(quiet)
+    late[105] = 50.0  # one spike of the middle block, out of its successor's inherited values
+    tail = list(quiet)
+    tail[117] = 50.0  # one among the values that the next block was thought to inherit
+    rows = [(run, i, v) for run, values in (("quiet", quiet), ("late", late), ("tail", tail)) for i, v in enumerate(values)]
+    df = sliced.createDataFrame(rows, "run string, step bigint, value double")
+    _, verdicts, last = rl.spike_rounds(df, 3.0, 0.0, hist, 3, span)
+    again = {(r.run, r._block): r["count"] for r in verdicts.filter("_round > 0").groupBy("run", "_block").count().collect()}
+    assert again == {("tail", 6): span}
+    assert {(r.run, r._block): r._round for r in last.filter("_round > 0").collect()} == {("tail", 6): 1}
+    flagged = {(r.run, r.step) for r in rl.spike_flags(df, 3.0, 0.0, hist, 3, span).filter("spike").collect()}
+    assert flagged == {("late", 105), ("tail", 117)}
+    assert rl.spike_flags(df.limit(0), 3.0, 0.0, hist, 3, span).count() == 0
+
+
 def test_stalls_and_best(sliced):
     flags = [1, 1, 0, 1, 1, 1, 0, 0, 1]
     df = sliced.createDataFrame([("r", i, float(9 - i % 4), bool(f)) for i, f in enumerate(flags)], "run string, step bigint, value double, skip boolean")

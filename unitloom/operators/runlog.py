@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -66,7 +67,7 @@ class SpikeRule:
         return False, limit
 
 
-def spike_flags(
+def spike_rounds(
     log: DataFrame,
     k: float = 10.0,
     floor: float = 2000.0,
@@ -76,14 +77,14 @@ def spike_flags(
     value: str = "value",
     run: str = "run",
     step: str = "step",
-) -> DataFrame:
-    """Flag spikes; exact for runs of any length without holding a run in one task.
-
-    A run is cut into blocks of ``span`` rows.  Every block starts from a guess of the
-    history it inherits; blocks are evaluated in parallel, their end histories are
-    passed on, and only when a block's inherited history differs from its guess is the
-    round repeated.  Histories hold at most ``hist`` values, and every round settles at
-    least one more block of each run, so the result equals the sequential rule.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(numbered rows, verdicts of every round, last round of each block) of the spike rule.
+
+    A run is cut into blocks of ``span`` rows.  Every block starts from a guess of the history it inherits, the last
+    values of the block before, and all are judged in parallel.  After that only the blocks whose inherited history
+    turned out to be another one than they were judged with are judged again, round by round, until none is left; settled
+    runs and blocks leave the loop.  Histories hold at most ``hist`` values, and every round settles at least one more
+    block of each run, so the verdicts of the last rounds are those of the sequential rule.
     """
     kind = log.schema[run].dataType.simpleString()
     narrow = ranked(log.select(run, step, F.col(value).cast("double").alias("_v")), [run], [step], "_rn")
@@ -108,18 +109,37 @@ def spike_flags(
             {run: pdf[run], "_block": pdf["_block"], "_rn": pdf["_rn"], "spike": [s for s, _ in verdicts], "limit": [t for _, t in verdicts], "_end": end}
         )
 
-    while True:
-        guess = durable(guess)
-        rows = narrow.join(guess, [run, "_block"], "left")
-        judged = durable(rows.groupBy(run, "_block").applyInPandas(judge, schema))
+    # What every block was last judged with; its keys are all blocks.
+    used = durable(narrow.select(run, "_block").distinct().join(guess, [run, "_block"], "left"))
+    work, verdicts, listed = used, [], []
+    while not verdicts or not work.isEmpty():
+        number = F.lit(len(verdicts))
+        judged = durable(narrow.join(work, [run, "_block"]).groupBy(run, "_block").applyInPandas(judge, schema))
+        verdicts.append(judged.select(run, "_block", "_rn", "spike", "limit", number.alias("_round")))
+        listed.append(work.select(run, "_block", number.alias("_round")))
+        if len(verdicts) > 1:
+            used = durable(used.join(work, [run, "_block"], "left_anti").unionByName(work))
         ends = judged.filter("_end IS NOT NULL").select(run, (F.col("_block") + 1).alias("_block"), F.col("_end").alias("_h"))
-        inherited = ends.join(narrow.select(run, "_block").distinct(), [run, "_block"], "left_semi")
-        changed = inherited.join(guess.withColumnRenamed("_h", "_g"), [run, "_block"], "left").filter(
-            ~F.col("_h").eqNullSafe(F.col("_g"))
-        )
-        if changed.isEmpty():
-            break
-        guess = inherited
+        before = used.withColumnRenamed("_h", "_g")
+        work = durable(ends.join(before, [run, "_block"]).filter(~F.col("_h").eqNullSafe(F.col("_g"))).select(run, "_block", "_h"))
+    last = reduce(DataFrame.unionByName, listed).groupBy(run, "_block").agg(F.max("_round").alias("_round"))
+    return narrow, reduce(DataFrame.unionByName, verdicts), last
+
+
+def spike_flags(
+    log: DataFrame,
+    k: float = 10.0,
+    floor: float = 2000.0,
+    hist: int = 1000,
+    min_n: int = 50,
+    span: int = 1 << 16,
+    value: str = "value",
+    run: str = "run",
+    step: str = "step",
+) -> DataFrame:
+    """Flag spikes; exact for runs of any length without holding a run in one task (see ``spike_rounds``)."""
+    narrow, verdicts, last = spike_rounds(log, k, floor, hist, min_n, span, value, run, step)
+    judged = verdicts.join(last, [run, "_block", "_round"], "left_semi")
     flags = judged.select(run, "_rn", "spike", F.when(F.col("limit") < float("inf"), F.col("limit")).alias("limit"))
     return narrow.join(flags, [run, "_rn"]).select(run, step, F.col("_v").alias(value), "spike", "limit")
 
