@@ -117,3 +117,24 @@ def test_table_rows_are_copied_only_where_queries_go(spark):
         routed, spread = vx.routed_blocks(asked, table, 3, "l2", False, pivots=10, block=block)
         assert routed.count() >= asked.count()
         assert spread.count() <= 40 * crowds  # the crowded cluster's rows alone, not 200 for each crowd
+
+
+def test_rows_are_copied_by_the_size_of_what_meets_not_by_block(spark):
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(800, 16)))], "id bigint, vec array<double>")
+    routed, spread = vx.routed_blocks(table, table, 3, "l2", pivots=4, block=8)
+    # Nothing is ruled out here, and 100 blocks of 8 rows would copy every row 100 times.
+    assert routed.groupBy("id").count().agg(F.max("count")).first()[0] <= 12
+    assert spread.groupBy("id").count().agg(F.max("count")).first()[0] <= 12
+
+
+def test_best_of_many_equals_sorting():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8))
+    x[500:1500] = x[500]
+    ids, own = np.arange(3000), np.arange(40) * 25
+    got = [(r, i) for rows, near, _ in vx._best(x[own], x, ids, own, 5, False) for r, i in zip(rows, near)]
+    for r, q in enumerate(own):
+        score = np.round(-np.sqrt(((x - x[q]) ** 2).sum(1)), 9)
+        score[q] = -np.inf
+        assert [i for at, i in got if at == r] == np.lexsort((ids, -score))[:5].tolist()

@@ -2,8 +2,8 @@
 
 ``knn`` is exact without comparing everything with everything: the table is cut into
 cells around pivots, the triangle inequality rules out cells that cannot hold a
-neighbour, and what remains is matched block by block with NumPy inside bounded groups,
-each returning at most its own best ``k`` per query.
+neighbour of a cell's queries, and what remains is matched block by block with NumPy inside
+bounded groups, each returning at most its own best ``k`` per query.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from ..session import durable
 from .ordered import one_row, prefix_scan, ranked, smallest, top_per_group
 
 EPS = 1e-9
+#: Rows of a table, or queries, that meet in one task (32 MB of 64 dimensions together).
+TOGETHER = 32_768
+#: Pairs compared and pairs scored at a time, and neighbouring scores of which the best is taken first.
+PAIRS, SCORED, GROUP = 1 << 21, 1 << 16, 32
 
 
 def dot(a, b) -> Column:
@@ -41,26 +45,44 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, table: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, cosine: bool) -> Iterator[tuple]:
-    """(query row, table ids, scores) of the ``k`` best per query; larger score is nearer."""
+    """(query rows, table ids, scores) of the ``k`` best per query, some queries at a time; larger score is nearer."""
     squares = (table * table).sum(1)
     # What rounding can do grows with the squared norms.
     slack = 1e-7 + 1e-12 * float(squares.max(initial=0.0) + (queries * queries).sum(1).max(initial=0.0))
-    for i in range(0, len(queries), 256):
-        q = queries[i : i + 256]
-        approx = q @ table.T if cosine else -np.maximum((q * q).sum(1)[:, None] + squares[None] - 2 * q @ table.T, 0)
-        approx[own[i : i + 256][:, None] == ids[None]] = -np.inf
-        for r in range(len(q)):
-            row = approx[r]
-            # everything that rounding could lift into the best k is scored exactly
-            edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            near = np.flatnonzero((row >= edge - slack) & (row > -np.inf))
-            if cosine:
-                score = (table[near] * q[r]).sum(1)
-            else:
-                score = -np.sqrt(((table[near] - q[r]) ** 2).sum(1))
-            score = np.round(score, 9)
-            first = np.lexsort((ids[near], -score))[:k]
-            yield i + r, ids[near][first], score[first]
+    rows = max(1, min(256, PAIRS // max(len(table), 1)))
+    for i in range(0, len(queries), rows):
+        q = queries[i : i + rows]
+        approx = q @ table.T
+        if not cosine:
+            approx *= 2
+            approx -= squares
+            approx -= (q * q).sum(1)[:, None]
+            np.minimum(approx, 0, out=approx)
+        approx[own[i : i + rows][:, None] == ids[None]] = -np.inf
+        approx[np.isnan(approx)] = -np.inf
+        # Everything that rounding could lift into the best k is scored exactly.
+        at, near = np.nonzero((approx >= _edge(approx, k)[:, None] - slack) & (approx > -np.inf))
+        score = np.empty(len(at))
+        for low in range(0, len(at), SCORED):
+            some = slice(low, low + SCORED)
+            x, y = table[near[some]], q[at[some]]
+            score[some] = (x * y).sum(1) if cosine else -np.sqrt(((x - y) ** 2).sum(1))
+        score = np.round(score, 9)
+        order = np.lexsort((ids[near], -score, at))
+        at, near, score = at[order], near[order], score[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        yield i + at[first], ids[near[first]], score[first]
+
+
+def _edge(scores: np.ndarray, k: int) -> np.ndarray:
+    """A score that ``k`` entries of each row reach, near the k-th best: the k-th best of the bests of GROUP neighbouring entries."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.full(len(scores), -np.inf)
+    if n >= 4 * k * GROUP:
+        scores = scores[:, : n // GROUP * GROUP].reshape(len(scores), -1, GROUP).max(2)
+        n = scores.shape[1]
+    return np.partition(scores, n - k, axis=1)[:, n - k]
 
 
 def knn(
@@ -75,9 +97,8 @@ def knn(
     """Exact ``k`` nearest table vectors per query: (query_id, id, score, place).
 
     Inputs have (id BIGINT, vec ARRAY).  ``score`` is the cosine, or the negative
-    Euclidean distance.  Ties go to the smaller id.  Cells larger than ``block`` and
-    crowds of queries are split further, so no task gets more than block x block pairs
-    at a time.
+    Euclidean distance.  Ties go to the smaller id.  A task gets the rows of one block and one crowd
+    (``routed_blocks``) and compares a bounded number of pairs at a time.
     """
     cosine = metric == "cosine"
     routed, spread = routed_blocks(queries, table, k, metric, exclude_self, pivots, block)
@@ -92,7 +113,7 @@ def knn(
                 found.append(pd.DataFrame({"query_id": own[r], "id": near, "score": score}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
 
-    keys = ["cell", "sub", "crowd"]
+    keys = ["block", "crowd"]
     partial = routed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(match, "query_id bigint, id bigint, score double")
     return top_per_group(partial, ["query_id"], [F.col("score").desc(), F.col("id")], k, "place")
 
@@ -100,10 +121,11 @@ def knn(
 def routed_blocks(
     queries: DataFrame, table: DataFrame, k: int, metric: str, exclude_self: bool = True, pivots: int | None = None, block: int = 4096
 ) -> tuple[DataFrame, DataFrame]:
-    """Queries and table rows by (cell, sub, crowd): what has to meet for exact neighbours.
+    """Queries and table rows by (block, crowd): what has to meet for exact neighbours.
 
-    A table row is copied once for every ``block`` queries that were really sent to its block of the cell,
-    and not at all where there are none.
+    Rows are placed in the cell of their nearest pivot.  Cells that the queries of the same cells ask for share blocks, cells whose
+    queries ask for the same cells share crowds; both are as large as ``block``, an eighth of the table or TOGETHER allows, so
+    that a row is copied once for each crowd or block of that size that it has to meet, and a table row that no query asks for not at all.
     """
     cosine = metric == "cosine"
     shape = (lambda d: d.select("id", unit_vector(F.col("vec").cast("array<double>")).alias("vec"))) if cosine else (
@@ -114,6 +136,7 @@ def routed_blocks(
     m = pivots or int(min(1024, max(1, round((n_table / block) ** 0.5 * 4))))
     chosen = smallest(table.withColumn("_h", id_hash(F.lit("pivot"), "id")), ["_h", "id"], m).select("vec").collect()
     centre = np.array([np.asarray(r.vec) for r in chosen])  # at most 1024 vectors
+    together = max(block, min(TOGETHER, n_table // 8))
 
     def distances(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (centre * centre).sum(1)[None] - 2 * x @ centre.T, 0))
@@ -124,16 +147,19 @@ def routed_blocks(
                 d = distances(_matrix(pdf["vec"]))
                 yield pdf.assign(cell=d.argmin(1), reach=d.min(1))
 
-    placed = durable(table.mapInPandas(assign, "id bigint, vec array<double>, cell bigint, reach double"))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()  # one row per pivot
+    cells = "id bigint, vec array<double>, cell bigint, reach double"
+    placed, homes = durable(table.mapInPandas(assign, cells)), durable(queries.mapInPandas(assign, cells))
     size, radius = np.zeros(len(centre), dtype=np.int64), np.full(len(centre), -np.inf)
-    for s in stats:
+    for s in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect():  # one row per pivot
         size[s.cell], radius[s.cell] = s.n, s.r
-    subs = np.maximum(-(-size // block), 1)
+    asking = np.zeros(len(centre), dtype=np.int64)
+    for s in homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        asking[s.cell] = s.n
     need = k + int(exclude_self)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Send every query to the cells that may hold one of its neighbours."""
+        """The cells that may hold a neighbour of one of the queries, by the queries' cell."""
+        wanted = np.zeros((len(centre), len(centre)), dtype=bool)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -144,22 +170,37 @@ def routed_blocks(
             at = np.where(reached.any(1), reached.argmax(1), len(centre) - 1)
             bound = np.take_along_axis(far, order, 1)[np.arange(len(d)), at]
             bound = np.where(reached.any(1), bound, np.inf)
-            rows, cells = np.nonzero((d - radius <= bound[:, None] + 1e-6 + 1e-9 * np.where(np.isfinite(bound), bound, 0)[:, None]) & (size > 0)[None])
-            rep = subs[cells]
-            rows, cells = np.repeat(rows, rep), np.repeat(cells, rep)
-            sub = np.arange(len(rows)) - np.repeat(np.cumsum(rep) - rep, rep)
-            out = pdf.iloc[rows]
-            yield pd.DataFrame({"id": out["id"].to_numpy(), "vec": out["vec"].to_numpy(), "cell": cells, "sub": sub})
-
-    routed = durable(queries.mapInPandas(route, "id bigint, vec array<double>, cell bigint, sub bigint"))
-    # One row for each block of a cell that is asked at all.
-    crowds = durable(routed.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / block).alias("crowds")))
-    asked = routed.join(crowds, ["cell", "sub"]).select("id", "vec", "cell", "sub", F.pmod(F.xxhash64("id"), "crowds").alias("crowd"))
-    sub_count = F.lit(subs.tolist()).cast("array<bigint>")
-    blocks = placed.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.get(sub_count, F.col("cell").cast("int"))).alias("sub"))
-    first = F.lit(0).cast("bigint")
-    spread = blocks.join(crowds, ["cell", "sub"]).select("id", "vec", "cell", "sub", F.explode(F.sequence(first, F.col("crowds") - 1)).alias("crowd"))
-    return asked, spread
+            rows, asked = np.nonzero((d - radius <= bound[:, None] + 1e-6 + 1e-9 * np.where(np.isfinite(bound), bound, 0)[:, None]) & (size > 0)[None])
+            wanted[pdf["cell"].to_numpy()[rows], asked] = True
+        home, asked = np.nonzero(wanted)
+        yield pd.DataFrame({"home": home, "asked": asked})
+
+    wanted = np.zeros((len(centre), len(centre)), dtype=bool)
+    for r in homes.mapInPandas(route, "home bigint, asked bigint").distinct().collect():  # at most one row for two pivots
+        wanted[r.home, r.asked] = True
+    crowd, crowds = _shared(wanted, asking, together)
+    first, blocks = _shared(wanted.T, size, together)
+    session = table.sparkSession
+    met = lambda mine, other, parts: sorted({int(b) for c in np.flatnonzero(mine) for b in range(other[c], other[c] + parts[c])})
+    sides = []
+    for rows, mine, own, parts, other, others, name, seen in (
+        (homes, wanted, crowd, crowds, first, blocks, "crowd", "block"),
+        (placed, wanted.T, first, blocks, crowd, crowds, "block", "crowd"),
+    ):
+        plan = [(c, int(own[c]), int(parts[c]), met(mine[c], other, others)) for c in range(len(centre)) if mine[c].any()]
+        plan = session.createDataFrame(plan, f"cell bigint, first bigint, parts bigint, {seen}s array<bigint>")
+        place = F.col("first") + F.pmod(F.xxhash64("id", "vec"), "parts")
+        sides.append(rows.join(F.broadcast(plan), "cell").select("id", "vec", place.alias(name), F.explode(f"{seen}s").alias(seen)))
+    return sides[0], sides[1]
+
+
+def _shared(wanted: np.ndarray, rows: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``wanted`` the first number and the count of parts that it shares with all equal rows."""
+    if not len(wanted):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    kind = np.unique(wanted, axis=0, return_inverse=True)[1].ravel()
+    parts = np.maximum(-(-np.bincount(kind, weights=rows).astype(np.int64) // together), 1)
+    return (np.cumsum(parts) - parts)[kind], parts[kind]
 
 
 def snap_to_table(positions: DataFrame, table: DataFrame, metric: str = "cosine") -> DataFrame:
