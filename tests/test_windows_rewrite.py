@@ -178,3 +178,22 @@ def test_rolling_blocks_score_every_unit_once_behind_its_context(spark):
                 assert b.context == (mine[done - size // 2 : done] if done and size > 1 else [])
                 done += len(b.scored)
     assert win.rolling_eval_blocks(units.limit(0), 4).count() == 0
+
+
+def test_merge_pass_is_the_fold_and_copies_no_list(spark):
+    import random
+
+    draw = random.Random(3)
+    shapes = [[], ["a"], ["é" * 6, "b"]] + [["x" * draw.randint(1, 12) for _ in range(draw.randint(2, 60))] for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(shapes)), "window_id bigint, units array<string>")
+    coins = df.select("window_id", F.transform("units", lambda u, i: win.coin(0.6, 5, F.col("window_id"), i)).alias("c"))
+    coins = {r.window_id: r.c for r in coins.collect()}
+    merged = win.merge_pass(df, 0.6, 16, 5)
+    for r in merged.collect():
+        want, i, units = [], 0, shapes[r.window_id]
+        while i < len(units):
+            two = i + 1 < len(units) and coins[r.window_id][i] and len((units[i] + units[i + 1]).encode()) <= 16
+            want.append(units[i] + units[i + 1] if two else units[i])
+            i += 2 if two else 1
+        assert r.units == want
+    assert "aggregate(" not in merged._jdf.queryExecution().optimizedPlan().toString()
