@@ -52,3 +52,12 @@ def test_strata_may_be_columns_taken_together(spark):
     cells = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 6.0)], "x string, y int, v double")
     got = {(r.x, r.y): (r.n, r["mean"]) for r in ev.stratified_loss(cells, ["x", ("x", "y")], "v").collect()}
     assert got == {("a", None): (2, 3.0), ("b", None): (1, 6.0), ("a", 1): (1, 2.0), ("a", 2): (1, 4.0), ("b", 1): (1, 6.0)}
+
+
+def test_counted_targets_are_the_same_targets(spark):
+    rows = [("s", w, i, i, u, i == 0) for w in range(600) for i, u in enumerate(WINDOWS[w % 3])]
+    windowed = spark.createDataFrame(rows, "shard string, window_id bigint, seq bigint, idx bigint, unit string, doc_start boolean")
+    counted = ev.target_attributes(windowed, 3, 16, counted=True).collect()
+    got = {(r.delta, r.byte, r["class"], r.word_len, r.place, r.ahead): r.n for r in counted}
+    assert len(got) == len(counted)
+    assert got == {k: 200 * n for k, n in sum((plain(units, 3, 16) for units in WINDOWS.values()), Counter()).items()}

@@ -7,11 +7,15 @@ aggregates with map-side combining, never windows over an item.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import byte_text, ratio, start_offsets, stderr
+from ..functions import ratio, stderr
+from ..session import ship
 from .ordered import one_row, prefix_scan, ranked, top_per_group
 from .stats import byte_class
 from .windows import gather_windows
@@ -240,62 +244,86 @@ def stratified_loss(cells: DataFrame, by: Sequence[str | Sequence[str]], value:
     return grouped.agg(F.sum("_n").alias("n"), (F.sum("_s") / F.sum("_n")).alias("mean"))
 
 
-def target_attributes(windowed: DataFrame, n: int, k_max: int, key: str = "window_id") -> DataFrame:
+def target_attributes(windowed: DataFrame, n: int, k_max: int, key: str = "window_id", counted: bool = False) -> DataFrame:
     """Every target byte of ``windows.future_targets`` with what it is in its window's byte string.
 
     Columns: ``delta`` and ``byte`` as there, ``class`` of the byte, ``word_len`` the length class of its word, ``place``
     of a letter in its word, and for the byte that comes next (delta 1) ``ahead``: whether the word ends behind it.
-    Words are runs without blanks and may cross unit borders.  All of it is built in the window's row: two strings as
-    long as the window carry each byte's word length and place, so that a target is a position in three strings.
+    Words are runs without blanks and may cross unit borders.  A byte is described once, however many units it is a
+    target of, and equal targets of some windows are counted together; ``counted`` gives them once, with their
+    number ``n``, instead of as so many rows.
     """
-    latin = F.transform("units", byte_text)
-    words = F.split(F.array_join(latin, ""), " ")
-    lengths = F.transform(words, lambda w: F.repeat(_length_code(F.length(w)), F.length(w)))
-    # f first, m between, l last byte of a word; a word of one byte has a first byte only.
-    places = F.transform(words, lambda w: F.substring(F.concat(F.lit("f"), F.repeat(F.lit("m"), F.length(w) - 2), F.lit("l")), F.lit(1), F.length(w)))
-    rows = gather_windows(windowed, [key]).select(
-        F.array_join(latin, "").alias("_text"),
-        F.array_join(lengths, " ").alias("_lengths"),
-        F.array_join(places, " ").alias("_places"),
-        start_offsets(F.transform(latin, lambda u: F.length(u))).alias("_start"),
-    )
-    # Bytes of the next n units begin where the following unit does and end before the unit n places behind that one.
-    total = F.length("_text")
-    begin = lambda i: F.coalesce(F.get("_start", i), total)
-    pieces = F.transform(
-        "_start",
-        lambda _, i: F.struct(
-            F.least(begin(i + n + 1) - begin(i + 1), F.lit(k_max)).cast("int").alias("size"),
-            F.substring("_text", (begin(i + 1) + 1).cast("int"), F.lit(k_max + 1)).alias("text"),
-            F.substring("_lengths", (begin(i + 1) + 1).cast("int"), F.lit(k_max)).alias("lengths"),
-            F.substring("_places", (begin(i + 1) + 1).cast("int"), F.lit(k_max)).alias("places"),
-        ),
-    )
-    asked = rows.select(F.explode(pieces).alias("p")).select("p.*").filter("size > 0")
-    targets = asked.select("*", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("delta"))
-    at = lambda column, step=0: F.substring(column, F.col("delta") + step, F.lit(1))
-    code = F.ascii(at("text"))
-    place = F.when(byte_class(code) == "letter", F.element_at(_named({"f": "first", "m": "mid", "l": "last"}), at("places"))).when(byte_class(code) == "space", "space")
-    return targets.select(
-        F.col("delta").cast("bigint").alias("delta"),
-        code.cast("bigint").alias("byte"),
-        byte_class(code).alias("class"),
-        F.element_at(_named({" ": "none", **WORD_LENGTHS}), at("lengths")).alias("word_len"),
-        F.coalesce(place, F.lit("none")).alias("place"),
-        F.when(F.col("delta") > 1, "later").when(at("text", 1) == " ", "end").otherwise("inside").alias("ahead"),
-    )
-
-
-#: Length classes of words and the letters that stand for them.
-WORD_LENGTHS = {"a": "1-2", "b": "3-5", "c": "6-8", "d": "9+"}
-
-
-def _length_code(size: Column) -> Column:
-    return F.when(size <= 2, "a").when(size <= 5, "b").when(size <= 8, "c").otherwise("d")
-
-
-def _named(names: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    ship(windowed.sparkSession)
+    found = gather_windows(windowed, [key]).select("units").mapInArrow(_target_counts(n, k_max), TARGETS)
+    kind = byte_class(F.col("byte").cast("int"))
+    names = F.array(*[F.lit(x) for x in WORD_LENGTHS])
+    place = F.when(kind == "letter", F.get(F.array(F.lit("mid"), F.lit("last"), F.lit("first")), F.col("at"))).when(kind == "space", "space")
+    columns = {
+        "delta": F.col("delta"),
+        "byte": F.col("byte"),
+        "class": kind,
+        "word_len": F.get(names, F.col("length")),
+        "place": F.coalesce(place, F.lit("none")),
+        "ahead": F.when(F.col("delta") > 1, "later").when(F.col("blank"), "end").otherwise("inside"),
+    }
+    found = found.select(*[c.alias(name) for name, c in columns.items()], "n")
+    if counted:
+        return found.groupBy(*columns).agg(F.sum("n").alias("n"))
+    return found.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+
+
+#: Length classes of words; a blank is in none.
+WORD_LENGTHS = ("none", "1-2", "3-5", "6-8", "9+")
+#: Target bytes of some windows: length class, place (0 middle, 1 last, 2 first) and whether a blank follows.
+TARGETS = "delta long, byte long, length int, at int, blank boolean, n long"
+#: Windows whose targets are counted together.
+WINDOWS_TOGETHER = 256
+
+
+def _target_counts(n: int, k_max: int):
+    """Counted targets of windows (units)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, WINDOWS_TOGETHER):
+                units = batch.column(0).slice(low, WINDOWS_TOGETHER)
+                held = pc.list_value_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+                unit = units.flatten().cast(pa.large_binary())
+                text = np.frombuffer(b"".join(unit.to_pylist()), np.uint8)
+                stop = np.cumsum(pc.binary_length(unit).to_numpy(zero_copy_only=False).astype(np.int64))
+                last = np.repeat(np.cumsum(held), held) - 1  # a unit's last unit of its window
+                close = np.unique(np.r_[0, stop[last]]) if len(stop) else np.zeros(1, np.int64)
+                code = _described(text, close)
+                # Targets begin behind a unit and end with the n-th after it.
+                size = np.minimum(stop[np.minimum(np.arange(len(stop)) + n, last)] - stop, k_max)
+                for delta in range(1, int(size.max(initial=0)) + 1):
+                    times = np.bincount(code[stop[size >= delta] + delta - 1])
+                    kinds = np.flatnonzero(times)
+                    rest, blank = np.divmod(kinds, 2)
+                    rest, at = np.divmod(rest, 3)
+                    byte, length = np.divmod(rest, len(WORD_LENGTHS))
+                    columns = [np.full(len(kinds), delta), byte, length.astype(np.int32), at.astype(np.int32), blank.astype(bool), times[kinds]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in TARGETS.split(", ")])
+
+    return run
+
+
+def _described(text: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """A number for each byte: its value, its word's length class, its place there and whether a blank follows in its window."""
+    blank = text == 32
+    opens = np.zeros(len(text) + 1, dtype=bool)
+    opens[borders] = True
+    inner = ~opens[1:]  # not the last byte of a window
+    opens[:-1] |= blank
+    opens[1:] |= blank
+    first = np.flatnonzero(opens[:-1])
+    run = np.diff(np.r_[first, len(text)])
+    size = np.repeat(run, run)
+    length = np.where(blank, 0, 1 + np.searchsorted([2, 5, 8], size))
+    at = np.where(opens[:-1], 2, opens[1:].astype(np.int64))
+    at[-1:] = np.where(opens[len(text) - 1 : -1], 2, 1)
+    follows = np.r_[blank[1:], False] & inner
+    return ((text.astype(np.int64) * len(WORD_LENGTHS) + length) * 3 + at) * 2 + follows
 
 
 def trend_violations(

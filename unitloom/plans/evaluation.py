@@ -241,8 +241,8 @@ def stratified_loss(spark, sf):
 )
 def byte_strata(spark, sf):
     """Means by byte class, by word length and distance, by place in the word and by whether the word ends next."""
-    targets = ev.target_attributes(windowed(spark, sf), 4, 16)
-    return rounded(ev.stratified_loss(targets, ["class", ("word_len", "delta"), "place", "ahead"], "byte"), "mean")
+    targets = ev.target_attributes(windowed(spark, sf), 4, 16, counted=True)
+    return rounded(ev.stratified_loss(targets, ["class", ("word_len", "delta"), "place", "ahead"], "byte", "n"), "mean")
 
 
 @query(
