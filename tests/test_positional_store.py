@@ -87,3 +87,18 @@ def test_empty_and_null(spark, tmp_path):
     store.write_positional(docs, str(tmp_path / "n"))
     got = sorted(tuple(r) for r in store.placed_units(spark, str(tmp_path / "n"), 8).select("seq", "unit").collect())
     assert [s for s, _ in got] == list(range(len(got))) and "".join(u for _, u in got) == "ca b"
+
+
+def test_places_are_stored_as_differences_and_ranges_follow_the_text(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(store, "RANGE_BYTES", 2_000)
+    docs, path = corpus(spark, 400), tmp_path / "s"
+    store.write_positional(docs, str(path))
+    staged = spark.read.parquet(str(next(path.glob("_split-*"))))
+    assert "units" not in staged.columns
+    assert staged.select("part").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    big = max(path.glob("units/*.parquet"), key=lambda f: f.stat().st_size)
+    group = pq.ParquetFile(big).metadata.row_group(0)
+    named = {group.column(i).path_in_schema: group.column(i).encodings for i in range(group.num_columns)}
+    assert "DELTA_BINARY_PACKED" in named["seq"] and "DELTA_BINARY_PACKED" in named["byte_off"]
