@@ -124,3 +124,27 @@ def test_byte_offsets(spark):
     for r in seg.byte_offsets(docs).collect():
         text = {1: "aé 中x 🙂!", 2: "b"}[r.doc_id].encode()
         assert text[r.byte_off : r.byte_off + len(r.unit.encode())].decode() == r.unit
+
+
+def test_cutting_a_batch_takes_memory_for_some_rows_only():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from unitloom.functions import arrays
+
+    text = b"ab " * 200
+    cuts = list(range(1, len(text)))
+    peaks = []
+    for rows in (500, 4000):
+        data, at = pa.array([text] * rows, pa.binary()), pa.array([cuts] * rows, pa.list_(pa.int64()))
+        work = lambda some, places: arrays._slice_rows(some, places, 32)
+        tracemalloc.start()
+        got = arrays._in_slices(work, data, at)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(got) == rows and got[rows - 1].as_py() == [bytes([b]) for b in text]
+    assert peaks[1] < 1.5 * peaks[0]
+    odd = pa.array([b"abc", None, b"", b"defg"] * 200, pa.binary()), pa.array([[1], None, [], [2]] * 200, pa.list_(pa.int64()))
+    assert arrays._in_slices(work, *odd).to_pylist() == arrays._slice_rows(*odd, 32).to_pylist()
+    assert arrays._in_slices(work, odd[0][:0], odd[1][:0]).to_pylist() == []

@@ -7,11 +7,22 @@ so they stay linear and touch no element one by one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, functions as F, types as T
 
+#: Rows worked on at a time: a batch holds thousands of whole texts, and each of their pieces takes several numbers.
+ROWS_TOGETHER = 256
+
+
+def _in_slices(work: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``work`` on some rows at a time, so that its memory doesn't follow the batch."""
+    lows = range(0, max(len(columns[0]), 1), ROWS_TOGETHER)
+    return pa.concat_arrays([work(*[c.slice(low, ROWS_TOGETHER) for c in columns]) for low in lows])
+
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, row starts, row sizes) of a list array; null rows count as empty."""
@@ -25,6 +36,10 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _start_offsets(lengths: pa.Array) -> pa.Array:
+    return _in_slices(_offset_rows, lengths)
+
+
+def _offset_rows(lengths: pa.Array) -> pa.Array:
     values, starts, sizes = _flat(lengths)
     running = np.concatenate([[0], np.cumsum(values)])
     begin = running[:-1] - np.repeat(running[starts[:-1]], sizes)
@@ -64,6 +79,6 @@ def slice_at(raw: Column, cuts: Column, l_max: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.BinaryType()))
     def cut(data: pa.Array, at: pa.Array) -> pa.Array:
-        return _slice_rows(data, at, l_max)
+        return _in_slices(lambda some, places: _slice_rows(some, places, l_max), data, at)
 
     return cut(raw, cuts)
