@@ -102,3 +102,15 @@ def test_places_are_stored_as_differences_and_ranges_follow_the_text(spark, tmp_
     group = pq.ParquetFile(big).metadata.row_group(0)
     named = {group.column(i).path_in_schema: group.column(i).encodings for i in range(group.num_columns)}
     assert "DELTA_BINARY_PACKED" in named["seq"] and "DELTA_BINARY_PACKED" in named["byte_off"]
+
+
+def test_unit_store_has_more_ranges_for_more_text(spark, tmp_path, monkeypatch):
+    from unitloom.sources import unit_store
+
+    docs = corpus(spark, 400)
+    monkeypatch.setattr(unit_store, "RANGE_BYTES", 2_000)
+    unit_store.store_documents(docs, str(tmp_path / "u"))
+    files = list((tmp_path / "u").rglob("*.parquet"))
+    assert len(files) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = sorted((r.shard, r.doc_id, r.pos, r.unit) for r in segment_word(docs).collect())
+    assert sorted((r.shard, r.doc_id, r.pos, r.unit) for r in unit_store.read_units(spark, str(tmp_path / "u")).collect()) == want
