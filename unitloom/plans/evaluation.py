@@ -213,8 +213,8 @@ _STRATA = f"""{_TARGETS}, st AS (SELECT delta, k, r, count(*) AS n, round(avg(by
 
 
 def strata(spark, sf):
-    targets = win.future_targets(windowed(spark, sf), 4, 0.8, 16)
-    return ev.stratified_loss(targets, ["delta", "k", "r"], "byte")
+    targets = win.future_targets(windowed(spark, sf), 4, 0.8, 16, counted=True)
+    return ev.stratified_loss(targets, ["delta", "k", "r"], "byte", "n")
 
 
 @query("H13_stratified_loss", f"WITH {WINDOWS}, {_STRATA} SELECT * FROM st")
