@@ -169,6 +169,42 @@ def test_work_inside_a_crowd_is_linear(spark, monkeypatch):
     assert per_text[800] < 1.3 * per_text[200] + 1
 
 
+def test_no_similar_pair_of_a_bucket_is_left_out(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [passage + [f"q{w}" for w in rng.integers(0, 10**6, 40)] for _ in range(60)]
+    for i in range(0, 40, 2):
+        copy = list(texts[i])
+        for place in rng.choice(np.arange(90, 130), 22 + i % 6, replace=False):
+            copy[place] = f"r{rng.integers(0, 10**6)}"
+        texts.append(copy)
+    # Sketches see the passage alone, so all texts are one crowd, which no further sketch divides; blocks are small.
+    monkeypatch.setattr(minhash, "sketches", lambda codes, own=minhash.sketches: own(codes[:90]))
+    monkeypatch.setattr(minhash, "kmers", lambda codes, k=minhash.K, own=minhash.kmers: own(codes[:90] if k == minhash.K else codes, k))
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    edges = [(i, i) for i in range(len(texts))]
+    edges += [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if distance(a, b) <= 0.2 * 130]
+    expected = roots_of(edges)
+    assert 5 < len(texts) - len(set(expected.values())) <= 20
+    assert {r["doc_id"]: r["class_id"] for r in minhash.report(rows).collect()} == expected
+    assert len(minhash.drop_copies(rows).collect()) == len(set(expected.values()))
+
+
+def test_bits_rule_out_no_similar_text():
+    rng = np.random.default_rng(10)
+    for _ in range(400):
+        n = int(rng.integers(1, 60))
+        a = rng.integers(0, rng.choice([3, 40]), n).tolist()
+        b = list(a)
+        for _ in range(n // 4):
+            place = int(rng.integers(0, len(b) + 1))
+            b[place : place + int(rng.integers(0, 2))] = rng.integers(0, 40, int(rng.integers(0, 2))).tolist()
+        if b and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            bits = [np.unpackbits(np.frombuffer(minhash._bits(np.array(t, np.uint64)), np.uint8))[None] for t in (a, b)]
+            assert minhash.not_ruled_out(*bits, np.array([len(a)]), np.array([len(b)])).all()
+
+
 def test_prefixes_of_similar_texts_meet():
     rng = np.random.default_rng(9)
     for _ in range(300):
