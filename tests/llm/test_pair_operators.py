@@ -191,6 +191,68 @@ def test_no_similar_pair_of_a_bucket_is_left_out(spark, monkeypatch):
     assert len(minhash.drop_copies(rows).collect()) == len(set(expected.values()))
 
 
+def test_pairs_of_a_divided_crowd_are_no_rows(spark, monkeypatch):
+    """Texts so long that their bits rule nothing out: all pairs are compared, but only links may leave a block."""
+    tried = []
+    own = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, codes: (tried.append(pairs.count()), own(pairs, codes))[1])
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    passage = [f"p{i}" for i in range(500)]
+    per_text = {}
+    for n in (60, 180):
+        rng = np.random.default_rng(n)
+        texts = [passage + [f"q{w}" for w in rng.integers(0, 10**6, 200)] for _ in range(n)]
+        texts += [t[:520] + [f"r{w}" for w in rng.integers(0, 10**6, 134 + i % 12)] + t[654 + i % 12 :] for i, t in enumerate(texts[: n // 3])]
+        rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        tried.clear()
+        found = {r["doc_id"]: r["class_id"] for r in minhash.report(rows).collect()}
+        per_text[n] = sum(tried) / len(texts)
+        codes = [minhash.word_codes(" ".join(t)) for t in texts]
+        links = [(j, i) for i, a in enumerate(codes) for j, b in enumerate(codes[:i]) if minhash.edit_distance(a, b, 140) is not None]
+        assert 0 < len(links) < n // 3 + 1
+        assert found == roots_of([(i, i) for i in range(len(texts))] + links)
+    assert per_text[180] < 1.3 * per_text[60] + 1
+
+
+def test_links_of_a_crowd_equal_brute_force(spark, monkeypatch):
+    """Two crowds that overlap, in blocks and units of a few texts: each link of different classes comes once, none is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", 15)
+    monkeypatch.setattr(minhash, "ROWS_TOGETHER", 4)
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(40):
+        text = rng.integers(0, 10**6, 30)
+        texts.append(text)
+        for _ in range(int(rng.integers(0, 3))):
+            copy = text.copy()
+            copy[rng.choice(30, int(rng.integers(4, 9)), replace=False)] = rng.integers(0, 10**6)
+            texts.append(copy)
+    codes = [np.array(t, np.uint32) for t in texts]
+    node = [int(x) for x in rng.permutation(len(texts)) - 20]
+    root = [n if n % 7 else 0 for n in node]
+    members = [(bucket, n, 30, r) for bucket, chosen in ((-5, 0), (9, 1)) for k, (n, r) in enumerate(zip(node, root)) if k % 3 != chosen]
+    open_nodes = spark.createDataFrame(members, "bucket long, node long, n int, root long")
+    held = spark.createDataFrame([(n, c.tobytes()) for n, c in zip(node, codes)], "node long, codes binary")
+    met = {(u, v) for b, u, _, _ in members for c, v, _, _ in members if b == c and u < v}
+    place = {n: k for k, n in enumerate(node)}
+    expected = [(u, v) for u, v in met if root[place[u]] != root[place[v]] and minhash.edit_distance(codes[place[u]], codes[place[v]], 6) is not None]
+    assert len(expected) > 15
+    assert sorted(tuple(r) for r in minhash.rest_links(open_nodes, held).collect()) == sorted(expected)
+    assert minhash.rest_links(open_nodes.filter("root = 0"), held).count() == 0
+
+
+def test_words_allow_all_similar_texts():
+    rng = np.random.default_rng(13)
+    texts = [rng.integers(0, 30, int(rng.integers(1, 40))).astype(np.uint32) for _ in range(60)]
+    texts += [np.delete(t, rng.integers(0, len(t), len(t) // 6)) for t in texts]
+    texts = [t for t in texts if len(t)]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts)), indexing="ij"))
+    allowed = minhash.words_allow(texts, a, b)
+    similar = np.array([minhash.similar(texts[x].tobytes(), texts[y].tobytes()) for x, y in zip(a, b)])
+    assert allowed[similar].all() and similar.sum() > 150 and not allowed.all()
+    assert len(minhash.words_allow(texts, a[:0], b[:0])) == 0
+
+
 def test_bits_rule_out_no_similar_text():
     rng = np.random.default_rng(10)
     for _ in range(400):

@@ -13,9 +13,10 @@ its words keeps a similarity of 0.8 or more; classes are the links' components.
 Crowds are larger buckets whose nodes fell in several classes.  Their nodes are compared with ``STARS`` more
 nodes of the crowd, and get further sketches, of ``CROWD_SEEDS`` seeds, over the k-mers that a crowd does not share.  All
 that is linear in the nodes.  In crowds that are still divided all pairs of nodes of different classes are compared: by bits
-for the words and word pairs they hold, blocks of nodes against blocks, and those that these don't rule out are aligned.  So
-no two texts of one bucket that align stay in different classes.  The alignments are few; the comparing of bits is
-quadratic in a divided crowd, a few numbers for each two nodes.  With ``exact`` crowds are resolved by a prefix filter
+for the words and word pairs they hold, blocks of nodes against blocks.  Nodes that these leave a partner bring their words
+to the block, where the pairs are compared by all their words and the rest of them aligned, so what moves are nodes and links,
+never a row for each pair.  No two texts of one bucket that align stay in different classes.  The comparing is
+quadratic in a divided crowd, a few numbers for each two nodes, and so are the alignments of pairs near the threshold.  With ``exact`` crowds are resolved by a prefix filter
 instead, which also finds pairs of different buckets: texts that align have so many word pairs in common that their rarest
 ones must meet, so all texts of different classes that share one are aligned; that costs a comparison for each two of them.
 """
@@ -44,8 +45,8 @@ STARS, CROWD_SEEDS, CROWD_TAKES = 2, 32, (1, 2)
 COUNTERS = 1 << 22
 #: Nodes of a crowd in a block, about; blocks are compared two at a time, some rows of one with all of the other.
 BLOCK, ROWS_TOGETHER = 2_048, 256
-#: Bits for the words of a text, and as many for its word pairs.
-BITS = 1_024
+#: Bits for the words of a text, and as many for its word pairs; numbers for the words where they are compared in full.
+BITS, NUMBERS = 1_024, 1 << 16
 #: Texts of crowds in a partition at least.
 TEXTS_TOGETHER = 2_000
 #: Texts from whose word pairs the rarity is judged, and frequent pairs kept of them; they set the order only, not what is found.
@@ -344,8 +345,56 @@ def not_ruled_out(left: np.ndarray, right: np.ndarray, nl: np.ndarray, nr: np.nd
     return fine
 
 
-def rest_pairs(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): all pairs of one crowd and different classes in ``open_nodes`` (bucket, node, n, root) that may align."""
+def _members(bucket: int, node: pa.Array, n: pa.Array, root: pa.Array, bits: pa.Array, buckets: pa.Array) -> tuple:
+    """Members of a crowd as arrays: node, n, root, bits, and of each the crowds before this one."""
+    held = np.unpackbits(np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
+    before = [{other for other in some if other < bucket} for some in buckets.to_pylist()]
+    return node.to_numpy(), n.to_numpy(), root.to_numpy(), held, before
+
+
+def _met(members: tuple, left: np.ndarray, right: np.ndarray, one_block: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members of ``left`` and ``right`` that are to be aligned: of different classes, not ruled out, in no crowd before this one together."""
+    node, n, root, held, before = members
+    fine = not_ruled_out(held[left], held[right], n[left], n[right]) & (root[left][:, None] != root[right][None, :])
+    if one_block:
+        fine &= node[left][:, None] < node[right][None, :]
+    a, b = np.nonzero(fine)
+    a, b = left[a], right[b]
+    first = np.fromiter((before[x].isdisjoint(before[y]) for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
+    return a[first], b[first]
+
+
+def words_allow(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the words of the texts at places ``a`` (ascending) and ``b`` of ``codes`` let them align; repeats count as other words.
+
+    As with the bits, but with so many numbers that hardly any two words have the same.
+    """
+    if not len(a):
+        return np.zeros(0, dtype=bool)
+    numbers = {x: np.unique(_mix(kmers(codes[x].astype(np.uint64), 1) ^ _MIX) % np.uint64(NUMBERS)).astype(np.int64) for x in {*a.tolist(), *b.tolist()}}
+    right, at = np.unique(b, return_inverse=True)
+    sizes = np.array([len(numbers[x]) for x in right.tolist()])
+    listed, starts = np.concatenate([numbers[x] for x in right.tolist()]), np.cumsum(sizes) - sizes
+    lengths = np.array([len(c) for c in codes])
+    marked = np.zeros(NUMBERS, dtype=np.int32)
+    left, begins = np.unique(a, return_index=True)
+    fine = []
+    for x, begin, end in zip(left.tolist(), begins, [*begins[1:], len(a)]):
+        marked[numbers[x]] = 1
+        both = np.add.reduceat(marked[listed], starts)
+        marked[numbers[x]] = 0
+        lacking = np.maximum(len(numbers[x]), sizes) - both
+        most = (np.maximum(len(codes[x]), lengths[right]) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+        fine.append((lacking <= most)[at[begin:end]])
+    return np.concatenate(fine)
+
+
+def rest_links(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): all pairs of one crowd and different classes in ``open_nodes`` (bucket, node, n, root) that align; ``texts`` has (node, codes).
+
+    Blocks are compared by bits first, some rows of one with all of the other.  Of each such unit only the members that have a
+    partner left come again with their words, and are aligned there.
+    """
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -353,32 +402,51 @@ def rest_pairs(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 bits = [_bits(np.frombuffer(c, np.uint32).astype(np.uint64)) for c in some["codes"]]
                 yield pd.DataFrame({"node": some["node"], "bits": bits})
 
+    told = open_nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_set("bucket").alias("buckets"))
+    told = durable(told.join(texts.select("node", "codes").mapInPandas(described, "node long, bits binary"), "node"))
     # A node of a crowd meets every block of it, its own too.
     sizes = open_nodes.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = open_nodes.join(sizes, "bucket").withColumn("own", own)
-    placed = placed.join(texts.select("node", "codes").mapInPandas(described, "node long, bits binary"), "node")
+    placed = open_nodes.select("bucket", "node").join(sizes, "bucket").withColumn("own", own).join(told, "node")
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    groups = met.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "node", "n", "root", "bits")).alias("m"))
+    groups = met.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "node", "n", "root", "bits", "buckets")).alias("m"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, members in zip(batch["i"].to_pylist(), batch["j"].to_pylist(), batch["m"]):
-                *numbers, packed = members.values.flatten()
-                own, node, n, root = (c.to_numpy() for c in numbers)
-                held = np.unpackbits(np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
+            for bucket, i, j, listed in zip(batch["bucket"].to_pylist(), batch["i"].to_pylist(), batch["j"].to_pylist(), batch["m"]):
+                own, *columns = listed.values.flatten()
+                own, members = own.to_numpy(), _members(bucket, *columns)
                 low, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
                 for at in range(0, len(low), ROWS_TOGETHER):
-                    left = low[at : at + ROWS_TOGETHER]
-                    fine = not_ruled_out(held[left], held[right], n[left], n[right]) & (root[left][:, None] != root[right][None, :])
-                    a, b = np.nonzero(fine)
-                    a, b = node[left[a]], node[right[b]]
-                    keep = a < b if i == j else slice(None)
-                    ends = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in ends], names=["u", "v"])
-
-    return groups.mapInArrow(compared, "u long, v long").distinct()
+                    a, b = _met(members, low[at : at + ROWS_TOGETHER], right, i == j)
+                    if len(a):
+                        some = np.union1d(a, b)
+                        sides = pa.array(members[0][some]), pa.array(np.isin(some, a)), pa.array(np.isin(some, b))
+                        unit = [pa.array([x] * len(some), t) for x, t in ((bucket, pa.int64()), (i, pa.int32()), (j, pa.int32()), (at, pa.int32()))]
+                        yield pa.RecordBatch.from_arrays([*unit, *sides], names=["bucket", "i", "j", "at", "node", "is_left", "is_right"])
+
+    name = ["bucket", "i", "j", "at"]
+    units = durable(groups.mapInArrow(compared, "bucket long, i int, j int, at int, node long, is_left boolean, is_right boolean"))
+    # Aligning takes long for few bytes, so units are dealt by their number.
+    parts = min(units.select(name).distinct().count(), int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def aligned(unit: pa.Table) -> pa.Table:
+        unit = unit.combine_chunks()
+        column = {c: unit[c].combine_chunks() for c in unit.column_names}
+        bucket, i, j = (column[c][0].as_py() for c in ("bucket", "i", "j"))
+        members = _members(bucket, *(column[c] for c in ("node", "n", "root", "bits", "buckets")))
+        codes = [np.frombuffer(c, np.uint32) for c in column["codes"].to_pylist()]
+        left, right = (np.flatnonzero(column[c].to_numpy(zero_copy_only=False)) for c in ("is_left", "is_right"))
+        a, b = _met(members, left, right, i == j)
+        fine = words_allow(codes, a, b)
+        a, b = a[fine], b[fine]
+        links = np.fromiter((similar(codes[x], codes[y]) for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
+        u, v = members[0][a[links]], members[0][b[links]]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    whole = units.join(told, "node").join(texts.select("node", "codes"), "node").repartition(max(1, parts), *name)
+    return whole.groupBy(*name).applyInArrow(aligned, "u long, v long")
 
 
 def crowd_pairs(nodes: DataFrame, codes: DataFrame) -> DataFrame:
@@ -471,12 +539,11 @@ def resolve_crowds(crowds: DataFrame, roots: DataFrame, links: DataFrame, codes:
         pairs = pairs.unionByName(star_pairs(open_nodes, number))
     found = durable(verified(few(pairs, held).distinct(), texts))
     links, roots = links.unionByName(found), joined_classes(roots, found)
-    # What is divided even then: all pairs that may align.
+    # What is divided even then: all pairs.
     open_nodes = unresolved(crowds, roots)
     if not (held := open_nodes.count()):
         return links, roots
-    rest = durable(rest_pairs(few(open_nodes, held), texts))
-    found = durable(verified(few(rest, rest.count()), texts))
+    found = durable(rest_links(few(open_nodes, held), texts))
     return links.unionByName(found), joined_classes(roots, found)
 
 
