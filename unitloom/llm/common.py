@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import durable, ship
 
-__all__ = ["durable", "fresh", "held_out", "row_key", "ship", "table"]
+__all__ = ["durable", "fresh", "held_out", "keeps", "row_key", "ship", "table", "turn_to"]
+
+#: How to drop what a worker keeps from task to task, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    """``operator`` keeps tables in its workers, and ``drop`` empties them."""
+    _kept[operator] = drop
+
+
+def turn_to(operator: str) -> None:
+    """Called where a task's Python work begins: a worker serves many stages, but keeps the tables of one operator only."""
+    for other, drop in _kept.items():
+        if other != operator:
+            drop()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

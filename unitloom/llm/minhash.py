@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable, fresh, row_key, ship
+from .common import durable, fresh, keeps, row_key, ship, turn_to
 from .components import connected, few
 
 K = 5
@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 SMALL = 8
 #: Further nodes of a crowd that all its others are compared with; seeds and k-mers taken of the further sketches.
 STARS, CROWD_SEEDS, CROWD_TAKES = 2, 32, (1, 2)
-#: Counters for the k-mers of texts in crowds (4 MB); one of more than SMALL texts, over what chance puts there, is shared.
+#: Counters for the k-mers of texts in crowds (4 MB as bits, 16 MB in a task that counts); one of more than SMALL texts, over what chance puts there, is shared.
 COUNTERS = 1 << 22
 #: Nodes of a crowd in a block, about; blocks are compared two at a time, some rows of one with all of the other.
 BLOCK, ROWS_TOGETHER = 2_048, 256
@@ -61,6 +61,7 @@ KNOWN_WORDS = 150_000
 WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[str, int] = {}
+keeps("minhash", _known.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -221,16 +222,19 @@ def prefix_length(n_words: int) -> int:
 def _sketched(docs: DataFrame) -> DataFrame:
     """(key, node, n_words, keys, codes) of each row; codes are the low halves of the words' codes, enough to align two texts that share a sketch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("minhash")
+        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
-            for some in _slices(batch):
-                rows = []
-                for key, text in zip(some["key"], some["text"]):
+            for at in range(0, batch.num_rows, SLICE):
+                some, rows = batch.slice(at, SLICE), []
+                for text in some["text"].to_pylist():
                     codes = word_codes(text)
-                    rows.append((key, node_of(codes), len(codes), sketches(codes), codes.astype(np.uint32).tobytes()))
-                yield pd.DataFrame(rows, columns=["key", "node", "n_words", "keys", "codes"])
+                    rows.append((node_of(codes), len(codes), sketches(codes), codes.astype(np.uint32).tobytes()))
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([some["key"], *columns], names=["key", "node", "n_words", "keys", "codes"])
 
-    return docs.select("key", "text").mapInPandas(run, "key string, node long, n_words int, keys array<long>, codes binary")
+    return docs.select("key", "text").mapInArrow(run, "key string, node long, n_words int, keys array<long>, codes binary")
 
 
 def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -287,12 +291,14 @@ def own_sketches(texts: DataFrame) -> DataFrame:
     """(node, n, keys) of ``texts`` (node, codes) from the k-mers that are in few of them."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        times = np.zeros(COUNTERS, dtype=np.int64)
+        times = np.zeros(COUNTERS, dtype=np.int32)
         for batch in batches:
             for codes in batch["codes"]:
                 times[_counter(kmers(np.frombuffer(codes, np.uint32).astype(np.uint64)))] += 1
-        held = np.flatnonzero(times)
-        yield pd.DataFrame({"counter": held.astype(np.int32), "n": times[held]})
+        for at in range(0, COUNTERS, COUNTERS // 64):
+            some = times[at : at + COUNTERS // 64]
+            held = np.flatnonzero(some)
+            yield pd.DataFrame({"counter": (at + held).astype(np.int32), "n": some[held].astype(np.int64)})
 
     counts = durable(texts.select("codes").mapInPandas(counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -502,13 +508,15 @@ def crowd_pairs(nodes: DataFrame, codes: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose words align with SIMILARITY or more; ``codes`` has (node, codes)."""
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.loc[[similar(a, b) for a, b in zip(batch["cu"], batch["cv"])], ["u", "v"]]
+            links = [similar(a.as_py(), b.as_py()) for a, b in zip(batch["cu"], batch["cv"])]
+            yield batch.select(["u", "v"]).filter(pa.array(links, pa.bool_()))
 
     left = codes.select(F.col("node").alias("u"), F.col("codes").alias("cu"))
     right = codes.select(F.col("node").alias("v"), F.col("codes").alias("cv"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "cu", "cv").mapInPandas(check, "u long, v long")
+    return pairs.join(right, "v").join(left, "u").select("u", "v", "cu", "cv").mapInArrow(check, "u long, v long")
 
 
 def joined_classes(roots: DataFrame, links: DataFrame) -> DataFrame:

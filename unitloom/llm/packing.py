@@ -16,9 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable, ship
+from .common import durable, keeps, ship, turn_to
 
 CAPACITY = 2048
 END_ID = 0
@@ -29,8 +30,8 @@ PARTITION_PIECES = 20_000
 ROUNDS = 6
 #: Fill from which a bin of a partition that meets its bound is final.
 DENSE = 0.99
-#: Entries of a worker's table of known words (about 90 MB); it is emptied when full.
-KNOWN_WORDS = 600_000
+#: Entries of a worker's table of known words (about 40 MB); it is emptied when full.
+KNOWN_WORDS = 200_000
 #: Words of more characters are encoded each time, so that the table's size is bounded.
 LONG_WORD = 64
 #: Documents whose new words are encoded in one call.
@@ -58,6 +59,9 @@ def _special(path: str) -> tuple[str, ...]:
     return tuple(token.content.lower() for token in _tokenizer(path)[0].get_added_tokens_decoder().values())
 
 
+keeps("packing", _tokenizer.cache_clear)
+
+
 #: A run of signs that ends with one of the signs set apart below.
 _SIGNS = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
 
@@ -114,22 +118,24 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     path = vocabulary or vocabulary_path()
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PIECES.split(", ")]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("packing")
+        kinds = {"long": pa.int64(), "int": pa.int32()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, PIECES.split(", "))])
         for batch in batches:
             rows = []
-            for at in range(0, len(batch), TOGETHER):
-                some = batch.iloc[at : at + TOGETHER]
-                coded = token_bytes([t if isinstance(t, str) else "" for t in some["text"]], path)
-                for doc_id, ids in zip(some["doc_id"], coded):
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                coded = token_bytes([t or "" for t in some["text"].to_pylist()], path)
+                for doc_id, ids in zip(some["doc_id"].to_pylist(), coded):
                     ids += end
-                    doc_id = None if pd.isna(doc_id) else int(doc_id)
                     for number, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
                         rows.append((doc_id, number, start // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray | None = None, capacity: int = CAPACITY) -> int:

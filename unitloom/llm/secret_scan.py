@@ -16,9 +16,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship
+from .common import keeps, ship, turn_to
 
 # Patterns and least lengths of the three base kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -34,6 +35,8 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 PLAIN = re.compile(r"(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}|[0-9]{1,8}")
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Texts that are replaced at a time, so that a worker's memory doesn't follow the batch.
+TOGETHER = 500
 MAX_RATIO = 1.9
 
 SCHEMA = (
@@ -52,6 +55,9 @@ def encoder(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+keeps("secret_scan", encoder.cache_clear)
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -104,6 +110,7 @@ def find_secrets(docs: DataFrame, vocabulary: str | None = None, max_ratio: floa
     path = vocabulary or vocabulary_path()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("secret_scan")
         encode = encoder(path).encode_ordinary
         for batch in batches:
             rows = []
@@ -128,10 +135,14 @@ def redact(docs: DataFrame, vocabulary: str | None = None, max_ratio: float = MA
     ship(docs.sparkSession)
     path = vocabulary or vocabulary_path()
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turn_to("secret_scan")
         encode = encoder(path).encode_ordinary
-        return texts.map(lambda t: _without(t, encode, max_ratio), na_action="ignore")
+        for texts in batches:
+            for at in range(0, len(texts), TOGETHER):
+                some = texts.slice(at, TOGETHER).to_pylist()
+                yield pa.array([None if t is None else _without(t, encode, max_ratio) for t in some], pa.string())
 
     done = docs.withColumn(text, clean(F.col(text)))
     if "n_chars" in docs.columns:

@@ -13,9 +13,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import durable, held_out, ship
+from .common import durable, held_out, ship, turn_to
 
 #: A term has at least this many different neighbours, as a share of the toxic training texts (and MIN_CONTEXTS),
 #: which bounds the lexicon by a text's mean number of words over the share, whatever the corpus.
@@ -32,7 +33,7 @@ FUZZY_LENGTH = 4
 CONTEXT = 10
 THRESHOLD = 0.7
 #: Words without weight that a worker remembers before it starts anew.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 50_000
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
@@ -176,6 +177,7 @@ def look_alikes(counted: DataFrame, terms: dict[str, float], stems: dict[str, fl
     """Forms (see ``Trie.near``) that words of clean training texts have; bounded by the one-edit forms of the lexicon."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("toxicity")
         trie = Trie(terms, stems)
         for batch in batches:
             yield pd.DataFrame({"form": list({form for w in batch["term"] if not trie.exact(w) for form, _ in trie.near(w)})}, dtype="object")
@@ -264,15 +266,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], dict[st
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
-    """A pandas UDF text -> score whose model travels as one broadcast of lexicon size."""
+    """An Arrow UDF text -> score whose model travels as one broadcast of lexicon size; texts are taken from a batch one at a time."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turn_to("toxicity")
         judge = Scorer(*model.value)
         for texts in batches:
-            yield pd.Series([judge(t) for t in texts], dtype="float64")
+            yield pa.array([judge(t.as_py()) for t in texts], pa.float64())
 
     return score
 
