@@ -1,4 +1,4 @@
-"""What a Python worker holds: the tables of one operator, and a batch's texts a few at a time."""
+"""What a Python worker holds: the tables of one operator, and a batch's texts a few at a time; what rounds leave in the driver."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from unitloom.llm import minhash, packing, secret_scan, toxicity
+from unitloom.llm import components, minhash, packing, secret_scan, toxicity
 
 
 def fill():
@@ -63,3 +63,13 @@ def test_operators_on_arrow_batches_keep_nulls_and_order(spark):
     assert packing.pieces(docs.limit(0)).count() == 0
     sketched = {(r["node"], r["n_words"], len(r["keys"])) for r in minhash._sketched(docs.selectExpr("cast(doc_id as string) as key", "text")).collect()}
     assert len(sketched) == 1 + 1 + sum(1 for _, t in rows if t)
+
+
+def test_rounds_of_joins_do_not_square_the_planners_estimate(spark, capsys):
+    path = spark.range(200).selectExpr("id as u", "id + 1 as v")
+    for _ in range(2):
+        found = components.connected(path)
+        assert [tuple(r) for r in found.orderBy("node").collect()] == [(i, 0) for i in range(201)]
+        found.explain("cost")
+        assert "E+" not in capsys.readouterr().out
+        path = found.selectExpr("node as u", "node + 1 as v").filter("v < 201")

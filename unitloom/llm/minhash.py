@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, fresh, keeps, row_key, ship, turn_to
-from .components import connected, few
+from .components import connected, few, sized
 
 K = 5
 SEEDS = 16
@@ -524,11 +524,11 @@ def joined_classes(roots: DataFrame, links: DataFrame) -> DataFrame:
     ru = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
     rv = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
     edges = links.join(ru, "u", "left").join(rv, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
-    step = connected(durable(edges)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    step = connected(sized(edges)).select(F.col("node").alias("root"), F.col("root").alias("top"))
     old = roots.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     new = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(roots, "node", "left_anti")
     new = new.join(step.withColumnRenamed("root", "node"), "node").select("node", F.col("top").alias("root"))
-    return durable(old.unionByName(new))
+    return sized(old.unionByName(new))
 
 
 def resolve_crowds(crowds: DataFrame, roots: DataFrame, links: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
