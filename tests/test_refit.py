@@ -91,3 +91,32 @@ def test_store_moves_no_split_text(spark, tmp_path):
         ahead[r.part, r.shard] = (r.u0 + r.n_units, r.b0 + len(r.text))
     codecs = {f.name.split(".")[-2] for f in (tmp_path / "s" / "units").glob("*.parquet")}
     assert codecs == {"zstd"}
+
+
+def test_targets_come_back_as_windows(spark):
+    """A row for each window leaves the workers, not one for each unit, and the targets are those of a plain loop."""
+    texts = ["ab", "", "é", None, "xyz", "q" * 20, "é€", "b"]
+    rows = [(w, 10 * i, texts[(i + (w or 0)) % 8]) for w in (1, 2, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "window_id long, idx long, unit string").coalesce(2)
+    want = []
+    for window in (1, 2, None):
+        units = [(i, (u or "").encode()) for w, i, u in rows if w == window]
+        for at, (idx, _) in enumerate(units):
+            delta = 0
+            for k, (_, ahead) in enumerate(units[at + 1 : at + 5], 1):
+                for r, byte in enumerate(ahead):
+                    delta += 1
+                    if delta <= 16:
+                        want.append((window, idx, delta, k, r, byte, round(0.8 ** (k - 1), 9)))
+    made = win.future_targets(df, 4, 0.8, 16)
+    assert made.columns == ["window_id", "idx", "delta", "k", "r", "byte", "weight"]
+    assert sorted(map(str, ((*r[:-1], round(r.weight, 9)) for r in made.collect()))) == sorted(map(str, want))
+    done, todo = 0, [made._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("pythonNumRowsReceived")
+        done += metric.get().value() if metric.isDefined() else 0
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+        children = node.children()
+        todo += inner + [children.apply(i) for i in range(children.size())]
+    assert 0 < done < 40
